@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import mixing, qdigest, tokens
+from tidebook.llm import mixing, qdigest, stuffing, tokens
 from tidebook.llm.nearest import nearest
 from tidebook.runtime import load, materialize
 
@@ -76,7 +76,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(m.rows, counts, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_within_bound, p3_found, p8_ids, p9_mix, p9_shares)}
+# 10 ------------------------------------------------------------------------------------------
+
+def _stuffed(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return stuffing.score(docs, "doc_id", stuffing.train(docs, "doc_id"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _stuffed(spark, d).where(F.col("stuffed_share") > 0.5).select("doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _stuffed(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_within_bound, p3_found, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
 
 ORACLES = {
     "p2_within_bound": """
