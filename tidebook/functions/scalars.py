@@ -32,13 +32,13 @@ def make_price(c: Column, decimals: int = 4) -> Column:
 def time_text(ns: Column) -> Column:
     """HH:MM:SS.nnnnnnnnn; hours go on beyond 23."""
     s = F.floor(ns / 1_000_000_000).cast("long")
-    return F.format_string("%02d:%02d:%02d.%09d", (s / 3600).cast("long"), (s / 60).cast("long") % 60, s % 60, ns % 1_000_000_000)
+    return F.when(ns.isNotNull(), F.format_string("%02d:%02d:%02d.%09d", (s / 3600).cast("long"), (s / 60).cast("long") % 60, s % 60, ns % 1_000_000_000))
 
 
 def moment_text(date: Column, ns: Column) -> Column:
     """Date and time; whole days of ``ns`` carry into the date."""
     days = (ns / F.lit(float(DAY_NS))).cast("int")
-    return F.concat_ws(" ", F.date_format(F.date_add(date, days), "yyyy-MM-dd"), time_text(ns % DAY_NS))
+    return F.concat(F.date_format(F.date_add(date, days), "yyyy-MM-dd"), F.lit(" "), time_text(ns % DAY_NS))
 
 
 def moment(date: Column, ns: Column) -> Column:

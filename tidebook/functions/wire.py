@@ -23,7 +23,7 @@ def uint_decimal(body: Column, offset: int) -> Column:
 
 def text(body: Column, offset: int, size: int, trim: bool = True) -> Column:
     """Latin-1 text; trimmed of trailing spaces and NULs unless one byte long or ``trim`` is off."""
-    raw = F.decode(F.substring(body, offset + 1, size), F.lit("ISO-8859-1"))
+    raw = F.decode(F.substring(body, offset + 1, size), "ISO-8859-1")
     return trim_fixed(raw) if trim and size > 1 else raw
 
 
@@ -42,7 +42,7 @@ def put_uint(c: Column, size: int) -> Column:
 
 def put_text(c: Column, size: int) -> Column:
     """Latin-1, cut or padded with spaces to ``size`` bytes."""
-    return F.encode(F.rpad(c, size, " "), F.lit("ISO-8859-1"))
+    return F.encode(F.rpad(c, size, " "), "ISO-8859-1")
 
 
 def write(c: Column, f: Field) -> Column:

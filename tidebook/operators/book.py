@@ -56,7 +56,7 @@ class Book:
             return []
         bid, left, price = o[:3]
         gone = left if shares is None else min(shares, left)
-        ends = shares is None or (gone == left and shares >= left and (gone > 0 or shares > 0))
+        ends = gone == left  # so anything taken off an order of no shares ends it
         level = self.levels[bid][price]
         o[1] -= gone
         level[0] -= gone
@@ -67,7 +67,7 @@ class Book:
                 del self.levels[bid][price]
                 ladder = self.prices[bid]
                 del ladder[bisect_left(ladder, -price if bid else price)]
-        return [(bid, price, -gone, -int(ends))] if gone or ends else []
+        return [(bid, price, -gone, -int(ends))] if gone or ends else []  # taking off 0 changes nothing
 
     def replace(self, ref: int, new: int, shares: int, price: int, seq: int, ts: int) -> list:
         o = self.orders.get(ref)

@@ -151,7 +151,8 @@ O|DLCR Message:|Stock: %stock
 
 
 def short_double(c: Column) -> Column:
-    """Six significant digits without trailing zeros, as C's %g gives them."""
+    """Six significant digits without trailing zeros, as C's %g gives them, except that a value whose
+    shortest decimal form is just half way rounds up."""
     x = c.cast("double")
     e = F.floor(F.log10(F.abs(x)) + F.lit(1e-12))
     tidy = lambda t: F.regexp_replace(t, r"\.?0+$", "")

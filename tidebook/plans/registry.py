@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebook.plans import problems
+from tidebook.plans import market, problems
 
-_MODULES = (problems,)
+_MODULES = (market, problems)
 
 
 def queries() -> dict:

@@ -8,8 +8,9 @@ keep or error; ``stop_at_end`` (leave a file after the system event C); ``dst_po
 Rows: ``file``, ``seq``, ``message_type``, ``body``, ``error``, and for packets the transport columns.
 ``seq`` is the frame's ordinal in its file, or, with ``splitBytes``, its byte offset, which orders
 just as well and needs no count of what comes before. A raw stream has no marks to split at: a task
-starting inside a file finds the first offset from which SYNC frames follow that are exactly as long
-as their types say, and every task reads until the first frame that begins beyond its range.
+starting inside a file goes BACK bytes, finds the first offset from which SYNC frames follow that are
+exactly as long as their types say, and walks to its range; it reads until the first frame that begins
+beyond it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ FRAMES = "file string, seq bigint, message_type string, body binary, error strin
 PACKETS = "file string, packet bigint, session string, first_seq bigint, msg_count int, kind string, n_frames int"
 #: Frames in a row that must fit for a task to trust its start.
 SYNC = 16
+#: So far before its range a task sets out.
+BACK = 65_536
 #: The largest body of any known type.
 LARGEST = max(t.wire_size for t in DEFAULT.types.values())
 
@@ -74,18 +77,21 @@ class Range(InputPartition):
     split: bool = False
 
 
-def synced(data: bytes, at: int, final: bool) -> int | None:
-    """The first offset from ``at`` on where SYNC frames of known types and exact sizes follow, or
-    fewer that reach the end of a final buffer; None if there is none."""
+def synced(data: bytes, at: int) -> int | None:
+    """The first offset from ``at`` on where SYNC frames of known types and exact sizes follow; None
+    if there is none. Empty frames between them do not count."""
     for begin in range(at, len(data)):
         pos, n = begin, 0
         while n < SYNC and pos + 3 <= len(data):
             size = data[pos] << 8 | data[pos + 1]
+            if n and not size:
+                pos += 2
+                continue
             if DEFAULT.size_of(chr(data[pos + 2])) != size or pos + 2 + size > len(data):
                 break
             pos += 2 + size
             n += 1
-        if n == SYNC or (n and final and pos == len(data)):
+        if n == SYNC:
             return begin
     return None
 
@@ -154,27 +160,28 @@ class FeedReader(DataSourceReader):
                     return
 
     def _split(self, part: Range) -> Iterator[tuple]:
-        """Frames that begin in [start, end)."""
-        reach = part.end + (LARGEST + 2) * (SYNC + 2)
+        """Frames that begin in [start, end). The walk sets out BACK bytes before, where there are
+        frames enough to be sure of, and so meets the range where the range before it ended."""
+        begin = max(0, part.start - BACK)
         with _open(part.path) as f:
-            f.seek(part.start)
-            data = f.read(reach - part.start)
-        final = part.start + len(data) >= _size(part.path)
-        at = 0 if part.start == 0 else synced(data, 0, final)
-        while at is not None and part.start + at < part.end and at < len(data):
-            walked = frames(memoryview(data)[at:])
-            frame = next(walked, None)
-            if frame is None:
-                return
-            row = self._emit(part, part.start + at, frame)
+            f.seek(begin)
+            data = f.read(part.end - begin + LARGEST + 65_538)
+        at = 0 if begin == 0 else synced(data, 0)
+        if at is None:
+            raise ValueError(f"{part.path}: no frames to be sure of after byte {begin}; read it without splitBytes")
+        view = memoryview(data)
+        while begin + at < part.end and at + 2 <= len(data):
+            size = view[at] << 8 | view[at + 1]
+            if size and begin + at >= part.start:
+                frame = next(frames(view[at : at + 2 + size]))
+                row = self._emit(part, begin + at, frame)
+                if row:
+                    yield row
+            at += 2 + size
+        if part.start <= begin + at < part.end and at < len(data):
+            row = self._emit(part, begin + at, (None, bytes(view[at:]), "truncated"))
             if row:
                 yield row
-            if frame[2] == "truncated":
-                return
-            # empty frames before it are part of its distance
-            while data[at] == 0 and data[at + 1] == 0:
-                at += 2
-            at += 2 + len(frame[1])
 
 
 def _signed(x: int | None) -> int | None:
