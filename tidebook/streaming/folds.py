@@ -14,7 +14,7 @@ from collections.abc import Callable, Collection, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidebook.operators.book import BBO, DELTAS, IN, TRADES, Book, Fold, book_rows
 
@@ -26,7 +26,7 @@ class _Keyed(StatefulProcessor):
         self.make, self.fold, self.order, self.columns = make, step, order, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", StructType.fromDDL("data binary"))
+        self.state = handle.getValueState("state", StructType([StructField("data", BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = pickle.loads(self.state.get()[0]) if self.state.exists() else self.make()
