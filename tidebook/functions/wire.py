@@ -27,12 +27,15 @@ def text(body: Column, offset: int, size: int, trim: bool = True) -> Column:
     return trim_fixed(raw) if trim and size > 1 else raw
 
 
-def read(body: Column, f: Field) -> Column:
-    """Texts as STRING, two-byte fields as INT, others (prices raw) as BIGINT."""
+def read_sql(f: Field, body: str = "body") -> str:
+    """SQL of a field: texts STRING, two-byte fields INT, others (prices raw) BIGINT. As one parsed
+    text per column, a whole registry is built in milliseconds."""
+    raw = f"substring({body}, {f.offset + 1}, {f.size})"
     if f.kind == "a":
-        return text(body, f.offset, f.size)
-    v = uint(body, f.offset, f.size)
-    return v.cast("int") if f.size == 2 else v
+        plain = f"decode({raw}, 'ISO-8859-1')"
+        return plain if f.size == 1 else f"trim(TRAILING concat(' ', char(0)) FROM {plain})"
+    kind = "INT" if f.size == 2 else "BIGINT"
+    return f"CASE WHEN octet_length({body}) >= {f.offset + f.size} THEN CAST(conv(hex({raw}), 16, -10) AS {kind}) END"
 
 
 def put_uint(c: Column, size: int) -> Column:
@@ -40,10 +43,8 @@ def put_uint(c: Column, size: int) -> Column:
     return F.unhex(F.right(F.lpad(F.hex(c.cast("long")), 16, "0"), F.lit(2 * size)))
 
 
-def put_text(c: Column, size: int) -> Column:
-    """Latin-1, cut or padded with spaces to ``size`` bytes."""
-    return F.encode(F.rpad(c, size, " "), "ISO-8859-1")
-
-
-def write(c: Column, f: Field) -> Column:
-    return put_text(c, f.size) if f.kind == "a" else put_uint(c, f.size)
+def write_sql(f: Field) -> str:
+    """SQL of a field's bytes: integers as ``put_uint``; texts Latin-1, cut or padded with spaces."""
+    if f.kind == "a":
+        return f"encode(rpad(`{f.name}`, {f.size}, ' '), 'ISO-8859-1')"
+    return f"unhex(right(lpad(hex(CAST(`{f.name}` AS BIGINT)), 16, '0'), {2 * f.size}))"

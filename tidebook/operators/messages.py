@@ -36,9 +36,8 @@ def _others(frames: DataFrame) -> list[str]:
 def decode(frames: DataFrame, code: str, venue: Venue = DEFAULT) -> DataFrame:
     """The messages of one type with all its fields, prices raw; other frame columns stay."""
     t = venue.types[code]
-    body = F.col("body")
     rows = frames.where(F.col("message_type") == code)
-    return rows.select(*_others(frames), "message_type", *[wire.read(body, f).alias(f.name) for f in t.fields[1:]])
+    return rows.select(*_others(frames), "message_type", *[F.expr(f"{wire.read_sql(f)} AS `{f.name}`") for f in t.fields[1:]])
 
 
 def _by_name(venue: Venue) -> dict[str, list[tuple[str, Field]]]:
@@ -51,37 +50,31 @@ def _by_name(venue: Venue) -> dict[str, list[tuple[str, Field]]]:
 
 def wide(frames: DataFrame, venue: Venue = DEFAULT) -> DataFrame:
     """All messages in one table: header, then every field of any type, null where a type lacks it."""
-    body, code = F.col("body"), F.col("message_type")
     cols = []
     for name, places in _by_name(venue).items():
-        same: dict[tuple, list[str]] = {}
+        same: dict[str, list[str]] = {}
         for c, f in places:
-            same.setdefault((f.offset, f.kind, f.size), []).append(c)
-        value: Column | None = None
-        for codes in same.values():
-            f = next(f for c, f in places if c == codes[0])
-            v = wire.read(body, f)
-            v = v.cast("string") if f.kind == "a" else v.cast("long")
-            value = F.when(code.isin(codes), v) if value is None else value.when(code.isin(codes), v)
-        cols.append(value.alias(name))
+            same.setdefault(wire.read_sql(f), []).append(c)
+        kind = "STRING" if places[0][1].kind == "a" else "BIGINT"
+        whens = " ".join(f"WHEN message_type IN ({', '.join(repr(c) for c in codes)}) THEN CAST({sql} AS {kind})" for sql, codes in same.items())
+        cols.append(F.expr(f"CASE {whens} END AS `{name}`"))
     head = next(iter(venue.types.values())).fields[1:4]
-    return frames.select(*_others(frames), "message_type", *[wire.read(body, f).alias(f.name) for f in head], *cols)
+    return frames.select(*_others(frames), "message_type", *[F.expr(f"{wire.read_sql(f)} AS `{f.name}`") for f in head], *cols)
 
 
 def encode(rows: DataFrame, codes: Sequence[str] | None = None, venue: Venue = DEFAULT) -> DataFrame:
     """Typed rows to ``body``: the inverse of ``decode`` and ``wide``. Rows of other types, or with
     a null in a field of their type, get a null body. Timestamps are masked to 48 bits."""
     head_cols = set(rows.columns)
-    body: Column | None = None
+    whens = []
     for t in (venue.types[c] for c in (codes or venue.types)):
         missing = [f.name for f in t.fields if f.name not in head_cols]
         if missing:
             if codes:
                 raise ValueError(f"{t.code}: missing columns {missing}")
             continue
-        parts = F.concat(*[wire.write(F.col(f.name), f) for f in t.fields])
-        body = F.when(F.col("message_type") == t.code, parts) if body is None else body.when(F.col("message_type") == t.code, parts)
-    return rows.withColumn("body", body if body is not None else F.lit(None).cast("binary"))
+        whens.append(f"WHEN message_type = '{t.code}' THEN concat({', '.join(wire.write_sql(f) for f in t.fields)})")
+    return rows.withColumn("body", F.expr(f"CASE {' '.join(whens)} END") if whens else F.lit(None).cast("binary"))
 
 
 def framed(body: Column) -> Column:
