@@ -165,8 +165,9 @@ def test_rebuild_against_naive(spark):
     q = bk.queue(orders).where("position = 1").count()
     assert q == depth.count() and bk.levels(orders, 2).where("level > 2").count() == 0
     assert {r.symbol for r in bk.symbols(df).collect()} == {"S1", "S2", "S3"} == {r.symbol for r in bk.book_index(df).collect()}
-    lines = [r.line for r in bk.ladder_text(depth.where("stock_locate = 1")).collect()]
-    assert sum("BID" in x for x in lines) + sum("ASK" in x for x in lines) + 1 == len(lines)
+    lines = [r.line for r in bk.ladder_text(depth.where("stock_locate = 1")).orderBy("line_no").collect()]
+    asks, bids = [i for i, x in enumerate(lines) if "Ask" in x], [i for i, x in enumerate(lines) if "Bid" in x]
+    assert lines[0] == lines[2] == lines[-1] == "=" * 42 and len(lines) == len(asks) + len(bids) + 5 and max(asks) + 2 == min(bids)
     assert bk.rebuild(df.limit(0), "bbo").count() == 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -424,3 +426,61 @@ def sequence_gaps(spark, d):
 @query(_GAPS + "SELECT session, max(first_seq + msg_count) AS expected_next, CAST(sum(fresh) AS BIGINT) AS messages_seen, CAST(sum(missing) AS BIGINT) AS gap_count FROM s GROUP BY session")
 def sequence_summary(spark, d):
     return an.sequence_summary(an.sequence_gaps(_packets(spark, d), block=64))
+
+
+# the data source and a stream over the same feed --------------------------------------------------
+
+def _day_file(spark: SparkSession, d: str) -> str:
+    """The feed as one raw file in the shared folder."""
+    from tidebook.runtime import new_path, shared_dir
+    from tidebook.sources.feed import write_stream
+
+    frames = ms.encode(feed.messages(spark, d), _WIRE).select("seq", "body")
+    path = new_path(spark, "day").removeprefix("file://").removeprefix("file:") + ".bin"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    assert shared_dir(spark).startswith(("file:", "/")), "the raw file sink writes to a mounted folder"
+    write_stream(frames, path)
+    return path
+
+
+@query(_F + """, r AS (SELECT row_number() OVER (ORDER BY seq) AS place, message_type, stock_locate, ts_ns, order_reference_number FROM feed)
+    SELECT place, message_type, stock_locate, ts_ns, order_reference_number FROM r WHERE message_type IN ('A', 'E', 'D')""")
+def source_raw(spark, d):
+    """Written as bytes, read again in one piece, filtered at the source and decoded."""
+    from tidebook.sources.feed import read_frames
+
+    frames = ms.filter_types(read_frames(spark, _day_file(spark, d), framing="raw"), "AED")
+    return ms.wide(frames).select((F.col("seq") + 1).alias("place"), "message_type", "stock_locate", "ts_ns", "order_reference_number")
+
+
+@query(_F + "SELECT message_type, count(*) AS n, CAST(sum(stock_locate) AS BIGINT) AS sum_locate, CAST(sum(ts_ns % 1000000007) AS BIGINT) AS sum_ts FROM feed GROUP BY message_type")
+def source_split(spark, d):
+    """The same file read by many tasks."""
+    from tidebook.sources.feed import read_frames
+
+    wide = ms.wide(read_frames(spark, _day_file(spark, d), framing="raw", splitBytes=50_000).where("error IS NULL"))
+    return wide.groupBy("message_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stock_locate").cast("long")).alias("sum_locate"), F.sum(F.expr("ts_ns % 1000000007")).alias("sum_ts"))
+
+
+@query(_BBO + "SELECT * FROM bbos")
+def stream_bbo_changes(spark, d):
+    """``bbo_changes`` from a stream that takes the feed in three batches."""
+    from tidebook.runtime import new_path
+    from tidebook.streaming.folds import stream_books
+
+    parts, out, state = (new_path(spark, x) for x in ("parts", "tops", "state"))
+    feed_rows = _undated(spark, d).withColumn("session_date", F.lit(None).cast("date"))
+    edges = feed_rows.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    step = max(1, ((edges.b or 0) - (edges.a or 0)) // 3 + 1)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i in range(3):  # each run of the stream takes what has come since the last
+            lo = (edges.a or 0) + i * step
+            feed_rows.where((F.col("seq") >= lo) & (F.col("seq") < lo + step)).write.mode("append").parquet(parts)
+            stream = spark.readStream.schema(feed_rows.schema).parquet(parts)
+            stream_books(stream, "bbo").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out).drop("session_date", "ts_ns")
