@@ -48,7 +48,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are too small to be. A larger table is left as its files
     are split, without a shuffle; rows are the same either way."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < THIN * cores else df
 
 
