@@ -126,6 +126,15 @@ def test_framing_cases():
         list(fr.iterator_frames(b"\0\1\0"))
 
 
+def test_golden_stream():
+    a = lambda n, ref, side, shares, price: body("A", n, 0, n, order_reference_number=ref, buy_sell_indicator=side, shares=shares, stock="AAPL", price=price)
+    e = lambda n, ref, shares, match: body("E", n, 0, n, order_reference_number=ref, executed_shares=shares, match_number=match)
+    s = lambda n, code: body("S", n, 0, n, event_code=code)
+    rows = [s(1, "O"), a(2, 10, "B", 100, 5000), a(3, 11, "B", 200, 4900), s(4, "S"), a(5, 12, "S", 150, 5100), a(6, 13, "S", 50, 5200), e(7, 10, 40, 1), a(8, 14, "B", 300, 4800), e(9, 12, 150, 2), s(10, "C")]
+    got = errors(b"".join(map(pre, rows)))
+    assert "".join(c for c, _ in got) == "SAASAAEAES" and not any(x for _, x in got)
+
+
 def mold(session, first, bodies, count=None):
     return session.encode().ljust(10) + struct.pack(">QH", first, len(bodies) if count is None else count) + b"".join(map(pre, bodies))
 

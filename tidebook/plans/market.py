@@ -400,18 +400,18 @@ def auctions(spark, d):
 # packets of 7 messages a session (user_id % 3); every fifth is lost, every eleventh comes twice
 _PACKETS = """
     SELECT session, packet * 2 + copy AS packet, first_seq, msg_count FROM (
-      SELECT session, packet, min(n) AS first_seq, count(*) AS msg_count FROM (
+      SELECT session, packet, min(n) AS first_seq, count(*) AS msg_count, {copies} AS copy FROM (
         SELECT concat('S', CAST(user_id % 3 AS {text})) AS session, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n, event_id, CAST(floor((row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1) / 7) AS BIGINT) AS packet FROM {events}) x
-      GROUP BY session, packet) y, (SELECT 0 AS copy UNION ALL SELECT 1) c
+      GROUP BY session, packet) y
     WHERE packet % 5 <> 3 AND (copy = 0 OR packet % 11 = 0)
 """
 
 
 def _packets(spark, d):
-    return spark.sql(_PACKETS.replace("{text}", "STRING"), events=load(spark, d, "events"))
+    return spark.sql(_PACKETS.replace("{text}", "STRING").replace("{copies}", "explode(array(0, 1))"), events=load(spark, d, "events"))
 
 
-_GAPS = f"WITH p AS ({_PACKETS.format(text='VARCHAR', events='events')})" + """, g AS (
+_GAPS = f"WITH p AS ({_PACKETS.format(text='VARCHAR', copies='unnest([0, 1])', events='events')})" + """, g AS (
     SELECT *, max(first_seq + msg_count) OVER (PARTITION BY session ORDER BY packet ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected FROM p),
     s AS (SELECT *, CAST(CASE WHEN expected IS NULL THEN 0 ELSE greatest(first_seq - expected, 0) END AS BIGINT) AS missing,
       CAST(CASE WHEN expected IS NULL THEN msg_count WHEN first_seq + msg_count > expected THEN msg_count - least(msg_count, greatest(expected - first_seq, 0)) ELSE 0 END AS BIGINT) AS fresh FROM g)
