@@ -2,6 +2,7 @@
 
 import random
 
+from tidebook.operators import changefeed
 from tidebook.operators.changefeed import last_values, open_entries, struck_out
 
 SCHEMA = "period string, seq long, row_id long, kind int, part int, id long, new_id long, qty long, extra string"
@@ -61,6 +62,20 @@ def test_against_replay(spark):
     assert not any(k[0].startswith("lost") for k in got)
 
 
+def test_hot_keys_are_squeezed(spark, monkeypatch):
+    monkeypatch.setattr(changefeed, "HOT_TIMES", 0)
+    rnd = random.Random(11)
+    rows = feed(21, 200, 5, 0.03)
+    rows += [("h", q, q, rnd.choice([4] * 30 + [2, 1, 0]), 1, rnd.choice([1, 1, 1, 2]), 2, rnd.choice([0, 1, 1, 30, -2, None]) if q % 40 else 90, "x") for q in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = open_entries(df, hot_rows=0)
+    assert {(r.period, r.part, r.id): r.left for r in got.entries.collect()} == replay(rows)
+    key = "period = 'h' AND kind = 4"
+    assert got.changes.where(key).count() < changefeed.by_key(changefeed.once(df)).where(key).count() / 2
+    keep = changefeed.squeeze(changefeed.by_key(changefeed.once(df)), 16)
+    assert keep.agg({"qty": "sum"}).first()[0] == changefeed.by_key(changefeed.once(df)).agg({"qty": "sum"}).first()[0]
+
+
 def test_empty(spark):
     assert open_entries(spark.createDataFrame([], SCHEMA)).entries.count() == 0
 

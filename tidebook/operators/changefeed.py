@@ -5,6 +5,10 @@ replacement; what makes this more than a ``max_by`` is that a change counts only
 An insert has none while the entry is open, a reduction none while it is closed, and the entry a
 replacement opens depends on whether the replaced entry, under another key, was open.
 
+A key that holds a large part of the feed does so by reductions. Keys of hash buckets with too many
+of them have theirs summed between any two other changes of the key, found by carrying the last such
+change forward in blocks of the sequence; that changes no state and leaves few rows a key.
+
 Within a key, ends cut the changes into segments that all start closed, and running sums inside a
 segment tell where it opened and where reductions used it up, so a key of any length is a streamed
 sort, never a collected array. Across keys, replacements are first taken to have worked; those
@@ -18,8 +22,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from tidebook.operators.carry import carry_max
+from tidebook.operators.references import HASH_BUCKETS, HOT_ROWS, HOT_TIMES
 from tidebook.runtime import materialize
 
 #: Kinds of a key's changes; ends sort before the births of the same sequence number.
@@ -29,7 +36,7 @@ DELETE, REPLACED, INSERT, REPLACEMENT, REDUCE = 0, 1, 2, 3, 4
 @dataclass
 class OpenEntries:
     """``entries``: period, part, id, ``since`` (sequence of the change that opened it), ``left``.
-    ``changes``: the feed, one row per key and sequence, kinds as above."""
+    ``changes``: the feed, a row per key and sequence, kinds as above; hot keys' reductions summed."""
 
     entries: DataFrame
     changes: DataFrame
@@ -63,6 +70,29 @@ def by_key(messages: DataFrame) -> DataFrame:
     )
 
 
+KEYS = ["period", "part", "id"]
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEYS), F.lit(HASH_BUCKETS)).cast("int")
+
+
+def hot_buckets(feed: DataFrame, hot_rows: int) -> list[int]:
+    """Hash buckets of keys with too many reductions; the driver sees a count of each bucket."""
+    counts = feed.where("kind = 4").groupBy(_bucket().alias("b")).count().collect()
+    limit = max(hot_rows, HOT_TIMES * sum(r["count"] for r in counts) // HASH_BUCKETS)
+    return [r["b"] for r in counts if r["count"] > limit]
+
+
+def squeeze(changes: DataFrame, seq_block: int = 1 << 16) -> DataFrame:
+    """Sum a key's reductions between two other changes into the last of them. Negative ones, which
+    would make the order of sums matter, stay as they are."""
+    sums = (F.col("kind") == REDUCE) & (F.coalesce(F.col("qty"), F.lit(0)) >= 0)
+    marked = carry_max(changes.withColumn("gap", F.when(~sums, F.col("seq"))), KEYS, "seq", ["gap"], block=F.expr(f"seq div {seq_block}"))
+    summed = marked.where(sums).groupBy(*KEYS, "gap").agg(F.max("seq").alias("seq"), F.sum("qty").alias("qty"))
+    return marked.where(~sums).select(*changes.columns).unionByName(summed.withColumn("kind", F.lit(REDUCE)).select(*changes.columns))
+
+
 def settle_simple(changes: DataFrame) -> DataFrame:
     """One pass over all keys. Keys with one insert and no replacement birth are settled by running
     sums and give only their replaced rows and, if open, their last row; the others, of which
@@ -163,7 +193,7 @@ def struck_out(replacements: DataFrame) -> DataFrame:
     return bad
 
 
-def open_entries(feed: DataFrame) -> OpenEntries:
+def open_entries(feed: DataFrame, hot_rows: int = HOT_ROWS) -> OpenEntries:
     """The entries open after the last change of each period.
 
     ``feed``: ``period``, ``seq``, ``row_id``, ``kind`` (0 delete, 1 replace, 2 insert, 4 reduce),
@@ -172,6 +202,10 @@ def open_entries(feed: DataFrame) -> OpenEntries:
     reduction takes nothing off. Other columns are not read. No rows: no entries."""
     spark = feed.sparkSession
     changes = by_key(once(feed))
+    hot = hot_buckets(feed, hot_rows)
+    if hot:
+        is_hot = _bucket().isin(hot)
+        changes = changes.where(~is_hot).unionByName(squeeze(changes.where(is_hot)))
     first = materialize(settle_simple(changes), "settled")
     chained = first.where("chained").select("period", "part", "id", "seq", "kind", "qty")
     result = evaluate(chained)
@@ -182,7 +216,7 @@ def open_entries(feed: DataFrame) -> OpenEntries:
     )
     struck = materialize(struck_out(replacements), "struck")
     changed = struck
-    keys = ["period", "part", "id"]
+    keys = KEYS
     while True:
         touched = materialize(chained.where("kind = 3").join(changed, ["period", "seq"], "left_semi").select(*keys).distinct(), "touched")
         if touched.isEmpty():
