@@ -44,11 +44,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 THIN = 4 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files are too small to be. A larger table is left as its files
-    are split, without a shuffle; rows are the same either way."""
+def spread(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, columns of ``table``, over all cores where the table's files are too small to be. A larger
+    one is left as its files are split, without a shuffle; rows are the same either way. The size is
+    that of the whole table, as estimates for a choice of columns are far too low for long texts."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < THIN * cores else df
 
 
