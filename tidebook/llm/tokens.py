@@ -98,7 +98,7 @@ def _with(df: DataFrame, text: str, name: str, path: str, counts: bool, keep: li
     narrow = df.select(*keep, F.col(text).alias("__out"))
     types = dict(narrow.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"__out {'long' if counts else 'array<int>'}"])
-    return spread(narrow).mapInArrow(_mapper(path, counts), schema).withColumnRenamed("__out", name)
+    return spread(narrow, df).mapInArrow(_mapper(path, counts), schema).withColumnRenamed("__out", name)
 
 
 def with_ids(df: DataFrame, keep: list[str], text: str = "text", name: str = "ids", path: str = DEFAULT_RANKS) -> DataFrame:
