@@ -163,7 +163,9 @@ def mix(counts: DataFrame, targets: DataFrame, *, doc: str = "doc_id", source: s
     shards = spark.createDataFrame([(i, c.tolist(), b.tolist()) for i, (c, b) in enumerate(zip(got, before))], "shard int, counts array<long>, before array<long>")
     slots = shards.repartition(max(1, min(len(got), 2000)), "shard").mapInPandas(_slots(plan, seed), "shard int, slot int, source string, block long, repeat int")
     blocks = pack(named, "source", "doc_id", "n_tokens", block_tokens)
-    return Mix(slots, slots.join(blocks, ["source", "block"]))
+    # the slots' size is estimated from the few shard rows they are made of; unhinted, Spark would
+    # broadcast them however many there are
+    return Mix(slots, slots.hint("merge").join(blocks.hint("merge"), ["source", "block"]))
 
 
 def shares(rows: DataFrame, counts: DataFrame, targets: DataFrame, *, source: str = "source", tokens: str = "n_tokens") -> DataFrame:
