@@ -90,3 +90,12 @@ def test_rows(spark):
     got = s.score(df, "doc_id", model).collect()
     assert len(got) == len(rows) and sorted(r.doc_id for r in got if r.stuffed_share > 0.5) == [100, 100]
     assert s.train(df.limit(0), "doc_id") is None and s.score(df, "doc_id", None).where("stuffed_share > 0").count() == 0
+
+
+def test_trained_on_all_documents(spark):
+    rnd = random.Random(3)
+    texts = [sentence(rnd) for _ in range(6000)] + [f"Zubr {i} żyje w starej puszczy nad rzeką, gdzie znaleziono go w lesie." for i in range(3)] + [None, "", "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got, want = s.train(df, "doc_id"), s.fit(texts)
+    assert got.words == want.words and "puszczy" in got.words
+    assert (got.cost == want.cost).all() and (got.low, got.high) == (want.low, want.high)

@@ -3,7 +3,7 @@
 A text becomes a sequence of word classes: the commonest words of prose stand for themselves, other
 words for their shape (lower, capitalised, upper case, mixed with digits, commercial, link, tag,
 long or short run of an unspaced script), marks for themselves. A trigram model of these classes,
-trained on sentence lines of a bounded sample, gives every window of tokens a perplexity. Windows
+trained on the sentence lines of all documents, gives every window of tokens a perplexity. Windows
 whose perplexity is abnormally high or low against the model's own prose are not sentences; so are
 lists, songs, tables and vandalism, so an exact look follows at what such windows hold: the share of
 their words that promote, being commercial words, outside links, tags, or word pairs that the text
@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.runtime import spread
+from tidebook.runtime import materialize, spread
 
-#: The model is fitted on this many documents at most, those first by a hash of their key.
-SAMPLE_DOCS = 4000
 #: So many of the commonest prose words are classes of their own.
 FUNCTION_WORDS = 100
 #: So many after them share a class, mostly function words of the rarer languages.
@@ -47,6 +45,8 @@ OFFERS = 0.25
 LEAST = 15
 #: A link without a text counts as so many of them.
 BARE = 4
+#: Bins of the histogram of window costs, and bins a unit of cost.
+BINS, PER_UNIT = 1 << 16, 1024
 #: Entries of a worker's token cache.
 CACHE = 1_000_000
 
@@ -137,24 +137,29 @@ class Tokens(dict):
         return n
 
 
-def _numbers(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all texts end to end and where each text starts."""
+def _numbers(texts: Iterable[list[str]], tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the tokens of all texts end to end and where each text starts."""
     parts, at = [], [0]
     for t in texts:
-        p = np.fromiter(map(tokens.__getitem__, _TOKEN.findall(t)), np.int32)
+        p = np.fromiter(map(tokens.__getitem__, t), np.int32)
         parts.append(p)
         at.append(at[-1] + len(p))
     return np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(at)
 
 
-def _costs(cls: np.ndarray, at: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def _before(cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes two and one places before each, 0 beyond the start of its text."""
     one = np.r_[0, cls[:-1]] if len(cls) else cls
     two = np.r_[0, 0, cls[:-2]] if len(cls) > 1 else one
     first = at[:-1][at[:-1] < len(cls)]
     one[first] = two[first] = 0
     second = first[first + 1 < len(cls)] + 1
     two[second] = 0
-    return cost[two, one, cls]
+    return two, one
+
+
+def _costs(cls: np.ndarray, at: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    return cost[(*_before(cls, at), cls)]
 
 
 def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,45 +171,83 @@ def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][owner] + inside * WINDOW, owner
 
 
-def _offers(line: str) -> float:
-    words = [w.lower() for w in _TOKEN.findall(line) if w[0].isalnum()]
-    return sum((w if w.isalpha() else w.translate(DISGUISE)) in COMMERCIAL for w in words) / max(1, len(words))
+class _Offers(dict):
+    """Token to 0 for what is no word, 2 for a commercial word, 1 for another."""
+
+    def __missing__(self, tok: str) -> int:
+        low = tok.lower()
+        self[tok] = n = 0 if not tok[0].isalnum() else 2 if (low if low.isalpha() else low.translate(DISGUISE)) in COMMERCIAL else 1
+        return n
+
+
+def _sentences(texts: Iterable[str | None], offers: _Offers) -> Iterator[list[str]]:
+    """The tokens of the sentence lines of each text that has any."""
+    for t in texts:
+        out: list[str] = []
+        for line in (t or "").split("\n"):
+            if _SENTENCE.match(line) and "://" not in line:
+                tok = _TOKEN.findall(line)
+                kinds = [offers[x] for x in tok]
+                if kinds.count(2) <= OFFERS * max(1, len(kinds) - kinds.count(0)):
+                    out += ["\n", *tok] if out else tok
+        if out:
+            yield out
+
+
+def _prose_words(seen: Counter) -> dict[str, int]:
+    return {w: n for w, n in seen.items() if w.isalpha() and w.islower() and w not in COMMERCIAL and not _UNSPACED.search(w)}
+
+
+def _grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The cell, of k ** 3, of each class after the two before it."""
+    two, one = _before(cls, at)
+    return (two.astype(np.int64) * k + one) * k + cls
+
+
+def _cost_table(grams: np.ndarray, k: int) -> np.ndarray:
+    """-ln p from the counts of all cells; each order is smoothed by the one below, the lowest by a uniform."""
+    tri = grams.reshape(k, k, k)
+    bi = tri.sum(0)
+    uni = bi.sum(0)
+    uni = (uni + 0.5) / (uni.sum() + 0.5 * k)
+    bi = (bi + 2.0 * uni) / (bi.sum(1, keepdims=True) + 2.0)
+    tri = (tri + 2.0 * bi[None]) / (tri.sum(2, keepdims=True) + 2.0)
+    return -np.log(tri).astype(np.float32)
+
+
+def _bins(cls: np.ndarray, at: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The bin of each window's cost a token; those of short windows are a second BINS."""
+    starts, _ = _windows(at)
+    width = np.diff(np.r_[starts, len(cls)])
+    mean = np.add.reduceat(_costs(cls, at, cost), starts) / width
+    return np.minimum(mean * PER_UNIT, BINS - 1).astype(np.int64) + np.where(width == WINDOW, 0, BINS)
+
+
+def _cut_offs(bins: np.ndarray) -> tuple[float, float]:
+    """The LOW and HIGH quantiles of the costs of full windows, of all where none is full; each is
+    as exact as a bin is wide."""
+    full, short = bins[:BINS], bins[BINS:]
+    upto = np.cumsum(full if full.any() else short)
+    return tuple(float(np.searchsorted(upto, q * upto[-1]) + 0.5) / PER_UNIT for q in (LOW, HIGH))
 
 
-def fit(texts: Sequence[str]) -> Model | None:
+def fit(texts: Sequence[str | None]) -> Model | None:
     """The model of ``texts``' sentence lines; None without any."""
-    prose = ["\n".join(x for x in t.split("\n") if _SENTENCE.match(x) and "://" not in x and _offers(x) <= OFFERS) for t in texts if t]
-    prose = [p for p in prose if p]
+    prose = list(_sentences(texts, _Offers()))
     if not prose:
         return None
-    seen = Counter(w for p in prose for w in set(_TOKEN.findall(p)) if w.isalpha() and w.islower() and w not in COMMERCIAL and not _UNSPACED.search(w))
+    seen = _prose_words(Counter(w for p in prose for w in set(p)))
     words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FUNCTION_WORDS + COMMON_WORDS]]
     tokens = Tokens(words)
     ids, at = _numbers(prose, tokens)
-    cls = np.array(tokens.cls)[ids]
-    k = tokens.classes
-    one = np.r_[0, cls[:-1]]
-    two = np.r_[0, 0, cls[:-2]]
-    one[at[:-1]] = two[at[:-1]] = 0
-    second = at[:-1][at[:-1] + 1 < len(cls)] + 1
-    two[second] = 0
-    # each order is smoothed by the one below, the lowest by a uniform
-    uni = (np.bincount(cls, minlength=k) + 0.5) / (len(cls) + 0.5 * k)
-    bi = np.bincount(one * k + cls, minlength=k * k).reshape(k, k)
-    bi = (bi + 2.0 * uni) / (bi.sum(1, keepdims=True) + 2.0)
-    tri = np.bincount((two * k + one) * k + cls, minlength=k**3).reshape(k, k, k)
-    tri = (tri + 2.0 * bi[None]) / (tri.sum(2, keepdims=True) + 2.0)
-    cost = -np.log(tri).astype(np.float32)
-    starts, _ = _windows(at)
-    mean = np.add.reduceat(_costs(cls, at, cost), starts) / np.diff(np.r_[starts, len(cls)])
-    full = np.diff(np.r_[starts, len(cls)]) == WINDOW
-    mean = mean[full] if full.any() else mean
-    return Model(words, cost, float(np.quantile(mean, LOW)), float(np.quantile(mean, HIGH)))
+    cls, k = np.array(tokens.cls)[ids], tokens.classes
+    cost = _cost_table(np.bincount(_grams(cls, at, k), minlength=k**3), k)
+    return Model(words, cost, *_cut_offs(np.bincount(_bins(cls, at, cost), minlength=2 * BINS)))
 
 
 def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray:
     """Of each text the share of its tokens' characters in abnormal and promoting windows."""
-    ids, at = _numbers(texts, tokens)
+    ids, at = _numbers(map(_TOKEN.findall, texts), tokens)
     out = np.zeros(len(texts))
     if not len(ids):
         return out
@@ -274,15 +317,77 @@ def _scorer(model: Model):
     return run
 
 
-def train(df: DataFrame, key: str, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Fit on at most ``sample_docs`` documents, picked by a hash of ``key``."""
-    rows = df.where(F.col(text).isNotNull())
-    n = rows.count()
-    if not n:
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each prose word the texts that have it; a word may come out several times."""
+    offers, seen = _Offers(), Counter()
+
+    def out() -> pa.RecordBatch:
+        words = _prose_words(seen)
+        seen.clear()
+        offers.clear()
+        return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
+
+    for b in batches:
+        for p in _sentences(b.column(0).to_pylist(), offers):
+            seen.update(set(p))
+            if len(seen) > CACHE:
+                yield out()
+    yield out()
+
+
+def _classify(words: Sequence[str]):
+    """The classes of the sentence lines of each text that has any, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offers, tokens = _Offers(), Tokens(words)
+        for b in batches:
+            if len(tokens) > CACHE:
+                offers, tokens = _Offers(), Tokens(words)
+            ids, at = _numbers(_sentences(b.column(0).to_pylist(), offers), tokens)
+            cls = np.array(tokens.cls)[ids].astype(np.uint8) if len(ids) else ids
+            yield pa.RecordBatch.from_pydict({"classes": pa.array([cls[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())})
+
+    return run
+
+
+def _count_cells(cells, size: int):
+    """How often ``cells`` names each of ``size`` cells for the classes of all texts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            if texts:
+                cls = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+                got, n = np.unique(cells(cls, np.cumsum([0, *map(len, texts)])), return_counts=True)
+                total[got] += n
+        where = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(where, pa.int64()), "n": pa.array(total[where], pa.int64())})
+
+    return run
+
+
+def _cell_counts(classes: DataFrame, cells, size: int) -> np.ndarray:
+    """The counts of all tasks added; ``size`` is fixed, whatever the number of documents."""
+    got = classes.mapInArrow(_count_cells(cells, size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(size, np.int64)
+    total[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return total
+
+
+def train(df: DataFrame, key: str, text: str = "text") -> Model | None:
+    """What ``fit`` makes of the texts of all rows, by counts of tasks that are added; neither the
+    order nor the partitions matter, nor does ``key``."""
+    texts = spread(df.select(F.col(text).alias("__text")), df)
+    seen = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [r.word for r in seen.orderBy(F.desc("n"), "word").limit(FUNCTION_WORDS + COMMON_WORDS).collect()]
+    classes = materialize(texts.mapInArrow(_classify(words), "classes binary"), "classes")
+    k = Tokens(words).classes
+    grams = _cell_counts(classes, lambda cls, at: _grams(cls, at, k), k**3)
+    if not grams.any():
         return None
-    share = min(1.0, sample_docs / n)
-    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select(text).limit(int(sample_docs * 1.2))
-    return fit(sorted(r[0] for r in picked.collect()))
+    cost = _cost_table(grams, k)
+    return Model(words, cost, *_cut_offs(_cell_counts(classes, lambda cls, at: _bins(cls, at, cost), 2 * BINS)))
 
 
 def score(df: DataFrame, key: str, model: Model | None, text: str = "text") -> DataFrame:
