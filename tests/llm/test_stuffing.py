@@ -99,3 +99,48 @@ def test_trained_on_all_documents(spark):
     got, want = s.train(df, "doc_id"), s.fit(texts)
     assert got.words == want.words and "puszczy" in got.words
     assert (got.cost == want.cost).all() and (got.low, got.high) == (want.low, want.high)
+
+
+PHRASES = {
+    "polish": "tanie buty damskie sklep internetowy kurtki zimowe torebki skórzane zegarki męskie wyprzedaż".split(),
+    "arabic": "شراء أحذية رخيصة متجر حقائب ساعات عروض تخفيضات ملابس نسائية توصيل مجاني".split(),
+}
+
+
+def title(rnd):
+    return " ".join(rnd.sample(NOUNS, 2)).title()
+
+
+@pytest.mark.parametrize("kind", ["bracket", "bare", "markdown", "bbcode", "html", *PHRASES])
+def test_stuffed_without_listed_words(model, kind):
+    rnd = random.Random(kind)
+    text = {
+        "bracket": lambda: "\n".join(f"* [http://site{i}.test {title(rnd)} {i}]" for i in range(30)),
+        "bare": lambda: "\n".join(f"* http://site{i}.test/ {title(rnd).lower()} number {i}" for i in range(30)),
+        "markdown": lambda: "\n".join(f"- [{title(rnd)} {title(rnd)}](http://site{i}.test/a)" for i in range(30)),
+        "bbcode": lambda: " ".join(f"[url=http://site{i}.test/a]{title(rnd)} {title(rnd)}[/url]" for i in range(30)),
+        "html": lambda: "\n".join(f'<a href="http://site{i}.test/a">{title(rnd)} {title(rnd)}</a>' for i in range(30)),
+    }.get(kind, lambda: ", ".join(" ".join(rnd.sample(PHRASES[kind], 3)) for _ in range(50)))()
+    assert share(model, text) > 0.5
+
+
+@pytest.mark.parametrize("kind", ["references", "templates", "three"])
+def test_cited_and_stray_links_are_fair(model, kind):
+    rnd = random.Random(kind)
+    text = {
+        "references": lambda: "\n".join(f"{sentence(rnd)}<ref>[http://c{i}.test/a {title(rnd)}]</ref>" for i in range(20)),
+        "templates": lambda: "\n".join(f"* {{{{cite web|url=http://c{i}.test/a|title={title(rnd)}|date={1990 + i}}}}}" for i in range(20)),
+        "three": lambda: "A stub on a village.\n" + "\n".join(f"[http://d.test/x{i} {title(rnd)}]" for i in range(3)),
+    }[kind]()
+    assert share(model, text) < 0.3
+
+
+def test_reference_left_open_hides_no_links(model):
+    links = "\n".join(f"https://site{i}.test/a" for i in range(30))
+    assert share(model, "Since 1766 it has stood.<ref>Old Town\n" + links) > 0.5
+
+
+def test_what_stray_links_stray_into_is_not_counted(model):
+    rnd = random.Random(2)
+    lines = "\n".join(f"[[Category:{title(rnd)}s of Valley{i}]]\n[[Category:{title(rnd)}s of Market{i}]]" + f"\n[http://d.test/{i} {title(rnd)}]" for i in range(5))
+    assert share(model, sentence(rnd) + "\n" + lines) < 0.5

@@ -6,8 +6,9 @@ long or short run of an unspaced script), marks for themselves. A trigram model
 trained on the sentence lines of all documents, gives every window of tokens a perplexity. Windows
 whose perplexity is abnormally high or low against the model's own prose are not sentences; so are
 lists, songs, tables and vandalism, so an exact look follows at what such windows hold: the share of
-their words that promote, being commercial words, outside links, tags, or word pairs that the text
-repeats over and over. A document is stuffed if windows that are both abnormal and promoting hold
+their words that promote, being outside links with their anchors unless they cite a source, tags,
+words and word pairs that the text repeats over and over without function words, or commercial words;
+no word list has to be met. A document is stuffed if windows that are both abnormal and promoting hold
 more than half of its characters.
 """
 
@@ -39,12 +40,15 @@ PROMOTING = 0.25
 #: A word pair promotes when a text has it so often in abnormal windows with at most this share of
 #: function words, which songs and sentences exceed.
 REPEATED, SPARSE = 5, 0.12
+#: A single word promotes when it is in so many such pairs, with so many different partners; what is
+#: said over and over in the same words has fewer.
+PARTNERS = 4
 #: Lines with a greater share of commercial words do not train.
 OFFERS = 0.25
 #: A case has so many promoting words at least; stray links in a short page have fewer.
 LEAST = 15
-#: A link without a text counts as so many of them.
-BARE = 4
+#: A link with its anchor counts as so many of them.
+LINKED = 4
 #: Bins of the histogram of window costs, and bins a unit of cost.
 BINS, PER_UNIT = 1 << 16, 1024
 #: Entries of a worker's token cache.
@@ -97,6 +101,7 @@ class Tokens(dict):
         self.fixed = {w: own + i if i < FUNCTION_WORDS else COMMON for i, w in enumerate(words)} | {m: len(_SHAPES) + i for i, m in enumerate(_MARKS)}
         self.classes = own + min(FUNCTION_WORDS, len(words))
         self.cls, self.norm, self.size, self.kind = array("i"), array("i"), array("i"), array("b")
+        self.ref = array("b")  # 1 opens a reference, -1 closes one
         self.norms: dict[str, int] = {}
 
     def __missing__(self, tok: str) -> int:
@@ -106,7 +111,7 @@ class Tokens(dict):
         if len(tok) > 4 and (low.startswith(("http", "www."))):
             c, kind = LINK, 3
         elif head in "#<" and len(tok) > 1:
-            c, kind = TAG, 4 if head == "#" or "tags" in low else 0
+            c, kind = TAG, 4 if head == "#" or "tags" in low else 3 if "://" in low and "href" in low else 0
         elif alnum:
             digits = sum(x.isdigit() for x in tok)
             if 0 < digits < len(tok):
@@ -133,6 +138,7 @@ class Tokens(dict):
         self.norm.append(self.norms.setdefault(word, len(self.norms)) if alnum and kind != 3 else -1)
         self.size.append(len(tok))
         self.kind.append(kind)
+        self.ref.append(-1 if low == "</ref>" else int(low == "<ref>" or low.startswith("<ref ") and not low.endswith("/>")))
         self[tok] = n
         return n
 
@@ -245,6 +251,61 @@ def fit(texts: Sequence[str | None]) -> Model | None:
     return Model(words, cost, *_cut_offs(np.bincount(_bins(cls, at, cost), minlength=2 * BINS)))
 
 
+def _next(where: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` places the first at or after it where ``where`` holds, else ``size``."""
+    at = np.append(np.flatnonzero(where), size)
+    return at[np.searchsorted(at, np.arange(size))]
+
+
+def _linked(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which tokens are outside links that cite no source, which stand in the anchor of one, and
+    which are links that do cite one. A link cites when it stands in a reference that is closed, or when its
+    line has a number of four digits, as a year, and, as bibliographies do, a title in italics or a template open at the link.
+
+    The anchor runs to the bracket that closes the link, in the markup that has it, else to the end
+    of the line or table cell; in ``[anchor](link)`` it runs back."""
+    n = len(ids)
+    link = np.array(tokens.kind)[ids] == 3
+    none = np.zeros(n, bool)
+    if not link.any():
+        return none, none, none
+    is_ = lambda t: ids == tokens.get(t, -9)
+    first = np.zeros(n + 1, bool)
+    first[at[:-1]] = True
+    first = first[:n]
+    breaks = is_("\n") | first
+    line = np.cumsum(breaks)
+    text = np.cumsum(first)
+
+    years = [i for t, i in tokens.items() if len(t) == 4 and t.isdecimal()]
+    has = lambda x: np.bincount(line, weights=x)[line] > 0
+    italics = is_("'") & np.r_[is_("'")[1:], False]
+    # the reference mark before a token opens, the one after it closes, and both are of its text
+    marks = np.array(tokens.ref)[ids]
+    here = np.flatnonzero(marks)
+    after = np.searchsorted(here, np.arange(n))
+    sign, of = np.r_[0, marks[here], 0], np.r_[-1, text[here], -1]
+    in_ref = (sign[after] == 1) & (of[after] == text) & (sign[after + 1] == -1) & (of[after + 1] == text)
+    depth = np.cumsum(is_("{{").astype(np.int64) - is_("}}"))
+    in_template = depth - np.r_[0, depth[:-1]][np.flatnonzero(breaks)][line - 1] > 0
+    cited = link & (in_ref | (has(np.isin(ids, years)) & (has(italics) | in_template)))
+    where = np.flatnonzero(link & ~cited)
+    before = lambda t, k: (is_(t)[np.maximum(where - k, 0)]) & (where >= k)
+    end = np.minimum(_next(np.r_[breaks[1:], True], n)[where] + 1, n)
+    square, cell = _next(is_("]") | is_("]]"), n), _next(is_("|"), n)
+    bracket, code = before("[", 1), before("=", 1) & (square[where] == where + 1)
+    opening = _next(is_("[") | is_("[["), n)[where]
+    end = np.minimum(end, np.where(bracket, square[where], np.where(code, opening, cell[where])))
+    back = before("(", 1) & before("]", 2)
+    last = np.maximum.accumulate(np.where(is_("[") | breaks, np.arange(n), 0))
+    end = np.where(back, where + 1, end)
+    begin = np.where(back, last[where], where)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    return link & ~cited, np.cumsum(edge)[:n] > 0, cited
+
+
 def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray:
     """Of each text the share of its tokens' characters in abnormal and promoting windows."""
     ids, at = _numbers(map(_TOKEN.findall, texts), tokens)
@@ -264,13 +325,9 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     words = add(kind >= 1)
     common = (cls >= len(_SHAPES) + len(_MARKS)) | (cls == COMMON)
     sparse = add(common) <= SPARSE * np.maximum(words, 1)
-    # an outside link promotes if it stands bare or its text does
-    ahead = np.concatenate([kind, np.zeros(4, kind.dtype)])
-    bare = ~((ahead[1 : len(kind) + 1] >= 1) & (ahead[1 : len(kind) + 1] <= 2))
-    says = (ahead[1 : len(kind) + 1] == 2) | (ahead[2 : len(kind) + 2] == 2) | (ahead[3 : len(kind) + 3] == 2)
-    quoted = np.r_[cls[1:], 0] == tokens.fixed["'"]
-    bare &= (kind == 3) & ~quoted
-    promo &= (kind != 3) | bare | says
+    linked, anchor, cited = _linked(ids, at, tokens)
+    promo = (promo & ~cited) | (anchor & (kind >= 1) & (kind <= 2))
+    own = (kind == 2) | (kind == 4)
     link_open, link_close = tokens.get("[[", -9), tokens.get("]]", -9)
     depth = np.cumsum((ids == link_open).astype(np.int32) - (ids == link_close))
     outside = depth - depth[at[:-1].clip(max=len(ids) - 1)][of_text] <= 0
@@ -283,7 +340,14 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
         key = (of_text[where].astype(np.int64) * base + norm[where]) * base + norm[where + 1]
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         often = where[count[inverse] >= REPEATED]
-        promo[often] = promo[often + 1] = True
+        # words in many pairs; the partners of a word are counted once each
+        word = np.concatenate([key // base, key // (base * base) * base + key % base])
+        partner = np.concatenate([norm[where + 1], norm[where]])
+        _, of, n = np.unique(word, return_inverse=True, return_counts=True)
+        pairs = np.unique(of.astype(np.int64) * base + partner)
+        varied = (n[of] >= 2 * REPEATED) & (np.bincount(pairs // base)[of] >= PARTNERS)
+        for x in (often, often + 1, where[varied[: len(where)]], where[varied[len(where) :]] + 1):
+            promo[x] = own[x] = True
     hits = add(promo)
 
     def near(x: np.ndarray) -> np.ndarray:
@@ -297,8 +361,11 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     promoting = (hits >= PROMOTING * np.maximum(words, 1)) & (near(hits) >= PROMOTING * np.maximum(near(words), 1)) & (hits > 0)
     chars = add(size)
     bad = abnormal & promoting
-    enough = np.bincount(owner, weights=np.where(bad, hits + (BARE - 1) * add(bare), 0), minlength=len(texts)) >= LEAST
-    bad = np.bincount(owner, weights=np.where(bad, chars, 0), minlength=len(texts))
+    enough = np.bincount(owner, weights=np.where(bad, add(own & ~anchor) + LINKED * add(linked), 0), minlength=len(texts)) >= LEAST
+    # of a window that promotes by its links only these and their anchors count, not what they strayed into
+    keyed = add(own & ~anchor) >= PROMOTING * np.maximum(words, 1)
+    part = np.where(keyed, chars, add(np.where(anchor | own, size, 0)))
+    bad = np.bincount(owner, weights=np.where(bad, part, 0), minlength=len(texts))
     return np.where(enough, bad / np.maximum(np.bincount(owner, weights=chars, minlength=len(texts)), 1), 0)
 
 
