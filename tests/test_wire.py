@@ -12,7 +12,7 @@ from tidebook.functions.layout import DEFAULT, Venue
 from tidebook.operators import messages as ms
 from tidebook.sources import export
 from tidebook.sources import framing as fr
-from tidebook.sources.feed import diagnostics, read_frames, synced, write_stream
+from tidebook.sources.feed import FeedReader, diagnostics, read_frames, synced, write_stream
 
 
 def body(code, locate=1, tracking=2, ts=1_651_500_000, **values):
@@ -233,6 +233,21 @@ def test_split_reading_gives_the_same_frames(spark, day):
     assert [r.seq for r in rows[:2]] == [0, 14]
 
 
+@pytest.mark.parametrize("odd", [1400, 3500])
+def test_split_reading_keeps_frames_after_unknown_ones(tmp_path, odd):
+    known, unknown = pre(S()), pre(b"?" + bytes(60))
+    p = tmp_path / "odd.bin"
+    p.write_bytes(known * 8000 + unknown * odd + known * 8000)
+    options = {"path": str(p), "framing": "raw"}
+
+    def read(o):
+        x = FeedReader(o, False)
+        return [r[2:5] for part in x.partitions() for r in x.read(part)]
+
+    whole = read(options)
+    assert len(whole) == 16_000 + odd and read(options | {"splitbytes": "50000"}) == whole
+
+
 def test_sync_finds_frame_starts(day):
     _, bodies = day
     data = b"".join(map(pre, bodies))

@@ -9,8 +9,9 @@ Rows: ``file``, ``seq``, ``message_type``, ``body``, ``error``, and for packets
 ``seq`` is the frame's ordinal in its file, or, with ``splitBytes``, its byte offset, which orders
 just as well and needs no count of what comes before. A raw stream has no marks to split at: a task
 starting inside a file goes BACK bytes, finds the first offset from which SYNC frames follow that are
-exactly as long as their types say, and walks to its range; it reads until the first frame that begins
-beyond it.
+exactly as long as their types say, and walks to its range; where there is none before the range, it
+goes back twice as far, at last to the start of the file. It reads until the first frame that begins
+beyond its range.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ FRAMES = "file string, seq bigint, message_type string, body binary, error strin
 PACKETS = "file string, packet bigint, session string, first_seq bigint, msg_count int, kind string, n_frames int"
 #: Frames in a row that must fit for a task to trust its start.
 SYNC = 16
-#: So far before its range a task sets out.
+#: So far before its range a task sets out at first.
 BACK = 65_536
 #: The largest body of any known type.
 LARGEST = max(t.wire_size for t in DEFAULT.types.values())
@@ -77,10 +78,10 @@ class Range(InputPartition):
     split: bool = False
 
 
-def synced(data: bytes, at: int) -> int | None:
-    """The first offset from ``at`` on where SYNC frames of known types and exact sizes follow; None
-    if there is none. Empty frames between them do not count."""
-    for begin in range(at, len(data)):
+def synced(data: bytes, at: int, last: int | None = None) -> int | None:
+    """The first offset from ``at`` on, up to ``last``, where SYNC frames of known types and exact
+    sizes follow; None if there is none. Empty frames between them do not count."""
+    for begin in range(at, len(data) if last is None else min(len(data), last + 1)):
         pos, n = begin, 0
         while n < SYNC and pos + 3 <= len(data):
             size = data[pos] << 8 | data[pos + 1]
@@ -160,15 +161,16 @@ class FeedReader(DataSourceReader):
                     return
 
     def _split(self, part: Range) -> Iterator[tuple]:
-        """Frames that begin in [start, end). The walk sets out BACK bytes before, where there are
+        """Frames that begin in [start, end). The walk sets out at or before start, where there are
         frames enough to be sure of, and so meets the range where the range before it ended."""
-        begin = max(0, part.start - BACK)
-        with _open(part.path) as f:
-            f.seek(begin)
-            data = f.read(part.end - begin + LARGEST + 65_538)
-        at = 0 if begin == 0 else synced(data, 0)
-        if at is None:
-            raise ValueError(f"{part.path}: no frames to be sure of after byte {begin}; read it without splitBytes")
+        back, at = BACK, None
+        while at is None:
+            begin = max(0, part.start - back)
+            with _open(part.path) as f:
+                f.seek(begin)
+                data = f.read(part.end - begin + LARGEST + 65_538)
+            at = 0 if begin == 0 else synced(data, 0, part.start - begin)
+            back *= 2
         view = memoryview(data)
         while begin + at < part.end and at + 2 <= len(data):
             size = view[at] << 8 | view[at + 1]
