@@ -248,6 +248,17 @@ def test_split_reading_keeps_frames_after_unknown_ones(tmp_path, odd):
     assert len(whole) == 16_000 + odd and read(options | {"splitbytes": "50000"}) == whole
 
 
+@pytest.mark.parametrize("size", [10, 10**9])
+def test_split_reading_refuses_what_needs_the_whole_file(tmp_path, size):
+    p = tmp_path / "a.bin"
+    p.write_bytes(pre(S()) + pre(S("C")) + pre(S("Q")))
+    options = {"path": str(p), "framing": "raw", "splitbytes": str(size)}
+    assert FeedReader(options, False).partitions()
+    for o, packets in ((options | {"stop_at_end": "true"}, False), (options, True)):
+        with pytest.raises(ValueError, match="splitBytes"):
+            FeedReader(o, packets).partitions()
+
+
 def test_sync_finds_frame_starts(day):
     _, bodies = day
     data = b"".join(map(pre, bodies))

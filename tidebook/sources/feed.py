@@ -3,7 +3,8 @@
 Options: ``path`` (files, comma-separated, globs allowed); ``framing`` raw, mold, soup, pcap or auto;
 ``mode`` permissive (errors are rows), dropmalformed (errors are left out) or failfast; ``unknown``
 keep or error; ``stop_at_end`` (leave a file after the system event C); ``dst_port`` for captures;
-``emit`` frames or packets; ``splitBytes`` to read one raw file in several tasks.
+``emit`` frames or packets; ``splitBytes`` to read one raw file in several tasks, which is refused
+together with ``stop_at_end`` or packets.
 
 Rows: ``file``, ``seq``, ``message_type``, ``body``, ``error``, and for packets the transport columns.
 ``seq`` is the frame's ordinal in its file, or, with ``splitBytes``, its byte offset, which orders
@@ -115,6 +116,8 @@ class FeedReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         step = int(self.options.get("splitbytes", 0))
+        if step and (self.packets or self.options.get("stop_at_end", "false").lower() == "true"):
+            raise ValueError("splitBytes goes with neither stop_at_end nor emit=packets, whatever the size of a file")
         out: list[InputPartition] = []
         for p in _files(self.options):
             size = _size(p)
