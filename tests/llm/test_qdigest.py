@@ -55,3 +55,11 @@ def test_nulls_nan_out_of_range_and_empty(spark):
 def test_clashing_names(spark):
     df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 9, "y")], "g string, n int, v long, p string")
     assert [r.percentile for r in q.percentiles(q.summarize(df, ["g"], q.quantize(F.col("v")), 0.1), ["g"], [1.0], 0.1).collect()] == [9]
+
+
+def test_bound_says_something_at_the_tails(spark, tmp_path):
+    from tidebook.llm import plans
+
+    spark.range(6400).selectExpr("date'2020-01-30' AS session_date", "1 AS stock_locate", "id AS price", "id AS shares").write.parquet(str(tmp_path / "add_order.parquet"))
+    for r in plans.p2_percentiles(spark, str(tmp_path)).collect():
+        assert r.max_rank_error < min(r.p, 1 - r.p) * r.n / 5

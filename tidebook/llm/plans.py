@@ -9,7 +9,7 @@ from tidebook.llm import mixing, qdigest, stuffing, tokens
 from tidebook.llm.nearest import nearest
 from tidebook.runtime import load, materialize
 
-EPS = 0.01
+EPS = 0.001
 PROBS = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 TOLERANCE_NS = 50_000_000
 
