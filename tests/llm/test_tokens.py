@@ -43,6 +43,20 @@ def test_long_texts():
     assert tk.decode(tk.encode(run)) == run
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab'sre 1\n\t\ré中あ\U0001f600!.,  \x1c\x85\u0301"), max_size=60))
+def test_pieces_have_the_ids_of_the_whole(text):
+    assert tk.by_pieces(text) == tk.encoding(tk.DEFAULT_RANKS).encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "\u0301", "中", "中。", " \n"])
+def test_runs_of_millions(unit):
+    short = "b" + unit * 40_000 + "a"
+    assert tk.by_pieces(short) == tk.encoding(tk.DEFAULT_RANKS).encode_ordinary(short) == tk.encode(short)
+    text = "b" + unit * (2_000_000 // len(unit)) + "a"
+    assert tk.decode(tk.encode(text)) == text
+
+
 def test_rows(spark):
     rows = [(1, "two words", "k"), (2, None, None), (3, "", "k"), (1, "two words", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

@@ -2,9 +2,11 @@
 
 Texts longer than LONG are first cut where the vocabulary's own splitting pattern is sure to end a
 piece: between a letter, digit or punctuation mark and a following space or line feed. Each part then
-has the ids it has in the whole, and no part's merges need the whole text. A run without such a
-place stays one part. Decoding joins the tokens' raw bytes before it reads them as UTF-8, since a
-token may end inside a character.
+has the ids it has in the whole, and no part's merges need the whole text. A part that has no such
+place for long, as a run of millions of spaces or a text in a script without spaces, never meets the
+encoder's own splitter, whose stack a run of a million blanks overflows: its pieces are found here and
+each is merged from its bytes. Decoding joins the tokens' raw bytes before it reads them as UTF-8,
+since a token may end inside a character.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.runtime import spread
-
 #: Fixed values of the public vocabulary: its splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Code points from which a text is encoded in parts.
 LONG = 100_000
+#: Code points from which a part is split into pieces here.
+OVERLONG = 2 * LONG
+_PIECE = regex.compile(PATTERN)
 _CUT = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])")
 
 
@@ -65,7 +68,16 @@ def encode(text: str | None, path: str = DEFAULT_RANKS) -> list[int]:
     enc = encoding(path)
     if len(text) <= LONG:
         return enc.encode_ordinary(text)
-    return [i for p in parts(text) for i in enc.encode_ordinary(p)]
+    return [i for p in parts(text) for i in (enc.encode_ordinary(p) if len(p) <= OVERLONG else by_pieces(p, path))]
+
+
+def by_pieces(text: str, path: str = DEFAULT_RANKS) -> list[int]:
+    """As ``encode``, a piece of the splitting pattern at a time, in time linear in the text. Lone
+    surrogates, which no UTF-8 holds, are U+FFFD, as the encoder takes them."""
+    enc = encoding(path)
+    if not text.isprintable():
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return [i for m in _PIECE.finditer(text) for i in enc._encode_single_piece(m.group().encode())]
 
 
 def decode(ids: list[int], path: str = DEFAULT_RANKS) -> str:
@@ -98,7 +110,7 @@ def _with(df: DataFrame, text: str, name: str, path: str, counts: bool, keep: li
     narrow = df.select(*keep, F.col(text).alias("__out"))
     types = dict(narrow.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"__out {'long' if counts else 'array<int>'}"])
-    return spread(narrow, df).mapInArrow(_mapper(path, counts), schema).withColumnRenamed("__out", name)
+    return narrow.mapInArrow(_mapper(path, counts), schema).withColumnRenamed("__out", name)
 
 
 def with_ids(df: DataFrame, keep: list[str], text: str = "text", name: str = "ids", path: str = DEFAULT_RANKS) -> DataFrame:
