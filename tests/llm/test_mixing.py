@@ -18,9 +18,31 @@ def test_permutation(n):
 
 
 def test_draws_meet_quotas():
-    got, before = m.draw_shards([9000, 500, 1], 3)
-    assert got.sum(axis=0).tolist() == [9000, 500, 1] and (got.sum(axis=1)[:-1] == m.SHARD_SLOTS).all()
-    assert (before + got)[-1].tolist() == [9000, 500, 1]
+    quota = [9000, 500, 1, 70_000]
+    got = list(m.draw_shards(quota, 3))
+    assert [s for s, _, _ in got] == list(range(len(got)))
+    counts = np.array([c for _, c, _ in got])
+    assert counts.min() >= 0 and counts.sum(axis=0).tolist() == quota and (counts.sum(axis=1)[:-1] == m.SHARD_SLOTS).all()
+    assert (np.array([b for _, _, b in got]) == np.cumsum(counts, axis=0) - counts).all()
+    part = list(m.draw_shards(quota, 3, 5, 9))  # a range of shards is the same whoever draws it
+    assert [(s, c.tolist(), b.tolist()) for s, c, b in part] == [(s, c.tolist(), b.tolist()) for s, c, b in got[5:9]]
+    assert list(m.draw_shards([], 3)) == list(m.draw_shards([0, 0], 3)) == []
+
+
+def test_draws_of_very_many_shards():
+    """Any shard comes from its path, in a mix of 10 ** 12 slots too."""
+    quota = [10**12, 3, 5 * 10**11]
+    (s, c, before), = m.draw_shards(quota, 3, 123_456_789, 123_456_790)
+    assert s == 123_456_789 and c.sum() == m.SHARD_SLOTS and before.sum() == s * m.SHARD_SLOTS
+
+
+def test_sources_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET_DOCS", 37)
+    counts = spark.createDataFrame([(i, "ab"[i % 3 == 0], 1 + i % 50) for i in range(900)], "doc long, source string, n long")
+    for s in "ab":
+        at = sorted((r.block * 16 + r["at"], r.block * 16 + r["at"] + r.token_to - r.token_from) for r in m.pack(counts, "source", "doc", "n", 16).where(f"source = '{s}'").collect())
+        total = sum(1 + i % 50 for i in range(900) if "ab"[i % 3 == 0] == s)
+        assert at[0][0] == 0 and at[-1][1] == total and all(x[1] == y[0] for x, y in zip(at, at[1:]))
 
 
 def docs():

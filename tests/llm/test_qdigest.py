@@ -25,7 +25,7 @@ def test_rank_error_after_merges(spark, shape):
     rows = [(day, rnd.choice(["a", None]), draw()) for day in range(4) for _ in range(5000)]
     df = spark.createDataFrame(rows, "day int, g string, v long").repartition(7)
     eps = 0.1
-    days = q.summarize(df, ["day", "g"], q.quantize(F.col("v")), eps)
+    days = q.summarize(df, ["day", "g"], {"v": q.quantize(F.col("v"))}, eps)
     whole = q.merge(days, ["g"], eps)
     assert whole.count() < 2 * 3 * q.size_for(eps) + 100
     got = q.percentiles(whole, ["g"], [0.0, 0.01, 0.5, 0.9, 1.0], eps).collect()
@@ -34,6 +34,20 @@ def test_rank_error_after_merges(spark, shape):
         check([v for _, h, v in rows if h == g], [r for r in got if r.g == g], q.size_for(eps))
 
 
+@pytest.mark.parametrize("fan_in, held", [(2, 40), (3, 1_000_000)])
+def test_merges_in_levels(spark, monkeypatch, fan_in, held):
+    monkeypatch.setattr(q, "FAN_IN", fan_in)
+    monkeypatch.setattr(q, "HELD", held)
+    rnd = random.Random(fan_in)
+    rows = [(rnd.choice("aaab"), rnd.randrange(3000), rnd.choice([None, 5])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v long, w long").repartition(9)
+    whole = q.summarize(df, ["g"], {"v": q.quantize(F.col("v")), "w": q.quantize(F.col("w"))}, 0.1)
+    got = q.percentiles(whole, ["g", "metric"], [0.1, 0.5, 0.9], 0.1).collect()
+    for g in "ab":
+        check([v for h, v, _ in rows if h == g], [r for r in got if r.g == g and r.metric == "v"], q.size_for(0.1))
+        check([w for h, _, w in rows if h == g and w], [r for r in got if r.g == g and r.metric == "w"], q.size_for(0.1))
+
+
 def test_counts_survive_folding():
     rng = np.random.default_rng(3)
     group, node = rng.integers(0, 5, 20_000), rng.integers(0, 2**20, 20_000)
@@ -47,14 +61,14 @@ def test_counts_survive_folding():
 
 def test_nulls_nan_out_of_range_and_empty(spark):
     df = spark.createDataFrame([("a", None), ("a", float("nan")), ("a", -5.0), ("a", 2.25), ("a", 1e30), ("b", None)], "g string, v double")
-    got = q.percentiles(q.summarize(df, ["g"], q.quantize(F.col("v"), 0, 0.5), 0.01), ["g"], [0.01, 0.5, 1.0], 0.01, 0, 0.5).orderBy("p").collect()
+    got = q.percentiles(q.summarize(df, ["g"], {"v": q.quantize(F.col("v"), 0, 0.5)}, 0.01), ["g"], [0.01, 0.5, 1.0], 0.01, 0, 0.5).orderBy("p").collect()
     assert [(r.g, r.n, r.percentile) for r in got] == [("a", 4, 0.0), ("a", 4, 2.0), ("a", 4, (2**32 - 1) * 0.5)]
-    assert q.summarize(df.limit(0), ["g"], q.quantize(F.col("v")), 0.01).count() == 0
+    assert q.summarize(df.limit(0), ["g"], {"v": q.quantize(F.col("v"))}, 0.01).count() == 0
 
 
 def test_clashing_names(spark):
     df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 9, "y")], "g string, n int, v long, p string")
-    assert [r.percentile for r in q.percentiles(q.summarize(df, ["g"], q.quantize(F.col("v")), 0.1), ["g"], [1.0], 0.1).collect()] == [9]
+    assert [r.percentile for r in q.percentiles(q.summarize(df, ["g"], {"v": q.quantize(F.col("v"))}, 0.1), ["g"], [1.0], 0.1).collect()] == [9]
 
 
 def test_bound_says_something_at_the_tails(spark, tmp_path):

@@ -64,3 +64,5 @@ def test_rows(spark):
     assert [(r.doc_id, r.ids) for r in got] == [(1, tk.encode("two words"))] * 2 + [(2, []), (3, [])]
     assert [tuple(r) for r in sorted(tk.with_counts(df, ["doc_id"]).collect())] == [(1, 2), (1, 2), (2, 0), (3, 0)]
     assert tk.with_ids(df.limit(0), ["doc_id"]).count() == 0
+    back = tk.with_texts(tk.with_ids(df, ["doc_id"]), ["doc_id"]).collect()
+    assert sorted(map(tuple, back)) == [(1, "two words"), (1, "two words"), (2, ""), (3, "")]

@@ -7,7 +7,7 @@ the sources' quotas, so the totals are met exactly. A source's j-th slot overall
 ``perm(j mod n)`` of repeat ``j div n``, perm a pseudorandom permutation of its n blocks computed by
 a Feistel network, so no block comes again before all others of its source have come and none more
 often than allowed. Slots then join the blocks on source and index. Nothing but one row per source
-and per shard passes the driver.
+passes the driver: the shards' draws are leaves of a tree that every task walks for its own range.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 256
 SHARD_SLOTS = 4096
-#: A mix has so many shards at most; beyond, shards grow.
-MAX_SHARDS = 10_000
-#: Documents of a source are spread over so many buckets for the running sums.
-BUCKETS = 1024
+#: Shards a task draws, where there are more than tasks can run at once.
+TASK_SHARDS = 256
+#: Documents of a source in a bucket of the running sums, on average.
+BUCKET_DOCS = 65_536
 MAX_TARGETS = 10_000
 
 
@@ -59,8 +59,15 @@ def pack(counts: DataFrame, source: str, doc: str, tokens: str, block_tokens: in
     """The blocks, one row per document in each: source, ``block``, ``doc``, ``token_from``,
     ``token_to`` (places in the document) and ``at`` (place in the block). Rows with a null source or
     without tokens are in no block. ``doc`` must be unique. A source of any size is summed by hash
-    buckets of its documents, then within a bucket."""
-    rows = counts.where(F.col(source).isNotNull() & (F.col(tokens) > 0)).select(source, doc, tokens, F.pmod(F.xxhash64(doc), F.lit(BUCKETS)).cast("int").alias("__bucket"))
+    buckets of about BUCKET_DOCS of its documents, then within a bucket."""
+    rows = counts.where(F.col(source).isNotNull() & (F.col(tokens) > 0)).select(source, doc, tokens)
+    sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).limit(MAX_TARGETS + 1).collect()
+    if len(sizes) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} sources")
+    buckets = {r[source]: -(-r["n"] // BUCKET_DOCS) for r in sizes if r["n"] > BUCKET_DOCS}
+    # sources of one bucket need no entry
+    many = F.coalesce(F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv])[F.col(source)], F.lit(1)) if buckets else F.lit(1)
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(doc), many.cast("long")))
     sums = rows.groupBy(F.col(source).alias("__s"), F.col("__bucket").alias("__b")).agg(F.sum(tokens).alias("__sum"))
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("__s", "__b", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
@@ -99,39 +106,54 @@ def plan_quotas(targets: Sequence[tuple[str, float, int, int]], block_tokens: in
     return Plan([s for s, *_ in live], [t for *_, t in live], n, quota)
 
 
-def draw_shards(quota: Sequence[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per shard the slots of each source, and those of each in earlier shards: multinomial draws
-    with the chances the remaining quotas give, never beyond a quota."""
-    left = np.array(quota, np.int64)
-    size = max(SHARD_SLOTS, -(-int(left.sum()) // MAX_SHARDS))
-    rng, counts = np.random.default_rng(seed), []
-    while left.sum():
-        want = min(size, int(left.sum()))
-        got = np.minimum(rng.multinomial(want, left / left.sum()), left)
-        while got.sum() < want:  # what was beyond a quota goes to the source with most left
-            most = int(np.argmax(left - got))
-            got[most] += min(want - got.sum(), left[most] - got[most])
-        counts.append(got)
-        left = left - got
-    c = np.array(counts, np.int64).reshape(-1, len(quota))
-    return c, np.cumsum(c, axis=0) - c
+def draw_shards(quota: Sequence[int], seed: int, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source in it, those of each in earlier shards) for shards ``lo`` to ``hi``,
+    all by default. Shards are the leaves of a binary tree: a node's counts are split between its
+    halves by draws with the chances its quotas give, corrected to the halves' sizes, so totals are
+    exact and any range of shards comes from its path alone, whichever task asks."""
+    total = int(sum(quota))
+    n = -(-total // SHARD_SLOTS)
+    hi = n if hi is None else min(hi, n)
+
+    def walk(a: int, b: int, have: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= lo or a >= hi:
+            return
+        if b - a == 1:
+            yield a, have, before
+            return
+        mid = (a + b) // 2
+        want = (mid - a) * SHARD_SLOTS
+        left = np.random.default_rng([seed, a, b]).binomial(have, want / have.sum())
+        gap = want - int(left.sum())
+        while gap:  # spread what is missing or too much by what each source can still give or take
+            room = have - left if gap > 0 else left
+            part = np.minimum(room, -(-abs(gap) * room // room.sum()))
+            over = np.cumsum(part) - abs(gap)
+            part = np.maximum(part - np.maximum(over, 0), 0)
+            left = left + (part if gap > 0 else -part)
+            gap = want - int(left.sum())
+        yield from walk(a, mid, left, before)
+        yield from walk(mid, b, have - left, before + left)
+
+    if n:
+        yield from walk(0, n, np.array(quota, np.int64), np.zeros(len(quota), np.int64))
 
 
 def _slots(plan: Plan, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for row in f.itertuples():
-                counts = np.asarray(row.counts, np.int64)
+            ids = np.sort(f["id"].to_numpy())  # a task's shards follow each other
+            for shard, counts, before in draw_shards(plan.quota, seed, int(ids[0]), int(ids[-1]) + 1) if len(ids) else ():
                 code = np.repeat(np.arange(len(counts)), counts)
-                j = np.concatenate([b + np.arange(c) for b, c in zip(row.before, counts)]) if len(code) else np.empty(0, np.int64)
+                j = np.concatenate([b + np.arange(c) for b, c in zip(before, counts)])
                 n = np.asarray(plan.n, np.int64)[code]
                 repeat, block = j // n, np.empty(len(j), np.int64)
                 for c in range(len(counts)):
                     for e in np.unique(repeat[code == c]):
                         pick = (code == c) & (repeat == e)
                         block[pick] = permute(j[pick] % plan.n[c], plan.n[c], (seed * 1_000_003 + c * 8191 + int(e)) & (2**63 - 1))
-                slot = np.random.default_rng([seed, int(row.shard)]).permutation(len(j))
-                yield pd.DataFrame({"shard": int(row.shard), "slot": slot, "source": np.asarray(plan.sources, object)[code], "block": block, "repeat": repeat.astype(np.int32)})
+                slot = np.random.default_rng([seed, shard]).permutation(len(j))
+                yield pd.DataFrame({"shard": shard, "slot": slot, "source": np.asarray(plan.sources, object)[code], "block": block, "repeat": repeat.astype(np.int32)})
 
     return run
 
@@ -154,15 +176,16 @@ def mix(counts: DataFrame, targets: DataFrame, *, doc: str = "doc_id", source: s
     spark = counts.sparkSession
     named = counts.select(F.col(doc).alias("doc_id"), normal_source(source).alias("source"), F.col(tokens).alias("n_tokens"))
     wanted = targets.groupBy(normal_source("source").alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("w"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("r")).where(F.col("source").isNotNull())
-    have = named.join(F.broadcast(wanted.select("source")) if wanted.count() <= MAX_TARGETS else wanted.select("source"), "source").groupBy("source").agg(F.sum("n_tokens").alias("t"))
+    few = wanted.count() <= MAX_TARGETS
+    have = named.join(F.broadcast(wanted.select("source")) if few else wanted.select("source"), "source").groupBy("source").agg(F.sum("n_tokens").alias("t"))
     rows = wanted.join(have, "source").limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     plan = plan_quotas([(r["source"], r["w"], r["r"], r["t"]) for r in rows], block_tokens, total_tokens)
-    got, before = draw_shards(plan.quota, seed) if plan.sources else (np.empty((0, 0), np.int64), np.empty((0, 0), np.int64))
-    shards = spark.createDataFrame([(i, c.tolist(), b.tolist()) for i, (c, b) in enumerate(zip(got, before))], "shard int, counts array<long>, before array<long>")
-    slots = shards.repartition(max(1, min(len(got), 2000)), "shard").mapInPandas(_slots(plan, seed), "shard int, slot int, source string, block long, repeat int")
-    blocks = pack(named, "source", "doc_id", "n_tokens", block_tokens)
+    n_shards = -(-sum(plan.quota) // SHARD_SLOTS)
+    tasks = max(1, min(n_shards, max(spark.sparkContext.defaultParallelism, n_shards // TASK_SHARDS)))
+    slots = spark.range(0, n_shards, 1, tasks).mapInPandas(_slots(plan, seed), "shard long, slot int, source string, block long, repeat int")
+    blocks = pack(named.join(F.broadcast(wanted.select("source")) if few else wanted.select("source"), "source"), "source", "doc_id", "n_tokens", block_tokens)
     # the slots' size is estimated from the few shard rows they are made of; unhinted, Spark would
     # broadcast them however many there are
     return Mix(slots, slots.hint("merge").join(blocks.hint("merge"), ["source", "block"]))

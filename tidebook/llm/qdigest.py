@@ -8,25 +8,26 @@ counts node by node, which keeps that bound with the added n. A rank read from a
 by at most the counts of the inner nodes over the answer: BITS * floor(n / k), whatever the data, the
 order of the rows or the number of merges.
 
-Each task folds what it reads, so it sends at most about 3 k nodes a group; equal nodes are then
-added (partially on the map side) and folded again.
+Each task folds what it reads, so it sends at most about 3 k nodes a group; these are added and folded
+again in levels, FAN_IN tasks' summaries of a group at a time, so that no task meets those of all.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 32
 #: Nodes a task holds before it folds them.
 HELD = 1_000_000
-#: Input files per merge salt: so many partial summaries of a group meet in one task at most.
-FAN_IN = 512
+#: So many partial summaries of a group meet in one task at most.
+FAN_IN = 64
 
 
 def size_for(eps: float) -> int:
@@ -104,13 +105,19 @@ def _fold_table(t: pa.Table, keys: Sequence[str], k: int) -> pa.Table:
     return pa.table([*[t[n].take(at) for n in keys], pa.array(lv, pa.int32()), pa.array(nd, pa.int64()), pa.array(ct, pa.int64())], names=[*keys, "__level", "__node", "__count"])
 
 
-def _partial(keys: Sequence[str], k: int):
+def _partial(keys: Sequence[str], names: Sequence[str], k: int):
+    """Folds a task's rows, all metrics together; their column follows ``keys``."""
+    given, keys = list(keys), [*keys, "metric"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for b in batches:
-            n = b.num_rows
-            t = pa.Table.from_batches([b]).append_column("__level", pa.array(np.zeros(n, np.int32)))
-            held.append(t.group_by([*keys, "__level", "__node"], use_threads=False).aggregate([("__count", "sum")]).rename_columns([*keys, "__level", "__node", "__count"]))
+            t = pa.Table.from_batches([b])
+            for i, name in enumerate(names):
+                one = t.select([*given, f"__c{i}"]).rename_columns([*given, "__node"])
+                one = one.filter(pc.is_valid(one["__node"])).group_by([*given, "__node"], use_threads=False).aggregate([([], "count_all")]).rename_columns([*given, "__node", "__count"])
+                n = one.num_rows
+                held.append(pa.table([*[one[c] for c in given], pa.array([name] * n, pa.string()), pa.array(np.zeros(n, np.int32)), one["__node"], one["__count"]], names=[*keys, "__level", "__node", "__count"]))
             if sum(x.num_rows for x in held) > HELD:
                 held = [_fold_table(pa.concat_tables(held), keys, k)]
                 if held[0].num_rows > HELD // 2:  # many groups: hand over, the merge adds them
@@ -122,51 +129,68 @@ def _partial(keys: Sequence[str], k: int):
 
 
 def _refold(keys: Sequence[str], k: int):
-    """Folds whole groups; the input is sorted by ``keys`` inside a partition, and the group that
-    the last batch breaks off in waits for the next."""
+    """Folds whole groups; the input is sorted by ``keys`` inside a partition. Pieces of the group that a
+    batch breaks off in wait as they are and are folded when they are many, so a group of any number of
+    summaries is read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.Table] = []
+        last: tuple | None = None
+
+        def folded() -> pa.Table:
+            return _fold_table(pa.concat_tables(held).combine_chunks(), keys, k)
+
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            last = np.ones(t.num_rows, bool)
+            differs = np.zeros(t.num_rows, bool)
             for n in keys:
                 v = t[n].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                last &= v == v[-1]
-            cut = t.num_rows - int(last[::-1].argmin()) if not last.all() else 0
-            rest = t.slice(cut)
-            if cut:
-                yield from _fold_table(t.slice(0, cut), keys, k).to_batches(max_chunksize=50_000)
-        if rest is not None and rest.num_rows:
-            yield from _fold_table(rest, keys, k).to_batches(max_chunksize=50_000)
+                differs |= v != v[-1]
+            cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            if cut or last is not None and last != tuple(t[n][0].as_py() for n in keys):
+                held.append(t.slice(0, cut))
+                yield from folded().to_batches(max_chunksize=50_000)
+                held = []
+            held.append(t.slice(cut))
+            last = tuple(t[n][-1].as_py() for n in keys)
+            if len(held) > 1 and sum(x.num_rows for x in held) > HELD:
+                held = [folded()]
+        if held:
+            yield from folded().to_batches(max_chunksize=50_000)
 
     return run
 
 
-def _schema(df: DataFrame, keys: Sequence[str]) -> str:
+def _schema(df: DataFrame, keys: Sequence[str], *more: str) -> str:
     types = dict(df.dtypes)
-    return ", ".join([*(f"`{n}` {types[n]}" for n in keys), "__level int", "__node long", "__count long"])
+    return ", ".join([*(f"`{n}` {types[n]}" for n in keys), *more, "__level int", "__node long", "__count long"])
 
 
-def summarize(df: DataFrame, keys: Sequence[str], cell: Column, eps: float) -> DataFrame:
-    """Summaries of ``cell`` (see ``quantize``) per ``keys``: keys, ``__level``, ``__node``,
-    ``__count``. Rows with a null cell are left out; null keys are groups like any other; repeated
-    rows count; an empty table gives no summary."""
+def summarize(df: DataFrame, keys: Sequence[str], cells: Mapping[str, Column], eps: float) -> DataFrame:
+    """Summaries of each of ``cells`` (name to column, see ``quantize``) per ``keys``: keys, ``metric``
+    (the name), ``__level``, ``__node``, ``__count``. Rows with a null cell are left out of its metric;
+    null keys are groups like any other; repeated rows count; an empty table gives no summary."""
     k = size_for(eps)
-    leaves = df.select(*keys, cell.alias("__node"), F.lit(1).cast("long").alias("__count")).where(F.col("__node").isNotNull())
-    partial = leaves.mapInArrow(_partial(list(keys), k), _schema(leaves, keys))
-    salts = 1 + len(df.inputFiles()) // FAN_IN
-    if salts > 1:
-        partial = merge(partial.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts))), [*keys, "__salt"], eps)
-    return merge(partial, keys, eps)
+    leaves = df.select(*keys, *[c.alias(f"__c{i}") for i, c in enumerate(cells.values())])
+    partial = leaves.mapInArrow(_partial(list(keys), list(cells), k), _schema(leaves, keys, "metric string"))
+    whole = [*keys, "metric"]
+    tasks = leaves.rdd.getNumPartitions()  # of a scan, that is, from its plan
+    if tasks > FAN_IN:
+        partial = partial.withColumn("__part", F.spark_partition_id())
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        partial = merge(partial.withColumn("__part", F.expr(f"__part div {FAN_IN}").cast("int")), [*whole, "__part"], eps)
+    return merge(partial, whole, eps)
 
 
 def merge(summaries: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
     """Add the summaries of each group of ``keys`` node by node and fold the sums. Summaries made
-    with the same eps of separate partitions, files or days merge; other columns are dropped."""
-    added = summaries.groupBy(*keys, "__level", "__node").agg(F.sum("__count").alias("__count"))
-    return added.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_refold(list(keys), size_for(eps)), _schema(added, keys))
+    with the same eps of separate partitions, files or days merge; other columns are dropped. For more
+    than FAN_IN summaries a group, merge by a part of them first."""
+    nodes = summaries.select(*keys, "__level", "__node", "__count")
+    return nodes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_refold(list(keys), size_for(eps)), _schema(nodes, keys))
 
 
 def percentiles(summaries: DataFrame, keys: Sequence[str], probs: Sequence[float], eps: float, lo: float = 0, step: float = 1) -> DataFrame:

@@ -122,3 +122,16 @@ def with_ids(df: DataFrame, keep: list[str], text: str = "text", name: str = "id
 def with_counts(df: DataFrame, keep: list[str], text: str = "text", name: str = "n_tokens", path: str = DEFAULT_RANKS) -> DataFrame:
     """``keep`` and the number of tokens of each row's text, 0 for an empty or null one."""
     return _with(df, text, name, path, True, keep)
+
+
+def with_texts(df: DataFrame, keep: list[str], ids: str = "ids", name: str = "text", path: str = DEFAULT_RANKS) -> DataFrame:
+    """``keep`` and the text of each row's list of ids, "" for an empty or null one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [decode(x or [], path) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "__out"])
+
+    narrow = df.select(*keep, F.col(ids).alias("__out"))
+    types = dict(narrow.dtypes)
+    return narrow.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "__out string"])).withColumnRenamed("__out", name)
