@@ -98,7 +98,8 @@ def test_trained_on_all_documents(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     got, want = s.train(df, "doc_id"), s.fit(texts)
     assert got.words == want.words and "puszczy" in got.words
-    assert (got.cost == want.cost).all() and (got.low, got.high) == (want.low, want.high)
+    assert (got.prose == want.prose).all() and (got.pages == want.pages).all()
+    assert (got.low, got.high, got.page_high) == (want.low, want.high, want.page_high)
 
 
 PHRASES = {
@@ -144,3 +145,29 @@ def test_what_stray_links_stray_into_is_not_counted(model):
     rnd = random.Random(2)
     lines = "\n".join(f"[[Category:{title(rnd)}s of Valley{i}]]\n[[Category:{title(rnd)}s of Market{i}]]" + f"\n[http://d.test/{i} {title(rnd)}]" for i in range(5))
     assert share(model, sentence(rnd) + "\n" + lines) < 0.5
+
+
+def unseen(rnd, kind):
+    """Spam of words, marks and layouts that no threshold was chosen by."""
+    goods = ["".join(rnd.choice("bdfglmnprstvz") + rnd.choice("aeiou") for _ in range(3)) for _ in range(8)]
+    offer = lambda: " ".join(rnd.sample(goods, rnd.randrange(2, 5)))
+    return {
+        "bars": lambda: " | ".join(offer() for _ in range(60)),
+        "lines": lambda: "\n".join(offer() for _ in range(70)),
+        "stars": lambda: " ★ ".join(offer().upper() for _ in range(60)),
+        "headings": lambda: "\n".join(f"== {offer()} ==" for _ in range(50)),
+        "farm": lambda: "\n".join(f"<li><a href='https://{x}{i}.test/'>{offer()}</a></li>" for i, x in enumerate(goods * 5)),
+        "www": lambda: ", ".join(f"www.{rnd.choice(goods)}{i}.test/{rnd.choice(goods)}" for i in range(50)),
+        "hash": lambda: "\n".join(" ".join("#" + rnd.choice(goods) + rnd.choice(goods) for _ in range(6)) for _ in range(12)),
+        "hidden": lambda: "<div style='display:none'>" + "; ".join(offer() for _ in range(60)) + "</div>",
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["bars", "lines", "stars", "headings", "farm", "www", "hash", "hidden"])
+def test_recall_on_unseen_spam(model, kind):
+    rnd = random.Random(kind)
+    pages = [prose(rnd, 2) + "\n" + unseen(rnd, kind) for _ in range(20)]
+    got = s.stuffed_shares(pages, model, s.Tokens(model.words))
+    assert (got > 0.5).mean() >= 0.9
+    assert (s.stuffed_shares([prose(rnd, 40) + "\n" + unseen(rnd, kind)[:600] for _ in range(20)], model, s.Tokens(model.words)) < 0.5).all()
+

@@ -136,11 +136,32 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return _stuffed(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_within_bound, p2_coarse_within_bound, p3_found, p8_ids, p8_decoded, p9_mix, p9_shares, p9_promises, p10_found, p10_shares)}
+_MADE = """
+    SELECT s_suppkey AS doc_id, CASE s_suppkey % 6
+      WHEN 0 THEN array_join(transform(sequence(1, 40), i -> concat('* http://made', s_suppkey * i, '.test/p?id=', i)), '\\n')
+      WHEN 1 THEN array_join(transform(sequence(1, 40), i -> concat('* [[', s_name, ' ', i, ']]')), '\\n')
+      WHEN 2 THEN array_join(transform(sequence(1, 60), i -> concat('#', element_at(goods, pmod(hash(i, s_suppkey), 8) + 1), element_at(goods, pmod(hash(i, s_suppkey, 1), 8) + 1))), ' ')
+      WHEN 3 THEN array_join(transform(sequence(1, 20), i -> concat('The old mill of ', s_name, ' was first described in ', 1500 + i, ' and has been moved to the harbour since.')), '\\n')
+      WHEN 4 THEN array_join(transform(sequence(1, 90), i -> concat(element_at(goods, pmod(hash(i, s_suppkey), 8) + 1), ' ', element_at(goods, pmod(hash(i, s_suppkey, 1), 8) + 1), if(i % 7 = 0, ',', ''))), ' ')
+      ELSE concat('#REDIRECT [[', s_name, ']]') END AS text
+    FROM (SELECT *, array('zorgol', 'plindex', 'gizmar', 'blorpine', 'quaffet', 'snarfle', 'drimbo', 'fozzle') AS goods FROM {supplier})
+"""
+
+
+def p10_made(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that are links, tags or keywords, or a list, sentences or a redirect, by construction, scored
+    by the model of the documents."""
+    pages = spark.sql(_MADE, supplier=load(spark, d, "supplier"))
+    shares = stuffing.score(pages, "doc_id", stuffing.train(load(spark, d, "documents"), "doc_id"))
+    return shares.select("doc_id", (F.col("stuffed_share") > 0.5).alias("stuffed"))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_within_bound, p2_coarse_within_bound, p3_found, p8_ids, p8_decoded, p9_mix, p9_shares, p9_promises, p10_found, p10_shares, p10_made)}
 
 _METRICS_2 = "(SELECT stock_locate, 'price' AS metric, price AS value FROM add_order UNION ALL SELECT stock_locate, 'shares', shares FROM add_order)"
 
 ORACLES = {
+    "p10_made": "SELECT s_suppkey AS doc_id, s_suppkey % 6 IN (0, 2, 4) AS stuffed FROM supplier",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_promises": """
       SELECT DISTINCT lower(trim(t.source)) AS source, true AS within_cap, true AS whole, true AS near_share FROM mix_target t

@@ -1,15 +1,19 @@
 """Pages that are keywords, link lists or product tags rather than sentences.
 
 A text becomes a sequence of word classes: the commonest words of prose stand for themselves, other
-words for their shape (lower, capitalised, upper case, mixed with digits, commercial, link, tag,
-long or short run of an unspaced script), marks for themselves. A trigram model of these classes,
-trained on the sentence lines of all documents, gives every window of tokens a perplexity. Windows
-whose perplexity is abnormally high or low against the model's own prose are not sentences; so are
-lists, songs, tables and vandalism, so an exact look follows at what such windows hold: the share of
-their words that promote, being outside links with their anchors unless they cite a source, tags,
-words and word pairs that the text repeats over and over without function words, or commercial words;
-no word list has to be met. A document is stuffed if windows that are both abnormal and promoting hold
-more than half of its characters.
+words for their shape (lower, capitalised, upper case, mixed with digits, link, tag, long or short run
+of an unspaced script), marks for themselves. Two trigram models of these classes give every window of
+tokens a perplexity: one is trained on the sentence lines of all documents, the other on what whole
+pages hold (infoboxes, lists, tables, references), each page counting a trigram once and patterns that
+few pages have backing off to what is common to many. A window is abnormal if neither model
+explains it, that is if both perplexities are beyond those of the corpus' own prose, or if it is far
+more regular than prose.
+
+Redirects, songs, glossaries and vandalism are abnormal too, so such windows must also promote: hold
+outside links with their anchors unless they cite a source, tags, or keywords, which are words that the
+text says over and over in its abnormal windows, each time beside other words, and that prose does not
+use much. There is no list of words. A document is stuffed if windows that are both abnormal and
+promoting hold more than half of its characters.
 """
 
 from __future__ import annotations
@@ -25,71 +29,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.runtime import materialize, spread
+from tidebook.runtime import materialize
 
 #: So many of the commonest prose words are classes of their own.
 FUNCTION_WORDS = 100
-#: So many after them share a class, mostly function words of the rarer languages.
+#: So many of them are no keywords however often a text has them.
+PROSE_WORDS = 300
+#: So many after the first share a class, mostly function words of the rarer languages.
 COMMON_WORDS = 600
 #: Tokens a window.
 WINDOW = 16
-#: Prose windows outside these quantiles of their own perplexity count as abnormal.
-LOW, HIGH = 0.05, 0.9
+#: Windows outside these quantiles of the perplexity of prose windows count as abnormal.
+LOW, HIGH = 0.01, 0.9
+#: What a share of all pages have, or this many of a small corpus, counts as much as what shorter
+#: contexts say of it.
+PAGE_SHARE, PAGES = 0.02, 20
 #: Share of a window's words (with its neighbours) that must promote.
-PROMOTING = 0.25
-#: A word pair promotes when a text has it so often in abnormal windows with at most this share of
-#: function words, which songs and sentences exceed.
-REPEATED, SPARSE = 5, 0.12
-#: A single word promotes when it is in so many such pairs, with so many different partners; what is
-#: said over and over in the same words has fewer.
-PARTNERS = 4
-#: Lines with a greater share of commercial words do not train.
-OFFERS = 0.25
-#: A case has so many promoting words at least; stray links in a short page have fewer.
+PROMOTING = 0.2
+#: A keyword comes so often in the abnormal windows of a text, with so many different words at most
+#: NEXT tokens away. What is sung or said over and over in the same words has fewer.
+REPEATED, PARTNERS, NEXT = 4, 3, 2
+#: Windows with a greater share of function words hold no keywords.
+SPARSE = 0.35
+#: A case has so many keywords, tags and links at least, a link counting as LINKED; stray links in a
+#: short page are fewer.
 LEAST = 15
-#: A link with its anchor counts as so many of them.
 LINKED = 4
 #: Bins of the histogram of window costs, and bins a unit of cost.
 BINS, PER_UNIT = 1 << 16, 1024
 #: Entries of a worker's token cache.
 CACHE = 1_000_000
 
-# Words of offers in the languages of the corpus, then goods and services.
-COMMERCIAL = frozenset(
-    """
-    buy cheap cheapest discount discounts sale sales price prices shipping prescription official store online coupon promo deal deals bonus top best low free near me instant
-    kaufen billig günstig günstige rabatt angebot angebote sofort bestellen kostenlos
-    acheter cher promo livraison gratuite ligne remise soldes
-    comprar barato barata baratos oferta ofertas gratis línea descuento envío
-    αγορά φθηνά προσφορά προσφορές έκπτωση δωρεάν
-    купить дешево скидка скидки онлайн заказать недорого бесплатно
-    通販 最安値 送料無料 激安 格安 即日 無料
-    casino poker loan loans payday mortgage insurance credit crédit kredit préstamo crypto forex dating chat pills viagra vitamin serum detox diet
-    watch watches handbags handbag sunglasses sneaker sneakers shoes perfume jewelry ring wig hair extensions essay writing outlet voucher ticket tickets hosting proxy
-    locksmith plumber dentist lawyer massage cleaning repair roof solar panels mattress sofa rug kettle blender toner battery laptop webcam drone backpack tent toy bike tyre limo villa vape kit coffee
-    schlüsseldienst handtaschen abnehmen tabletten uhren auskunft serrurier urgence montres sac marque relojes cerrajero urgente ρολόγια ремонт крыши 時計 バッグ ダイエット 融資 hxxp
-    """.split()
-)
 #: What stands for which letter in disguised words.
 DISGUISE = str.maketrans("013457@$", "oieastas")
 
-_TOKEN = re.compile(r"(?:https?://|www\.)[^\s\]|<>]+|#\w+|</?\w[^<>\n]{0,200}>|\[\[|\]\]|\{\{|\}\}|[^\W_]+(?:['’][^\W_]+)?|\n|[^\w\s]|_")
+_TOKEN = re.compile(r"(?:https?://|www\.)[^\s\]|<>]+|(?<![\w&])#(?=\w*[^\W\d])\w+|</?\w[^<>\n]{0,200}>|\[\[|\]\]|\{\{|\}\}|[^\W_]+(?:['’][^\W_]+)?|\n|[^\w\s]|_")
 _SENTENCE = re.compile(r"^(?:''')?\w[^|{}<>\n]{38,}[.。!?]['\"»」]?\s*$")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _MARKS = list(".,;:!?'\"()=*#|-–—/«»「」·。、&%+") + ["[[", "]]", "{{", "}}", "\n"]
-_SHAPES = ["<start>", "lower", "capital", "upper", "mixed", "number", "commercial", "link", "tag", "long run", "short run", "mark", "common"]
-COMM, LINK, TAG, OTHER, COMMON = (_SHAPES.index(x) for x in ("commercial", "link", "tag", "mark", "common"))
+_SHAPES = ["<start>", "lower", "capital", "upper", "mixed", "number", "link", "tag", "long run", "short run", "mark", "common"]
+LINK, TAG, OTHER, COMMON = (_SHAPES.index(x) for x in ("link", "tag", "mark", "common"))
+WORD, OUTSIDE, TAGGED = 1, 2, 3
+NO_RANK = 1 << 30
 
 
 @dataclass
 class Model:
-    """``words``: the prose words in order; ``cost``: -ln p of the third class after two;
-    windows costing less than ``low`` or more than ``high`` a token are abnormal."""
+    """``words``: the prose words in order; ``prose`` and ``pages``: -ln p of the third class after
+    two, of sentence lines and of whole pages; the cut-offs of windows' costs a token."""
 
     words: list[str]
-    cost: np.ndarray
+    prose: np.ndarray
+    pages: np.ndarray
     low: float
     high: float
+    page_high: float
 
 
 class Tokens(dict):
@@ -100,27 +94,27 @@ class Tokens(dict):
         own = len(_SHAPES) + len(_MARKS)
         self.fixed = {w: own + i if i < FUNCTION_WORDS else COMMON for i, w in enumerate(words)} | {m: len(_SHAPES) + i for i, m in enumerate(_MARKS)}
         self.classes = own + min(FUNCTION_WORDS, len(words))
-        self.cls, self.norm, self.size, self.kind = array("i"), array("i"), array("i"), array("b")
+        self.ranks = {w: i for i, w in enumerate(words)}
+        self.cls, self.norm, self.size, self.rank = array("i"), array("i"), array("i"), array("i")
+        self.kind, self.small = array("b"), array("b")
         self.ref = array("b")  # 1 opens a reference, -1 closes one
         self.norms: dict[str, int] = {}
 
     def __missing__(self, tok: str) -> int:
         low = tok.lower()
         head, alnum, word = tok[0], tok[0].isalnum(), low
-        kind = 0  # 0 mark, 1 word, 2 promoting word, 3 link, 4 tag
+        kind = 0  # a mark, number or plain tag
         if len(tok) > 4 and (low.startswith(("http", "www."))):
-            c, kind = LINK, 3
+            c, kind = LINK, OUTSIDE
         elif head in "#<" and len(tok) > 1:
-            c, kind = TAG, 4 if head == "#" or "tags" in low else 3 if "://" in low and "href" in low else 0
+            c, kind = TAG, TAGGED if head == "#" or "tags" in low else OUTSIDE if "://" in low and "href" in low else 0
         elif alnum:
             digits = sum(x.isdigit() for x in tok)
             if 0 < digits < len(tok):
                 word = low.translate(DISGUISE)
-            kind = 2 if word in COMMERCIAL else 1
-            if tok in self.fixed or low in self.fixed:
-                c = self.fixed.get(low, self.fixed.get(tok, 0))
-            elif kind == 2:
-                c = COMM
+            kind = WORD
+            if low in self.fixed:
+                c = self.fixed[low]
             elif digits == len(tok):
                 c, kind = _SHAPES.index("number"), 0
             elif digits:
@@ -135,9 +129,11 @@ class Tokens(dict):
             c = self.fixed.get(tok, OTHER)
         n = len(self.cls)
         self.cls.append(c)
-        self.norm.append(self.norms.setdefault(word, len(self.norms)) if alnum and kind != 3 else -1)
+        self.norm.append(self.norms.setdefault(word, len(self.norms)) if alnum and kind != OUTSIDE else -1)
         self.size.append(len(tok))
+        self.rank.append(self.ranks.get(low, NO_RANK))
         self.kind.append(kind)
+        self.small.append(head.islower())
         self.ref.append(-1 if low == "</ref>" else int(low == "<ref>" or low.startswith("<ref ") and not low.endswith("/>")))
         self[tok] = n
         return n
@@ -177,31 +173,20 @@ def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][owner] + inside * WINDOW, owner
 
 
-class _Offers(dict):
-    """Token to 0 for what is no word, 2 for a commercial word, 1 for another."""
-
-    def __missing__(self, tok: str) -> int:
-        low = tok.lower()
-        self[tok] = n = 0 if not tok[0].isalnum() else 2 if (low if low.isalpha() else low.translate(DISGUISE)) in COMMERCIAL else 1
-        return n
-
-
-def _sentences(texts: Iterable[str | None], offers: _Offers) -> Iterator[list[str]]:
+def _sentences(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """The tokens of the sentence lines of each text that has any."""
     for t in texts:
         out: list[str] = []
         for line in (t or "").split("\n"):
             if _SENTENCE.match(line) and "://" not in line:
                 tok = _TOKEN.findall(line)
-                kinds = [offers[x] for x in tok]
-                if kinds.count(2) <= OFFERS * max(1, len(kinds) - kinds.count(0)):
-                    out += ["\n", *tok] if out else tok
+                out += ["\n", *tok] if out else tok
         if out:
             yield out
 
 
 def _prose_words(seen: Counter) -> dict[str, int]:
-    return {w: n for w, n in seen.items() if w.isalpha() and w.islower() and w not in COMMERCIAL and not _UNSPACED.search(w)}
+    return {w: n for w, n in seen.items() if w.isalpha() and w.islower() and not _UNSPACED.search(w)}
 
 
 def _grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -210,14 +195,21 @@ def _grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return (two.astype(np.int64) * k + one) * k + cls
 
 
-def _cost_table(grams: np.ndarray, k: int) -> np.ndarray:
-    """-ln p from the counts of all cells; each order is smoothed by the one below, the lowest by a uniform."""
+def _page_grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The cells of all texts, each once a text."""
+    text = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
+    return np.unique(text * k**3 + _grams(cls, at, k)) % k**3
+
+
+def _cost_table(grams: np.ndarray, k: int, weight: float) -> np.ndarray:
+    """-ln p from the counts of all cells; each order is smoothed by the one below as if that had been
+    seen ``weight`` times, the lowest by a uniform."""
     tri = grams.reshape(k, k, k)
     bi = tri.sum(0)
     uni = bi.sum(0)
     uni = (uni + 0.5) / (uni.sum() + 0.5 * k)
-    bi = (bi + 2.0 * uni) / (bi.sum(1, keepdims=True) + 2.0)
-    tri = (tri + 2.0 * bi[None]) / (tri.sum(2, keepdims=True) + 2.0)
+    bi = (bi + weight * uni) / (bi.sum(1, keepdims=True) + weight)
+    tri = (tri + weight * bi[None]) / (tri.sum(2, keepdims=True) + weight)
     return -np.log(tri).astype(np.float32)
 
 
@@ -229,26 +221,44 @@ def _bins(cls: np.ndarray, at: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return np.minimum(mean * PER_UNIT, BINS - 1).astype(np.int64) + np.where(width == WINDOW, 0, BINS)
 
 
-def _cut_offs(bins: np.ndarray) -> tuple[float, float]:
-    """The LOW and HIGH quantiles of the costs of full windows, of all where none is full; each is
-    as exact as a bin is wide."""
+def _both_bins(cls: np.ndarray, at: np.ndarray, prose: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    return np.r_[_bins(cls, at, prose), 2 * BINS + _bins(cls, at, pages)]
+
+
+def _cut_off(bins: np.ndarray, q: float) -> float:
+    """The ``q`` quantile of the costs of full windows, of all where none is full, as exact as a bin is
+    wide."""
     full, short = bins[:BINS], bins[BINS:]
     upto = np.cumsum(full if full.any() else short)
-    return tuple(float(np.searchsorted(upto, q * upto[-1]) + 0.5) / PER_UNIT for q in (LOW, HIGH))
+    return float(np.searchsorted(upto, q * upto[-1]) + 0.5) / PER_UNIT
+
+
+def _page_table(grams: np.ndarray, k: int, pages: int) -> np.ndarray:
+    """The costs of whole pages. Links and tags cost what chance does at least: that many pages are
+    made of them makes them no better."""
+    cost = _cost_table(grams, k, max(PAGES, PAGE_SHARE * pages))
+    cost[:, :, [LINK, TAG]] = np.maximum(cost[:, :, [LINK, TAG]], np.log(k))
+    return cost
+
+
+def _model(words: list[str], prose: np.ndarray, pages: np.ndarray, bins: np.ndarray) -> Model:
+    return Model(words, prose, pages, _cut_off(bins[: 2 * BINS], LOW), _cut_off(bins[: 2 * BINS], HIGH), _cut_off(bins[2 * BINS :], HIGH))
 
 
 def fit(texts: Sequence[str | None]) -> Model | None:
-    """The model of ``texts``' sentence lines; None without any."""
-    prose = list(_sentences(texts, _Offers()))
-    if not prose:
+    """The model of ``texts``; None without any sentence line."""
+    lines = list(_sentences(texts))
+    if not lines:
         return None
-    seen = _prose_words(Counter(w for p in prose for w in set(p)))
+    seen = _prose_words(Counter(w for p in lines for w in set(p)))
     words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FUNCTION_WORDS + COMMON_WORDS]]
     tokens = Tokens(words)
-    ids, at = _numbers(prose, tokens)
+    ids, at = _numbers(lines, tokens)
     cls, k = np.array(tokens.cls)[ids], tokens.classes
-    cost = _cost_table(np.bincount(_grams(cls, at, k), minlength=k**3), k)
-    return Model(words, cost, *_cut_offs(np.bincount(_bins(cls, at, cost), minlength=2 * BINS)))
+    prose = _cost_table(np.bincount(_grams(cls, at, k), minlength=k**3), k, 2.0)
+    whole, ends = _numbers((_TOKEN.findall(t or "") for t in texts), tokens)
+    pages = _page_table(np.bincount(_page_grams(np.array(tokens.cls)[whole], ends, k), minlength=k**3), k, int((np.diff(ends) > 0).sum()))
+    return _model(words, prose, pages, np.bincount(_both_bins(cls, at, prose, pages), minlength=4 * BINS))
 
 
 def _next(where: np.ndarray, size: int) -> np.ndarray:
@@ -265,7 +275,7 @@ def _linked(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray
     The anchor runs to the bracket that closes the link, in the markup that has it, else to the end
     of the line or table cell; in ``[anchor](link)`` it runs back."""
     n = len(ids)
-    link = np.array(tokens.kind)[ids] == 3
+    link = np.array(tokens.kind)[ids] == OUTSIDE
     none = np.zeros(n, bool)
     if not link.any():
         return none, none, none
@@ -306,48 +316,51 @@ def _linked(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray
     return link & ~cited, np.cumsum(edge)[:n] > 0, cited
 
 
+def _keywords(norm: np.ndarray, rank: np.ndarray, usable: np.ndarray, of_text: np.ndarray, base: int) -> np.ndarray:
+    """Which of the ``usable`` tokens are keywords of their text: rare in prose, repeated, beside
+    several different words."""
+    out = np.zeros(len(norm), bool)
+    where = np.flatnonzero(usable & (rank >= PROSE_WORDS))
+    if not len(where):
+        return out
+    key = of_text.astype(np.int64) * base + norm
+    words, inverse, count = np.unique(key[where], return_inverse=True, return_counts=True)
+    place = np.flatnonzero(usable & (rank >= FUNCTION_WORDS))
+    a, b = place[:-1], place[1:]
+    beside = (b - a <= NEXT) & (of_text[a] == of_text[b]) & (norm[a] != norm[b])
+    a, b = np.r_[a[beside], b[beside]], np.r_[b[beside], a[beside]]
+    at = np.searchsorted(words, key[a]).clip(max=len(words) - 1)
+    known = words[at] == key[a]
+    pairs = np.unique(at[known].astype(np.int64) * base + norm[b[known]])
+    chosen = (count >= REPEATED) & (np.bincount(pairs // base, minlength=len(words)) >= PARTNERS)
+    out[where] = chosen[inverse]
+    return out
+
+
 def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray:
     """Of each text the share of its tokens' characters in abnormal and promoting windows."""
     ids, at = _numbers(map(_TOKEN.findall, texts), tokens)
     out = np.zeros(len(texts))
     if not len(ids):
         return out
-    cls, size, kind, norm = (np.array(x)[ids] for x in (tokens.cls, tokens.size, tokens.kind, tokens.norm))
+    cls, size, kind, norm, rank, small = (np.array(x)[ids] for x in (tokens.cls, tokens.size, tokens.kind, tokens.norm, tokens.rank, tokens.small))
     starts, owner = _windows(at)
     width = np.diff(np.r_[starts, len(ids)])
     add = lambda x: np.add.reduceat(x.astype(np.float64), starts)
-    mean = add(_costs(cls, at, model.cost)) / width
-    abnormal = (mean < model.low) | (mean > model.high)
-    # word pairs repeated within the abnormal windows of a text; what stands in an internal link is left out
+    prose = add(_costs(cls, at, model.prose)) / width
+    pages = add(_costs(cls, at, model.pages)) / width
+    abnormal = (prose > model.high) & (pages > model.page_high) | (prose < model.low)
     of_window = np.repeat(np.arange(len(starts)), width)
     of_text = owner[of_window]
-    promo = kind >= 2
-    words = add(kind >= 1)
-    common = (cls >= len(_SHAPES) + len(_MARKS)) | (cls == COMMON)
-    sparse = add(common) <= SPARSE * np.maximum(words, 1)
+    word = kind == WORD
+    words = add(kind >= WORD)
     linked, anchor, cited = _linked(ids, at, tokens)
-    promo = (promo & ~cited) | (anchor & (kind >= 1) & (kind <= 2))
-    own = (kind == 2) | (kind == 4)
-    link_open, link_close = tokens.get("[[", -9), tokens.get("]]", -9)
-    depth = np.cumsum((ids == link_open).astype(np.int32) - (ids == link_close))
+    # in an internal link only what is no name can be a keyword
+    depth = np.cumsum((ids == tokens.get("[[", -9)).astype(np.int32) - (ids == tokens.get("]]", -9)))
     outside = depth - depth[at[:-1].clip(max=len(ids) - 1)][of_text] <= 0
-    plain = (cls == _SHAPES.index("lower")) | (cls == COMM)
-    pair = (norm[:-1] >= 0) & (norm[1:] >= 0) & (norm[:-1] != norm[1:]) & (abnormal & sparse)[of_window[:-1]] & (of_text[:-1] == of_text[1:])
-    pair &= ~common[:-1] & ~common[1:] & (outside[:-1] | (plain[:-1] & plain[1:]))
-    where = np.flatnonzero(pair)
-    if len(where):
-        base = len(tokens.norms) + 1
-        key = (of_text[where].astype(np.int64) * base + norm[where]) * base + norm[where + 1]
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        often = where[count[inverse] >= REPEATED]
-        # words in many pairs; the partners of a word are counted once each
-        word = np.concatenate([key // base, key // (base * base) * base + key % base])
-        partner = np.concatenate([norm[where + 1], norm[where]])
-        _, of, n = np.unique(word, return_inverse=True, return_counts=True)
-        pairs = np.unique(of.astype(np.int64) * base + partner)
-        varied = (n[of] >= 2 * REPEATED) & (np.bincount(pairs // base)[of] >= PARTNERS)
-        for x in (often, often + 1, where[varied[: len(where)]], where[varied[len(where) :]] + 1):
-            promo[x] = own[x] = True
+    sparse = add(word & (rank < FUNCTION_WORDS)) <= SPARSE * np.maximum(words, 1)
+    own = _keywords(norm, rank, word & abnormal[of_window] & (outside | (small > 0)), of_text, len(tokens.norms) + 1) & sparse[of_window] | (kind == TAGGED)
+    promo = own | (kind == OUTSIDE) & ~cited | anchor & word
     hits = add(promo)
 
     def near(x: np.ndarray) -> np.ndarray:
@@ -386,16 +399,15 @@ def _scorer(model: Model):
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each prose word the texts that have it; a word may come out several times."""
-    offers, seen = _Offers(), Counter()
+    seen: Counter = Counter()
 
     def out() -> pa.RecordBatch:
         words = _prose_words(seen)
         seen.clear()
-        offers.clear()
         return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
     for b in batches:
-        for p in _sentences(b.column(0).to_pylist(), offers):
+        for p in _sentences(b.column(0).to_pylist()):
             seen.update(set(p))
             if len(seen) > CACHE:
                 yield out()
@@ -403,16 +415,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classify(words: Sequence[str]):
-    """The classes of the sentence lines of each text that has any, a byte each."""
+    """The classes of the sentence lines of each text that has any, a byte each, and, when a task is
+    done, in how many texts it met each cell of the page model; of cell -1, how many had any token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offers, tokens = _Offers(), Tokens(words)
+        tokens = Tokens(words)
+        k, pages, seen = tokens.classes, np.zeros(tokens.classes**3, np.int64), 0
+        schema = pa.schema([("classes", pa.binary()), ("cell", pa.int64()), ("n", pa.int64())])
         for b in batches:
-            if len(tokens) > CACHE:
-                offers, tokens = _Offers(), Tokens(words)
-            ids, at = _numbers(_sentences(b.column(0).to_pylist(), offers), tokens)
-            cls = np.array(tokens.cls)[ids].astype(np.uint8) if len(ids) else ids
-            yield pa.RecordBatch.from_pydict({"classes": pa.array([cls[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())})
+            texts = b.column(0).to_pylist()
+            for i in range(0, len(texts), 500):
+                if len(tokens) > CACHE:
+                    tokens = Tokens(words)
+                some = texts[i : i + 500]
+                ids, at = _numbers(_sentences(some), tokens)
+                whole, ends = _numbers((_TOKEN.findall(t or "") for t in some), tokens)
+                every = np.array(tokens.cls)
+                if len(whole):
+                    np.add.at(pages, _page_grams(every[whole], ends, k), 1)
+                    seen += int((np.diff(ends) > 0).sum())
+                if len(ids):
+                    cls = every[ids].astype(np.uint8)
+                    lines = pa.array([cls[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())
+                    none = pa.nulls(len(lines), pa.int64())
+                    yield pa.RecordBatch.from_arrays([lines, none, none], schema=schema)
+        where = np.flatnonzero(pages)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(where) + 1, pa.binary()), pa.array(np.r_[where, -1]), pa.array(np.r_[pages[where], seen])], schema=schema)
 
     return run
 
@@ -434,9 +462,9 @@ def _count_cells(cells, size: int):
     return run
 
 
-def _cell_counts(classes: DataFrame, cells, size: int) -> np.ndarray:
+def _added(cells: DataFrame, size: int) -> np.ndarray:
     """The counts of all tasks added; ``size`` is fixed, whatever the number of documents."""
-    got = classes.mapInArrow(_count_cells(cells, size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, np.int64)
     total[got["cell"].to_numpy()] = got["n"].to_numpy()
     return total
@@ -445,16 +473,19 @@ def _cell_counts(classes: DataFrame, cells, size: int) -> np.ndarray:
 def train(df: DataFrame, key: str, text: str = "text") -> Model | None:
     """What ``fit`` makes of the texts of all rows, by counts of tasks that are added; neither the
     order nor the partitions matter, nor does ``key``."""
-    texts = spread(df.select(F.col(text).alias("__text")), df)
+    texts = df.select(F.col(text).alias("__text"))
     seen = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = [r.word for r in seen.orderBy(F.desc("n"), "word").limit(FUNCTION_WORDS + COMMON_WORDS).collect()]
-    classes = materialize(texts.mapInArrow(_classify(words), "classes binary"), "classes")
-    k = Tokens(words).classes
-    grams = _cell_counts(classes, lambda cls, at: _grams(cls, at, k), k**3)
-    if not grams.any():
+    if not words:
         return None
-    cost = _cost_table(grams, k)
-    return Model(words, cost, *_cut_offs(_cell_counts(classes, lambda cls, at: _bins(cls, at, cost), 2 * BINS)))
+    got = materialize(texts.mapInArrow(_classify(words), "classes binary, cell long, n long"), "classes")
+    lines = got.where("classes IS NOT NULL").select("classes")
+    count = lambda cells, size: _added(lines.mapInArrow(_count_cells(cells, size), "cell long, n long"), size)
+    k = Tokens(words).classes
+    prose = _cost_table(count(lambda cls, at: _grams(cls, at, k), k**3), k, 2.0)
+    counts = _added(got.where("cell IS NOT NULL").select((F.col("cell") + 1).alias("cell"), "n"), k**3 + 1)
+    pages = _page_table(counts[1:], k, int(counts[0]))
+    return _model(words, prose, pages, count(lambda cls, at: _both_bins(cls, at, prose, pages), 4 * BINS))
 
 
 def score(df: DataFrame, key: str, model: Model | None, text: str = "text") -> DataFrame:
@@ -463,5 +494,5 @@ def score(df: DataFrame, key: str, model: Model | None, text: str = "text") -> D
     kind = dict(df.dtypes)[key]
     if model is None:
         return df.select(key, F.lit(0.0).alias("stuffed_share"))
-    shares = spread(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), df).mapInArrow(_scorer(model), f"__key {kind}, stuffed_share double")
+    shares = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(_scorer(model), f"__key {kind}, stuffed_share double")
     return shares.withColumnRenamed("__key", key)
