@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators import asof, carry, frequencies as fq, ordered, references as rf
+from tidebook.operators import seen as sn
 from tidebook.operators.seen import SeenBitmaps
 
 
@@ -194,7 +195,7 @@ def test_orphans_in_time(spark, hot_rows, monkeypatch):
 
 # delivered more than once ----------------------------------------------------------------------
 
-def test_increments(spark, tmp_path):
+def test_increments(spark, tmp_path, monkeypatch):
     rnd = random.Random(12)
     rows = [(i, rnd.choice(["s1", "s2", "s1 ", None]), rnd.choice([None, 1, 2, 40_000, -5, 0, 10**12, rnd.randrange(100)]), rnd.choice([None, i // 10, 3]), "x") for i in range(400)]
     schema = "row_id int, space string, no long, at int, bits string"
@@ -206,19 +207,66 @@ def test_increments(spark, tmp_path):
     drop = sorted(r[0] for r in rows if r[1] is not None and r[2] is not None and keep[r[1].rstrip(), r[2]][2] != r[0])
     space = F.rtrim("space")
     one = SeenBitmaps(spark, str(tmp_path / "one"))
-    got = one.increment(spark.createDataFrame(rows, schema), space, "no", ["at"], "row_id")
-    assert sorted(r.row_id for r in got.dropped.collect()) == drop
-    assert sorted(r.row_id for r in got.kept.collect()) == sorted({r[0] for r in rows} - set(drop))
+    assert one.kept() is None and one.counts().count() == 0
+    assert one.increment(spark.createDataFrame(rows, schema), space, "no", ["at"], "row_id") == 1
+    assert sorted(r.row_id for r in one.dropped().collect()) == drop
+    assert sorted(r.row_id for r in one.kept().collect()) == sorted({r[0] for r in rows} - set(drop))
+    assert sorted(map(tuple, one.kept().unionByName(one.dropped()).collect()), key=repr) == sorted(rows, key=repr)
     assert {r.space: r.n_seen for r in one.counts().collect()} == Counter(k[0] for k in keep)
     # in parts, what an earlier part kept is dropped later
+    monkeypatch.setattr(sn, "COMPACT", 3)
     many, seen = SeenBitmaps(spark, str(tmp_path / "many")), set()
     for part in (rows[:150], [], rows[150:260], rows[:20], rows[260:]):
-        inc = many.increment(spark.createDataFrame(part, schema), space, "no", ["at"], "row_id")
-        new = {(r.space.rstrip(), r.no) for r in inc.kept.collect() if r.space is not None and r.no is not None}
+        v = many.increment(spark.createDataFrame(part, schema), space, "no", ["at"], "row_id")
+        kept = many.kept([v]).collect()
+        new = {(r.space.rstrip(), r.no) for r in kept if r.space is not None and r.no is not None}
         assert not new & seen
-        assert inc.kept.count() + inc.dropped.count() == len(part)
+        assert len(kept) + many.dropped([v]).count() == len(part)
         seen |= new
     assert seen == set(keep) and many.version() == 5
     assert {r.space: r.n_seen for r in many.counts().collect()} == Counter(k[0] for k in keep)
     ids = [r.space_id for r in many.dictionary().collect()]
     assert len(set(ids)) == len(ids) == 2
+
+
+def test_touched_shards_only(spark, tmp_path):
+    store = SeenBitmaps(spark, str(tmp_path / "s"))
+    for part in ([(1, "a", 5), (2, "a", 40_000)], [(3, "a", 6), (4, "b", 5), (5, "a", 5)]):
+        store.increment(spark.createDataFrame(part, "row_id int, space string, no long"), F.col("space"), "no", [], "row_id")
+    second = store._marker(2)["folder"]
+    assert spark.read.parquet(f"{tmp_path}/s/{second}/shards").count() == 2 and spark.read.parquet(f"{tmp_path}/s/{second}/dictionary").count() == 1
+    assert [r.row_id for r in store.dropped([2]).collect()] == [5]
+
+
+def test_increment_that_dies(spark, tmp_path, monkeypatch):
+    """Before the marker nothing has happened; after it the increment is known by its name."""
+    store = SeenBitmaps(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", 5)], "row_id int, space string, no long")
+    run = lambda: store.increment(rows, F.col("space"), "no", [], "row_id", name="monday")
+    with monkeypatch.context() as m:
+        m.setattr(SeenBitmaps, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            run()
+    assert store.version() == 0 and store.kept() is None
+    assert run() == 1 and run() == 1 and store.version() == 1
+    assert [r.row_id for r in store.kept().collect()] == [1]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    store, other = (SeenBitmaps(spark, str(tmp_path / "s")) for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i, "a", i)], "row_id int, space string, no long")
+    store.increment(row(1), F.col("space"), "no", [], "row_id")
+    real = SeenBitmaps._commit
+
+    def late(self, version, marker):
+        if self is store and not other_done:
+            other_done.append(other.increment(row(2), F.col("space"), "no", [], "row_id"))
+        real(self, version, marker)
+
+    other_done: list = []
+    monkeypatch.setattr(SeenBitmaps, "_commit", late)
+    with pytest.raises(sn.Conflict):
+        store.increment(row(3), F.col("space"), "no", [], "row_id")
+    assert other_done == [2] and store.version() == 2
+    assert store.increment(row(3), F.col("space"), "no", [], "row_id") == 3
+    assert sorted(r.row_id for r in store.kept().collect()) == [1, 2, 3] and store.counts().first().n_seen == 3

@@ -10,7 +10,7 @@ from tidebook.operators.asof import attributes_at
 from tidebook.operators.changefeed import last_values, open_entries
 from tidebook.operators.frequencies import heavy_keys, key_profile, value_frequencies, weighted_percentiles
 from tidebook.operators.references import missing_references, orphans_in_time
-from tidebook.operators.seen import SeenBitmaps
+from tidebook.operators.seen import SeenBitmaps, increments
 from tidebook.runtime import load, materialize, new_path
 
 MIN_SHARE = 0.05
@@ -148,21 +148,35 @@ _NEVER_4 = _REFERENCES.replace(" AND b.seq < r.seq", "") + "SELECT src_table, st
 
 # 5 -------------------------------------------------------------------------------------------
 
-def _deduplicated(spark: SparkSession, d: str):
+#: Days of arrival an increment.
+ARRIVALS = 3
+
+
+def _deduplicated(spark: SparkSession, d: str) -> SeenBitmaps:
+    """The store after the executions have come in, an increment for every ARRIVALS days in which they
+    were received; those whose time is not known come last."""
+    rows = load(spark, d, "order_executed")
+    day = F.unix_date(F.to_date("received_at"))
+    edge = rows.agg(F.min(day).alias("a"), F.max(day).alias("b"), F.count_if(day.isNull()).alias("n")).first()
+    period = F.expr(f"(unix_date(to_date(received_at)) - {edge.a or 0}) div {ARRIVALS}")
+    periods = [] if edge.a is None else [period == i for i in range((edge.b - edge.a) // ARRIVALS + 1)]
+    if edge.n or not periods:
+        periods.append(day.isNull())
     store = SeenBitmaps(spark, new_path(spark, "seen"))
-    return store, store.increment(load(spark, d, "order_executed"), trim_fixed("mold_session"), "match_number", ["received_at"], "row_id")
+    increments(store, rows, periods, trim_fixed("mold_session"), "match_number", ["received_at"], "row_id")
+    return store
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _deduplicated(spark, d)[1].dropped.select("row_id")
+    return _deduplicated(spark, d).dropped().select("row_id")
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
-    return _deduplicated(spark, d)[1].kept
+    return _deduplicated(spark, d).kept()
 
 
 def p5_seen(spark: SparkSession, d: str) -> DataFrame:
-    return _deduplicated(spark, d)[0].counts().select(F.col("space").alias("mold_session"), "n_seen")
+    return _deduplicated(spark, d).counts().select(F.col("space").alias("mold_session"), "n_seen")
 
 
 _RANK_5 = f"""SELECT *, CASE WHEN mold_session IS NULL OR match_number IS NULL THEN 1 ELSE

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_ROOTS: set[str] = set()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. ``spark.checkpoint.dir`` names it; only where that is unset
-    (local tests, one machine) a temporary folder of the driver is made."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share, which ``spark.checkpoint.dir`` names. Only a session that runs
+    on one machine may leave it unset; it gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidebook-")
@@ -28,7 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidebook/{tag}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's part of the shared folder, which is deleted when the
+    application ends."""
+    root = f"{shared_dir(spark)}/tidebook/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _ROOTS.add(root)
+    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -40,20 +52,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A table of fewer bytes a core than this is read by too few tasks for work that costs CPU.
-THIN = 4 << 20
-
-
-def spread(df: DataFrame, table: DataFrame) -> DataFrame:
-    """``df``, columns of ``table``, over all cores where the table's files are too small to be. A larger
-    one is left as its files are split, without a shuffle; rows are the same either way. The size is
-    that of the whole table, as estimates for a choice of columns are far too low for long texts."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < THIN * cores else df
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what nothing reads any more."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
