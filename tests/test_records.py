@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators import asof, carry, frequencies as fq, ordered, references as rf
-from tidebook.operators import seen as sn
+from tidebook.operators import hot as ht, seen as sn
 from tidebook.operators.seen import SeenBitmaps
 
 
@@ -166,8 +166,7 @@ def test_missing_without_targets(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [10**9, 10])
-def test_orphans_in_time(spark, hot_rows, monkeypatch):
-    monkeypatch.setattr(rf, "HOT_TIMES", 0)
+def test_orphans_in_time(spark, hot_rows):
     rnd = random.Random(hot_rows)
     maybe = lambda x, p=0.05: None if rnd.random() < p else x
     rows = []
@@ -193,6 +192,19 @@ def test_orphans_in_time(spark, hot_rows, monkeypatch):
     assert rf.orphans_in_time(df.limit(0), ["d", "loc", "ref"], "q", period=["d"]).count() == 0
 
 
+def test_hot_keys_are_exact(spark, monkeypatch):
+    rows = [(i % 7 if i % 2 else 7, None if i % 50 == 0 else "x", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, j string, v int")
+    count = Counter((k, j) for k, j, _ in rows if j)
+    for named in (1000, 0):
+        monkeypatch.setattr(ht, "NAMED", named)
+        hot = ht.hot_keys(df, ["k", "j"], 100)
+        want = {k for k, n in count.items() if n > 100}
+        assert hot.n == len(want) and {tuple(r) for r in hot.table.collect()} == want
+        assert hot.of(df).count() == sum(count[k] for k in want) and hot.of(df).count() + hot.others(df).count() == len(rows)
+    assert ht.hot_keys(df, ["k", "j"], 900) is None and ht.hot_keys(df.limit(0), ["k"], 0) is None
+
+
 # delivered more than once ----------------------------------------------------------------------
 
 def test_increments(spark, tmp_path, monkeypatch):

@@ -5,9 +5,10 @@ replacement; what makes this more than a ``max_by`` is that a change counts only
 An insert has none while the entry is open, a reduction none while it is closed, and the entry a
 replacement opens depends on whether the replaced entry, under another key, was open.
 
-A key that holds a large part of the feed does so by reductions. Keys of hash buckets with too many
-of them have theirs summed between any two other changes of the key, found by carrying the last such
-change forward in blocks of the sequence; that changes no state and leaves few rows a key.
+A key with more rows than a task should hold is first squeezed in blocks of the sequence: changes that
+the one before them leaves without effect (a delete or reduction after an end, an insert after an
+insert) go, and reductions between any two other changes are summed. What is left of it is cut into its
+segments in blocks too, so that a key's lives are spread over tasks.
 
 Within a key, ends cut the changes into segments that all start closed, and running sums inside a
 segment tell where it opened and where reductions used it up, so a key of any length is a streamed
@@ -22,11 +23,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators.carry import carry_max
-from tidebook.operators.references import HASH_BUCKETS, HOT_ROWS, HOT_TIMES
+from tidebook.operators.hot import HOT_ROWS, hot_keys
+from tidebook.operators.ordered import prefix_sums, previous
 from tidebook.runtime import materialize
 
 #: Kinds of a key's changes; ends sort before the births of the same sequence number.
@@ -73,26 +75,42 @@ def by_key(messages: DataFrame) -> DataFrame:
 KEYS = ["period", "part", "id"]
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64(*KEYS), F.lit(HASH_BUCKETS)).cast("int")
+#: Sequence numbers a block of a hot key.
+SEQ_BLOCK = 1 << 16
 
 
-def hot_buckets(feed: DataFrame, hot_rows: int) -> list[int]:
-    """Hash buckets of keys with too many reductions; the driver sees a count of each bucket."""
-    counts = feed.where("kind = 4").groupBy(_bucket().alias("b")).count().collect()
-    limit = max(hot_rows, HOT_TIMES * sum(r["count"] for r in counts) // HASH_BUCKETS)
-    return [r["b"] for r in counts if r["count"] > limit]
-
-
-def squeeze(changes: DataFrame, seq_block: int = 1 << 16) -> DataFrame:
-    """Sum a key's reductions between two other changes into the last of them. Negative ones, which
-    would make the order of sums matter, stay as they are."""
+def squeeze(changes: DataFrame, seq_block: int = SEQ_BLOCK) -> DataFrame:
+    """Leave out what cannot have an effect and sum a key's reductions between two other changes into
+    the last of them. Negative ones, which would make the order of sums matter, stay as they are."""
+    # the place of a change in its key; ends come before births of the same sequence number
+    placed = changes.withColumn("at", F.expr("seq * 8 + kind"))
+    before = previous(placed, KEYS, "at", ["kind"], F.expr(f"at div {8 * seq_block}"))
+    useless = F.expr("coalesce((prev.kind <= 1 AND kind IN (0, 4)) OR (prev.kind = 2 AND kind IN (2, 3)), false)")
+    left = before.where(~useless).select(*changes.columns)
     sums = (F.col("kind") == REDUCE) & (F.coalesce(F.col("qty"), F.lit(0)) >= 0)
-    marked = carry_max(changes.withColumn("gap", F.when(~sums, F.col("seq"))), KEYS, "seq", ["gap"], block=F.expr(f"seq div {seq_block}"))
+    marked = carry_max(left.withColumn("gap", F.when(~sums, F.col("seq"))), KEYS, "seq", ["gap"], block=F.expr(f"seq div {seq_block}"))
     summed = marked.where(sums).groupBy(*KEYS, "gap").agg(F.max("seq").alias("seq"), F.sum("qty").alias("qty"))
     return marked.where(~sums).select(*changes.columns).unionByName(summed.withColumn("kind", F.lit(REDUCE)).select(*changes.columns))
 
 
+def segments(rows: DataFrame, seq_block: int | None) -> DataFrame:
+    """``rows`` with the number of ends before each in its key (``seg``) and whether it is the key's last
+    change and no end. With ``seq_block`` a key of any length is spread over its blocks."""
+    if seq_block is None:
+        return rows.sparkSession.sql(
+            """
+            SELECT *, 0 AS life, lead(seq) OVER k IS NULL AND kind > 1 AS is_last,
+              count(CASE WHEN kind <= 1 THEN 1 END) OVER (PARTITION BY period, part, id ORDER BY seq, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg
+            FROM {rows} WINDOW k AS (PARTITION BY period, part, id ORDER BY seq, kind)
+            """,
+            rows=rows,
+        )
+    placed = rows.withColumn("at", F.expr("seq * 8 + kind"))
+    cut = prefix_sums(placed, KEYS, ["at"], {"seg": F.expr("CASE WHEN kind <= 1 THEN 1 END")}, F.expr(f"at div {8 * seq_block}"), inclusive=False)
+    ends = placed.groupBy(*KEYS).agg(F.max("at").alias("end"))
+    return cut.join(ends, KEYS).selectExpr(*rows.columns, "0 AS life", "at = end AND kind > 1 AS is_last", "seg")
+
+
 def settle_simple(changes: DataFrame) -> DataFrame:
     """One pass over all keys. Keys with one insert and no replacement birth are settled by running
     sums and give only their replaced rows and, if open, their last row; the others, of which
@@ -144,19 +162,12 @@ _EVALUATE = """
 """
 
 
-def evaluate(rows: DataFrame) -> DataFrame:
+def evaluate(rows: DataFrame, seq_block: int | None = None) -> DataFrame:
     """Whether an entry is open at each change of its key, all births in ``rows`` taken as offered;
     for an end, whether it was open just before. A birth after reductions used the entry up starts
     another life of the segment: the rest of such segments goes round again."""
     spark = rows.sparkSession
-    todo = spark.sql(
-        """
-        SELECT period, part, id, seq, kind, qty, 0 AS life, lead(seq) OVER k IS NULL AND kind > 1 AS is_last,
-          count(CASE WHEN kind <= 1 THEN 1 END) OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg
-        FROM {rows} WINDOW k AS (PARTITION BY period, part, id ORDER BY seq, kind)
-        """.replace("(k ROWS", "(PARTITION BY period, part, id ORDER BY seq, kind ROWS"),
-        rows=rows,
-    )
+    todo = segments(rows, seq_block)
     done: DataFrame | None = None
     while True:
         got = materialize(spark.sql(_EVALUATE, rows=todo), "lives")
@@ -174,26 +185,23 @@ def struck_out(replacements: DataFrame) -> DataFrame:
     spark = replacements.sparkSession
     bad = replacements.where("NOT ok").select("period", "seq")
     active = replacements.where("ok AND parent IS NOT NULL").select("period", "seq", "parent")
+    hop = """
+        SELECT a.period, a.seq, t.parent, t.bad FROM {active} a
+        JOIN (SELECT period, seq, parent, bad FROM {steps}
+              UNION ALL SELECT period, seq, CAST(NULL AS BIGINT), true FROM {bad}) t
+        ON a.period = t.period AND a.parent = t.seq
+    """
     while not active.isEmpty():
-        step = materialize(
-            spark.sql(
-                """
-                SELECT a.period, a.seq, t.parent, t.bad FROM {active} a
-                JOIN (SELECT period, seq, parent, false AS bad FROM {active}
-                      UNION ALL SELECT period, seq, CAST(NULL AS BIGINT), true FROM {bad}) t
-                ON a.period = t.period AND a.parent = t.seq
-                """,
-                active=active,
-                bad=bad,
-            ),
-            "chain",
-        )
+        once = spark.sql(hop, active=active, steps=active.selectExpr("*", "false AS bad"), bad=bad)
+        # a chain becomes a quarter as long each time
+        twice = spark.sql(hop, active=once.where("NOT bad"), steps=once, bad=bad)
+        step = materialize(once.where("bad").select("period", "seq", "parent", "bad").unionByName(twice), "chain")
         bad = bad.unionByName(step.where("bad").select("period", "seq"))
         active = step.where("NOT bad").select("period", "seq", "parent")
     return bad
 
 
-def open_entries(feed: DataFrame, hot_rows: int = HOT_ROWS) -> OpenEntries:
+def open_entries(feed: DataFrame, hot_rows: int = HOT_ROWS, seq_block: int = SEQ_BLOCK) -> OpenEntries:
     """The entries open after the last change of each period.
 
     ``feed``: ``period``, ``seq``, ``row_id``, ``kind`` (0 delete, 1 replace, 2 insert, 4 reduce),
@@ -202,13 +210,16 @@ def open_entries(feed: DataFrame, hot_rows: int = HOT_ROWS) -> OpenEntries:
     reduction takes nothing off. Other columns are not read. No rows: no entries."""
     spark = feed.sparkSession
     changes = by_key(once(feed))
-    hot = hot_buckets(feed, hot_rows)
-    if hot:
-        is_hot = _bucket().isin(hot)
-        changes = changes.where(~is_hot).unionByName(squeeze(changes.where(is_hot)))
-    first = materialize(settle_simple(changes), "settled")
+    hot = hot_keys(by_key(feed.where("period IS NOT NULL AND seq IS NOT NULL AND kind IS NOT NULL")), KEYS, hot_rows)  # repeats counted too, which saves a shuffle
+    cold, block = changes, None
+    if hot is not None:
+        squeezed = materialize(squeeze(hot.of(changes), seq_block), "squeezed")
+        cold, block = hot.others(changes), seq_block
+    first = materialize(settle_simple(cold), "settled")
     chained = first.where("chained").select("period", "part", "id", "seq", "kind", "qty")
-    result = evaluate(chained)
+    if hot is not None:
+        changes, chained = cold.unionByName(squeezed), chained.unionByName(squeezed.select(*chained.columns))
+    result = evaluate(chained, block)
     replacements = materialize(
         first.where("NOT chained AND kind = 1").selectExpr("period", "seq", "is_open AS ok", "CAST(NULL AS BIGINT) AS parent")
         .unionByName(result.where("kind = 1").selectExpr("period", "seq", "is_open AS ok", "CASE WHEN is_open AND since_kind = 3 THEN since END AS parent")),
@@ -223,7 +234,7 @@ def open_entries(feed: DataFrame, hot_rows: int = HOT_ROWS) -> OpenEntries:
             break
         redo = chained.join(touched, keys, "left_semi")
         births = redo.where("kind = 3").join(struck, ["period", "seq"], "left_anti")
-        fresh = evaluate(redo.where("kind <> 3").unionByName(births.select(*redo.columns)))
+        fresh = evaluate(redo.where("kind <> 3").unionByName(births.select(*redo.columns)), block)
         result = result.join(touched, keys, "left_anti").unionByName(fresh)
         judged = spark.sql(
             """

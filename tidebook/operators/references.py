@@ -7,12 +7,13 @@ non-null columns only, under declared match semantics:
 * ``partial``: the non-null columns must match those of some target (all null: never an orphan);
 * ``full``: a reference that mixes nulls and values is an orphan, all null never is.
 
-Targets are reduced to their distinct keys before they meet the references, so a key repeated in a
-third of the target rows is one row; a key repeated among the references is split by the adaptive
-skew join. Without an order the match is a left anti join. Where targets begin and end
-(``orphans_in_time``) a reference must find its target alive at its own place in the order: the
-anti join is then an ordered merge per key, linear in the rows whatever a key's history, and keys of
-hash buckets that hold too many rows are merged in blocks of the order.
+Without an order the match is one left anti join for all masks: the mask is part of the key, and a
+target comes once for every mask that occurs, with the columns the mask leaves. Targets are reduced to
+their distinct keys before they meet the references, so a key repeated in a third of the target rows is
+one row; a key repeated among the references is split by the adaptive skew join. Where targets begin
+and end (``orphans_in_time``) a reference must find its target alive at its own place in the order: the
+anti join is then an ordered merge per key, linear in the rows whatever a key's history, and keys with
+more rows than a task should hold are merged in blocks of the order.
 """
 
 from __future__ import annotations
@@ -25,11 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators.carry import carry_max
-
-#: Keys are counted by this many hash buckets to find hot ones; the driver sees one row of each.
-HASH_BUCKETS = 4096
-#: A bucket is hot when it has so many times the mean bucket's rows, and at least HOT_ROWS.
-HOT_TIMES, HOT_ROWS = 20, 500_000
+from tidebook.operators.hot import HOT_ROWS, hot_keys
 
 
 def null_mask(columns: Sequence[str]) -> Column:
@@ -50,18 +47,19 @@ def missing_references(refs: DataFrame, targets: DataFrame, columns: Sequence[st
     every = (1 << len(columns)) - 1
     masked = refs.withColumn("__mask", null_mask(columns))
     masks = sorted(r[0] for r in masked.select("__mask").distinct().collect())  # at most 2 ** len(columns)
-    parts = []
-    for m in masks:
-        part = masked.where(F.col("__mask") == m).drop("__mask")
-        if m == every or (m and match == "simple"):
-            continue
-        if m and match == "full":
-            parts.append(part)
-            continue
-        on = kept(columns, m)
-        there = targets.select(*[F.col(c).alias(f"__t_{c}") for c in on]).dropna().distinct()
-        parts.append(part.join(there, reduce(and_, [F.col(c) == F.col(f"__t_{c}") for c in on]), "left_anti"))
-    return reduce(lambda a, b: a.unionAll(b), parts) if parts else refs.limit(0)
+    matched = [m for m in masks if m != every and (not m or match == "partial")]
+    known = {m: reduce(and_, [F.col(c).isNotNull() for c in kept(columns, m)]) for m in matched}
+    found = refs.limit(0)
+    if matched:
+        # a null takes the place of the columns that a mask leaves out, on both sides
+        each = F.explode(F.array_compact(F.array(*[F.when(known[m], F.lit(m)) for m in matched])))
+        there = targets.select(*columns, each.alias("__m"))
+        there = there.select("__m", *[F.when(F.col("__m").bitwiseAND(1 << i) == 0, F.col(c)).alias(f"__t_{c}") for i, c in enumerate(columns)]).distinct()
+        on = [F.col("__mask") == F.col("__m"), *[F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in columns]]
+        found = masked.where(F.col("__mask").isin(*matched)).join(there, on, "left_anti").drop("__mask")
+    if match == "full":
+        found = found.unionAll(masked.where((F.col("__mask") != 0) & (F.col("__mask") != every)).drop("__mask"))
+    return found
 
 
 def orphans_in_time(rows: DataFrame, columns: Sequence[str], order: str, *, period: Sequence[str], hot_rows: int = HOT_ROWS, order_block: int = 1 << 16) -> DataFrame:
@@ -78,10 +76,8 @@ def orphans_in_time(rows: DataFrame, columns: Sequence[str], order: str, *, peri
     ident = columns[-1]
     masked = rows.where(F.col(order).isNotNull() & F.col(ident).isNotNull()).withColumn("__mask", null_mask(columns))
     out: list[DataFrame] = []
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(HASH_BUCKETS)).cast("int")
-    # one pass over the keys; the result has at most HASH_BUCKETS rows a mask
-    counted = masked.groupBy("__mask", bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("n"), F.max("is_ref").alias("refs")).collect()
-    for m in sorted({r["__mask"] for r in counted if r["refs"]}):
+    masks = sorted(r[0] for r in masked.where("is_ref").select("__mask").distinct().collect())  # at most 2 ** len(columns)
+    for m in masks:
         on = kept(columns, m)
         refs = masked.where((F.col("__mask") == m) & F.col("is_ref"))
         if m and not set(period) <= set(on):
@@ -91,13 +87,9 @@ def orphans_in_time(rows: DataFrame, columns: Sequence[str], order: str, *, peri
         # rows with this mask's columns, null-free: those of other masks are targets only
         side = masked.where(reduce(and_, [F.col(c).isNotNull() for c in on])) if m else masked.where(F.col("__mask") == 0)
         side = side.where((F.col("__mask") == m) | F.col("born").isNotNull() | F.col("ended").isNotNull()).withColumn("is_ref", F.col("is_ref") & (F.col("__mask") == m)).drop("__mask")
-        sizes = [r["n"] for r in counted]
-        limit = max(hot_rows, HOT_TIMES * sum(sizes) // HASH_BUCKETS)
-        hot = [r["__bucket"] for r in counted if r["n"] > limit] if not m else []
-        ways = [(side, None)] if not m else [(side, F.expr(f"`{order}` div {order_block}"))]
-        if hot:
-            is_hot = bucket.isin(hot)
-            ways = [(side.where(~is_hot), None), (side.where(is_hot), F.expr(f"`{order}` div {order_block}"))]
+        hot = hot_keys(side, on, hot_rows)
+        blocks = F.expr(f"`{order}` div {order_block}")
+        ways = [(side, None)] if hot is None else [(hot.others(side), None), (hot.of(side), blocks)]
         for part, block in ways:
             seen = carry_max(part, on, order, ["born", "ended"], strict=True, block=block)
             out.append(seen.where(F.col("is_ref") & (F.col("born").isNull() | (F.col("ended") > F.col("born")))))

@@ -128,6 +128,17 @@ def p4_never_added(spark: SparkSession, d: str) -> DataFrame:
     return found.select(_src(), session_key().alias("session_key"), "row_id")
 
 
+INSTRUMENT = ["session_date", "stock_locate", "stock"]
+
+
+def p4_unknown_instruments(spark: SparkSession, d: str) -> DataFrame:
+    """Trades that refer to an instrument by date, locate and stock, of which locate or stock may be
+    null, and of which no order was added."""
+    named = lambda t: load(spark, d, t).withColumn("stock", trim_fixed("stock"))
+    trades = named("non_cross_trade").select(*INSTRUMENT, "trade_id")
+    return missing_references(trades, named("add_order"), INSTRUMENT, match="partial")
+
+
 _REFERENCES = """
     WITH refs AS (
       SELECT 'order_executed' AS src_table, session_date, stock_locate, order_reference_number AS ref, seq, row_id FROM order_executed
@@ -203,21 +214,50 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_state(spark: SparkSession, d: str) -> DataFrame:
-    """The open orders with the last price and shares that were set, and the shares still left."""
+    """The open orders with the last value of each field among the changes since they were opened: price
+    and shares are set by what opened them, the time by every change."""
     writes = spark.sql(
         """
-        SELECT session_date AS period, stock_locate AS part, order_reference_number AS id, seq, price, shares, ts_ns FROM {adds}
-        UNION ALL SELECT session_date, stock_locate, order_reference_number, seq, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), ts_ns FROM {changes} WHERE message_type = 'X'
-        UNION ALL SELECT session_date, stock_locate, new_order_reference_number, seq, price, shares, ts_ns FROM {changes} WHERE message_type = 'U'
+        SELECT session_date AS period, stock_locate AS part, order_reference_number AS id, seq, true AS opens, price, shares, ts_ns, ts_ns AS last_ts_ns FROM {adds}
+        UNION ALL SELECT session_date, stock_locate, order_reference_number, seq, false, NULL, NULL, NULL, ts_ns FROM {changes} WHERE message_type = 'X'
+        UNION ALL SELECT session_date, stock_locate, new_order_reference_number, seq, true, price, shares, ts_ns, ts_ns FROM {changes} WHERE message_type = 'U'
         """,
         adds=load(spark, d, "add_order"),
         changes=load(spark, d, "order_change"),
     )
     entries = materialize(_open_orders(spark, d).entries, "open")
-    # while an order is open no insert has an effect: only the change that opened it sets fields
-    effective = writes.join(entries.selectExpr("period", "part", "id", "since AS seq"), ["period", "part", "id", "seq"], "left_semi")
-    state = last_values(entries, effective, ["price", "shares", "ts_ns"])
-    return state.select(F.date_format("period", "yyyy-MM-dd").alias("session_key"), F.col("part").alias("stock_locate"), F.col("id").alias("order_reference_number"), "price", F.col("shares").alias("opened_shares"), F.col("left").alias("shares_left"), F.col("ts_ns").alias("opened_ts_ns"))
+    # an insert or replacement that came while the order was open had no effect
+    since = entries.select("period", "part", "id", "since")
+    effective = writes.join(since, ["period", "part", "id"]).where("seq = since OR (seq > since AND NOT opens)")
+    state = last_values(entries, effective, ["price", "shares", "ts_ns", "last_ts_ns"])
+    return state.select(
+        F.date_format("period", "yyyy-MM-dd").alias("session_key"), F.col("part").alias("stock_locate"), F.col("id").alias("order_reference_number"), "price",
+        F.col("shares").alias("opened_shares"), F.col("left").alias("shares_left"), F.col("ts_ns").alias("opened_ts_ns"), "last_ts_ns",
+    )
+
+
+# one message after the other, an instrument's open orders as a map
+_REPLAY_6 = """
+WITH RECURSIVE raw AS (
+  SELECT session_date, seq, row_id, 'A' AS t, stock_locate, order_reference_number AS ref, CAST(NULL AS BIGINT) AS new_ref, shares AS qty, price, ts_ns FROM add_order
+  UNION ALL SELECT session_date, seq, row_id, message_type, stock_locate, CASE WHEN message_type = 'U' THEN original_order_reference_number ELSE order_reference_number END,
+    new_order_reference_number, CASE WHEN message_type = 'X' THEN cancelled_shares ELSE shares END, price, ts_ns FROM order_change),
+once AS (SELECT * FROM raw WHERE session_date IS NOT NULL AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_date, seq ORDER BY row_id) = 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY session_date, stock_locate ORDER BY seq) AS n FROM once WHERE stock_locate IS NOT NULL AND ref IS NOT NULL),
+s AS (
+  SELECT DISTINCT session_date, stock_locate, CAST(0 AS BIGINT) AS n, CAST(MAP {} AS MAP(BIGINT, STRUCT(qty BIGINT, size BIGINT, price BIGINT, ts BIGINT, last BIGINT))) AS book FROM m
+  UNION ALL
+  SELECT s.session_date, s.stock_locate, m.n, CASE
+    WHEN t = 'A' THEN CASE WHEN map_contains(book, ref) THEN book ELSE map_concat(book, MAP {ref: {'qty': m.qty, 'size': m.qty, 'price': price, 'ts': ts_ns, 'last': ts_ns}}) END
+    WHEN NOT map_contains(book, ref) THEN book
+    WHEN t = 'X' AND coalesce(coalesce(m.qty, 0) < book[ref].qty, true)
+      THEN map_concat(book, MAP {ref: {'qty': book[ref].qty - coalesce(m.qty, 0), 'size': book[ref].size, 'price': book[ref].price, 'ts': book[ref].ts, 'last': ts_ns}})
+    WHEN t = 'U' AND new_ref IS NOT NULL AND (new_ref = ref OR NOT map_contains(book, new_ref))
+      THEN map_concat(map_from_entries(list_filter(map_entries(book), lambda e: e.key <> ref)), MAP {new_ref: {'qty': m.qty, 'size': m.qty, 'price': price, 'ts': ts_ns, 'last': ts_ns}})
+    ELSE map_from_entries(list_filter(map_entries(book), lambda e: e.key <> ref)) END
+  FROM s JOIN m ON m.session_date = s.session_date AND m.stock_locate = s.stock_locate AND m.n = s.n + 1),
+ends AS (SELECT session_date, stock_locate, unnest(map_entries(book)) AS e FROM s QUALIFY row_number() OVER (PARTITION BY session_date, stock_locate ORDER BY n DESC) = 1)
+"""
 
 
 # 7 -------------------------------------------------------------------------------------------
@@ -250,7 +290,7 @@ def _asof_sql(kind: str, table: str, col: str) -> str:
 
 _ASOF_7 = _asof_sql("H", "stock_trading_action", "trading_state") + " UNION ALL " + _asof_sql("Y", "reg_sho", "reg_sho_action")
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_locate_profile, p1_symbol_profile, p1_locate_percentiles, p4_found, p4_by_period, p4_never_added, p5_found, p5_kept, p5_seen, p6_found, p6_state, p7_found, p7_attributes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_locate_profile, p1_symbol_profile, p1_locate_percentiles, p4_found, p4_by_period, p4_never_added, p4_unknown_instruments, p5_found, p5_kept, p5_seen, p6_found, p6_state, p7_found, p7_attributes)}
 
 ORACLES = {
     "p1_found": _FOUND_1,
@@ -260,9 +300,15 @@ ORACLES = {
     "p4_found": _FOUND_4,
     "p4_by_period": f"SELECT src_table, session_key, count(*) AS n_orphans FROM ({_FOUND_4}) GROUP BY ALL",
     "p4_never_added": _NEVER_4,
+    "p4_unknown_instruments": f"""SELECT session_date, stock_locate, {_TRIM.format('stock')} AS stock, trade_id FROM non_cross_trade t
+      WHERE NOT (session_date IS NULL AND stock_locate IS NULL AND stock IS NULL) AND NOT EXISTS (SELECT 1 FROM add_order a WHERE (t.session_date IS NULL OR t.session_date = a.session_date)
+        AND (t.stock_locate IS NULL OR t.stock_locate = a.stock_locate) AND (t.stock IS NULL OR {_TRIM.format('t.stock')} = {_TRIM.format('a.stock')}))""",
     "p5_found": f"SELECT row_id FROM ({_RANK_5}) WHERE k > 1",
     "p5_kept": f"SELECT * EXCLUDE (k) FROM ({_RANK_5}) WHERE k = 1",
     "p5_seen": f"SELECT {_TRIM.format('mold_session')} AS mold_session, count(DISTINCT match_number) AS n_seen FROM order_executed WHERE mold_session IS NOT NULL AND match_number IS NOT NULL GROUP BY ALL",
+    "p6_found": _REPLAY_6 + "SELECT strftime(session_date, '%Y-%m-%d') AS session_key, stock_locate, e.key AS order_reference_number FROM ends",
+    "p6_state": _REPLAY_6 + """SELECT strftime(session_date, '%Y-%m-%d') AS session_key, stock_locate, e.key AS order_reference_number, e.value.price AS price, e.value.size AS opened_shares,
+      e.value.qty AS shares_left, e.value.ts AS opened_ts_ns, e.value.last AS last_ts_ns FROM ends""",
     "p7_found": f"SELECT message_type, trade_id, msg_id FROM ({_ASOF_7})",
     "p7_attributes": f"""SELECT t.trade_id, max(value) FILTER (WHERE message_type = 'H') AS trading_state, max(value) FILTER (WHERE message_type = 'Y') AS reg_sho_action
       FROM (SELECT DISTINCT trade_id FROM non_cross_trade WHERE stock_locate IS NOT NULL) t LEFT JOIN ({_ASOF_7}) a USING (trade_id) GROUP BY t.trade_id""",
