@@ -12,7 +12,8 @@ from tidebook.functions.layout import DEFAULT, Venue
 from tidebook.operators import messages as ms
 from tidebook.sources import export
 from tidebook.sources import framing as fr
-from tidebook.sources.feed import FeedReader, diagnostics, read_frames, synced, write_stream
+from tidebook.sources import feed as fd
+from tidebook.sources.feed import FeedReader, diagnostics, read_frames, read_messages, split_faults, synced, write_stream
 
 
 def body(code, locate=1, tracking=2, ts=1_651_500_000, **values):
@@ -241,22 +242,86 @@ def test_split_reading_keeps_frames_after_unknown_ones(tmp_path, odd):
     options = {"path": str(p), "framing": "raw"}
 
     def read(o):
-        x = FeedReader(o, False)
-        return [r[2:5] for part in x.partitions() for r in x.read(part)]
+        x = FeedReader(o)
+        return [(r["message_type"], r["body"], r["error"]) for part in x.partitions() for b in x.read(part) for r in b.to_pylist()]
 
     whole = read(options)
     assert len(whole) == 16_000 + odd and read(options | {"splitbytes": "50000"}) == whole
 
 
-@pytest.mark.parametrize("size", [10, 10**9])
-def test_split_reading_refuses_what_needs_the_whole_file(tmp_path, size):
+@pytest.mark.parametrize("size", [20, 10**9])
+def test_what_needs_the_whole_file_is_not_split(spark, tmp_path, size):
     p = tmp_path / "a.bin"
     p.write_bytes(pre(S()) + pre(S("C")) + pre(S("Q")))
-    options = {"path": str(p), "framing": "raw", "splitbytes": str(size)}
-    assert FeedReader(options, False).partitions()
-    for o, packets in ((options | {"stop_at_end": "true"}, False), (options, True)):
-        with pytest.raises(ValueError, match="splitBytes"):
-            FeedReader(o, packets).partitions()
+    assert read_frames(spark, str(p), splitBytes=size, stop_at_end=True).count() == 2
+    assert [r.n_frames for r in read_frames(spark, str(p), splitBytes=size, emit="packets").collect()] == [3]
+
+
+def test_ranges_meet(spark, day, tmp_path):
+    path, bodies = day
+    ranges = read_frames(spark, path, emit="ranges", splitBytes=20_000).collect()
+    assert len(ranges) > 5 and split_count(spark, path) == 0
+    assert ranges[0].first == 0 and sorted(r.after for r in ranges)[-1] == sum(len(b) + 2 for b in bodies) + 2
+
+
+def split_count(spark, path):
+    return split_faults(spark, path, splitBytes=20_000).count()
+
+
+def test_pieces_of_any_size(spark, day, monkeypatch):
+    """Frames, messages and seqs are the same however a file is cut into tasks and pieces."""
+    path, bodies = day
+    options = {"path": path, "framing": "raw", "emit": "messages"}
+    rows = lambda o: [r for part in FeedReader(o).partitions() for b in FeedReader(o).read(part) for r in b.to_pylist()]
+    whole = rows(options)
+    assert len(whole) == len(bodies)
+    for chunk, split in ((300, 10**9), (1000, 5000), (64, 777)):
+        monkeypatch.setattr(fd, "CHUNK", chunk)
+        assert rows(options | {"splitbytes": str(split)}) == whole
+
+
+def test_decoded_in_the_source(spark, day):
+    path, _ = day
+    want = ms.wide(read_frames(spark, path, columns="seq,message_type,body")).orderBy("seq").collect()
+    got = read_messages(spark, path, columns=["seq"]).orderBy("seq").collect()
+    assert want[0].asDict().keys() == got[0].asDict().keys()
+    assert [r.asDict() for r in got] == [r.asDict() for r in want]
+    some = read_messages(spark, path, ["stock", "price"], ["seq"]).where("message_type = 'A'")
+    assert some.columns == ["seq", "message_type", "stock", "price"] and some.count() == sum(b[:1] == b"A" for b in bodies_of(path))
+    with pytest.raises(Exception, match="unknown fields"):
+        read_messages(spark, path, ["nothing"]).count()
+
+
+def bodies_of(path):
+    with open(path, "rb") as f:
+        return [b for _, b, _ in fr.frames(f.read())]
+
+
+def test_latin_and_short_bodies(spark, tmp_path):
+    p = tmp_path / "l.bin"
+    p.write_bytes(pre(body("R", 7, stock="ABC", market_category="Q").replace(b"ABC ", b"A\xe9C ")) + pre(S()[:8]) + pre(b"\xf0" + bytes(20)))
+    want = [r.asDict() for r in ms.wide(read_frames(spark, str(p), columns="seq,message_type,body")).orderBy("seq").collect()]
+    got = [r.asDict() for r in read_messages(spark, str(p), columns=["seq"]).orderBy("seq").collect()]
+    assert got == want and got[0]["stock"] == "A\xe9C" and got[2]["message_type"] == "\xf0"
+
+
+def test_days_and_files(spark, tmp_path):
+    for name, codes in (("01302020.part1", "OS"), ("01302020.part2", "QM"), ("01312020.part1", "EC")):
+        (tmp_path / name).write_bytes(b"".join(pre(S(c)) for c in codes))
+    df = read_frames(spark, str(tmp_path), date_format="%m%d%Y")
+    rows = ms.wide(df).orderBy("session_date", "seq").collect()
+    assert [(str(r.session_date), r.event_code) for r in rows] == [("2020-01-30", c) for c in "OSQM"] + [("2020-01-31", c) for c in "EC"]
+    assert [r.seq % fd.FILE_ROOM for r in rows] == [0, 14] * 3 and len({(r.session_date, r.seq) for r in rows}) == 6
+    assert {str(r.session_date) for r in read_frames(spark, str(tmp_path / "0131*"), session_date="2021-02-03").collect()} == {"2021-02-03"}
+    assert {r.session_date for r in read_frames(spark, str(tmp_path / "0131*")).collect()} == {None}
+
+
+def test_other_venue(spark, tmp_path):
+    venue = Venue("tiny", "S SystemEvent: event_code a1\nZ Zap: size u4")
+    (tmp_path / "z.bin").write_bytes(pre(S()) + pre(b"Z" + bytes(10) + (77).to_bytes(4, "big")) + pre(body("D", order_reference_number=1)))
+    df = read_frames(spark, str(tmp_path / "z.bin"), venue=venue)
+    assert sorted((r.message_type, r.error) for r in df.collect()) == [("D", "unknown_type"), ("S", None), ("Z", None)]
+    assert ms.wide(df.where("error IS NULL"), venue).where("message_type = 'Z'").first().size == 77
 
 
 def test_sync_finds_frame_starts(day):
@@ -293,8 +358,13 @@ def test_packets(spark, tmp_path):
 
 def test_write_stream(spark, day, tmp_path):
     path, bodies = day
-    write_stream(ms.filter_types(read_frames(spark, path), ["E"]), str(tmp_path / "e.bin"))
-    assert [b for _, b, _ in fr.frames((tmp_path / "e.bin").read_bytes())] == [b for b in bodies if b[:1] == b"E"]
+    write_stream(ms.filter_types(read_frames(spark, path, splitBytes=20_000), ["E"]), str(tmp_path / "e"), parts=3)
+    parts = sorted((tmp_path / "e").iterdir())
+    assert len(parts) > 1 and not [p for p in parts if p.name.startswith(".")]
+    assert [b for p in parts for _, b, _ in fr.frames(p.read_bytes())] == [b for b in bodies if b[:1] == b"E"]
+    assert [bytes(r.body) for r in read_frames(spark, str(tmp_path / "e")).orderBy("seq").collect()] == [b for b in bodies if b[:1] == b"E"]
+    write_stream(read_frames(spark, path).limit(0), str(tmp_path / "e"), mode="overwrite")
+    assert read_frames(spark, str(tmp_path / "e")).count() == 0
     r = spark.createDataFrame([(S(),)], "body binary").select(ms.framed(F.col("body"))).first()[0]
     assert bytes(r) == pre(S())
 

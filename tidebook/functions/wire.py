@@ -28,14 +28,15 @@ def text(body: Column, offset: int, size: int, trim: bool = True) -> Column:
 
 
 def read_sql(f: Field, body: str = "body") -> str:
-    """SQL of a field: texts STRING, two-byte fields INT, others (prices raw) BIGINT. As one parsed
-    text per column, a whole registry is built in milliseconds."""
+    """SQL of a field: texts STRING, two-byte fields INT, others (prices raw) BIGINT; null where the body
+    ends before the field does. As one parsed text per column, a whole registry is built in milliseconds."""
     raw = f"substring({body}, {f.offset + 1}, {f.size})"
     if f.kind == "a":
         plain = f"decode({raw}, 'ISO-8859-1')"
-        return plain if f.size == 1 else f"trim(TRAILING concat(' ', char(0)) FROM {plain})"
-    kind = "INT" if f.size == 2 else "BIGINT"
-    return f"CASE WHEN octet_length({body}) >= {f.offset + f.size} THEN CAST(conv(hex({raw}), 16, -10) AS {kind}) END"
+        value = plain if f.size == 1 else f"trim(TRAILING concat(' ', char(0)) FROM {plain})"
+    else:
+        value = f"CAST(conv(hex({raw}), 16, -10) AS {'INT' if f.size == 2 else 'BIGINT'})"
+    return f"CASE WHEN octet_length({body}) >= {f.offset + f.size} THEN {value} END"
 
 
 def put_uint(c: Column, size: int) -> Column:

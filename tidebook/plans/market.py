@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -430,27 +428,32 @@ def sequence_summary(spark, d):
 
 # the data source and a stream over the same feed --------------------------------------------------
 
-def _day_file(spark: SparkSession, d: str) -> str:
-    """The feed as one raw file in the shared folder."""
-    from tidebook.runtime import new_path, shared_dir
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    return ms.encode(feed.messages(spark, d), _WIRE).select("session_date", "seq", "body")
+
+
+def _written(spark: SparkSession, rows: DataFrame, framed: bool = True, parts: int | None = None) -> str:
+    """``rows`` (seq, body) as files in the shared folder."""
+    from tidebook.runtime import new_path
     from tidebook.sources.feed import write_stream
 
-    frames = ms.encode(feed.messages(spark, d), _WIRE).select("seq", "body")
-    path = new_path(spark, "day").removeprefix("file://").removeprefix("file:") + ".bin"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    assert shared_dir(spark).startswith(("file:", "/")), "the raw file sink writes to a mounted folder"
-    write_stream(frames, path)
+    path = new_path(spark, "day")
+    write_stream(rows, path, framed=framed, parts=parts)
     return path
 
 
-@query(_F + """, r AS (SELECT row_number() OVER (ORDER BY seq) AS place, message_type, stock_locate, ts_ns, order_reference_number FROM feed)
-    SELECT place, message_type, stock_locate, ts_ns, order_reference_number FROM r WHERE message_type IN ('A', 'E', 'D')""")
+# where every message stands in the file: after all before it, each with its length
+_PLACED = _F + """, sized AS (SELECT *, 2 + CASE message_type """ + " ".join(f"WHEN '{c}' THEN {DEFAULT.size_of(c)}" for c in _WIRE) + """ END AS bytes FROM feed),
+    placed AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY seq) AS BIGINT) - bytes AS place, row_number() OVER (ORDER BY seq) - 1 AS n FROM sized)"""
+
+
+@query(_PLACED + "SELECT place, message_type, stock_locate, ts_ns, order_reference_number FROM placed WHERE message_type IN ('A', 'E', 'D')")
 def source_raw(spark, d):
-    """Written as bytes, read again in one piece, filtered at the source and decoded."""
+    """Written as bytes, read again, filtered at the source and decoded."""
     from tidebook.sources.feed import read_frames
 
-    frames = ms.filter_types(read_frames(spark, _day_file(spark, d), framing="raw"), "AED")
-    return ms.wide(frames).select((F.col("seq") + 1).alias("place"), "message_type", "stock_locate", "ts_ns", "order_reference_number")
+    frames = ms.filter_types(read_frames(spark, _written(spark, _frames(spark, d), parts=1), framing="raw"), "AED")
+    return ms.wide(frames).select(F.col("seq").alias("place"), "message_type", "stock_locate", "ts_ns", "order_reference_number")
 
 
 @query(_F + "SELECT message_type, count(*) AS n, CAST(sum(stock_locate) AS BIGINT) AS sum_locate, CAST(sum(ts_ns % 1000000007) AS BIGINT) AS sum_ts FROM feed GROUP BY message_type")
@@ -458,10 +461,137 @@ def source_split(spark, d):
     """The same file read by many tasks."""
     from tidebook.sources.feed import read_frames
 
-    wide = ms.wide(read_frames(spark, _day_file(spark, d), framing="raw", splitBytes=50_000).where("error IS NULL"))
+    wide = ms.wide(read_frames(spark, _written(spark, _frames(spark, d), parts=1), framing="raw", splitBytes=50_000).where("error IS NULL"))
     return wide.groupBy("message_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stock_locate").cast("long")).alias("sum_locate"), F.sum(F.expr("ts_ns % 1000000007")).alias("sum_ts"))
 
 
+@query(_F + "SELECT CAST(0 AS BIGINT) AS n_faults")
+def source_ranges_meet(spark, d):
+    """Where tasks that read the file in pieces do not meet."""
+    from tidebook.sources.feed import split_faults
+
+    return split_faults(spark, _written(spark, _frames(spark, d), parts=1), splitBytes=50_000).agg(F.count(F.lit(1)).alias("n_faults"))
+
+
+@query(_PLACED + "SELECT place, message_type, stock_locate, ts_ns, stock, buy_sell_indicator, price, match_number FROM placed")
+def source_decoded(spark, d):
+    """Decoded where it is read."""
+    from tidebook.sources.feed import read_messages
+
+    path = _written(spark, _frames(spark, d), parts=1)
+    return read_messages(spark, path, ["stock_locate", "ts_ns", "stock", "buy_sell_indicator", "price", "match_number"], ["seq"], splitBytes=70_000).withColumnRenamed("seq", "place")
+
+
+@query(_F + """, h AS (SELECT *, seq * 2 > (SELECT max(seq) FROM feed) AS late FROM feed)
+    SELECT CASE WHEN late THEN CAST('2020-01-31' AS DATE) ELSE CAST('2020-01-30' AS DATE) END AS session_date, message_type, count(*) AS n, min(ts_ns) AS first_ts, max(ts_ns) AS last_ts FROM h GROUP BY ALL""")
+def source_two_days(spark, d):
+    """Files of two days in one read, their dates from their names."""
+    import os
+
+    from tidebook.sources.feed import read_messages
+
+    rows = _frames(spark, d)
+    edge = rows.agg(F.max("seq")).first()[0] or 0
+    days = {n: _written(spark, rows.where((F.col("seq") * 2 > edge) == F.lit(n == "01312020")), parts=2) for n in ("01302020", "01312020")}
+    root = days["01302020"].removeprefix("file://").removeprefix("file:") + "-both"
+    if "://" in root:
+        raise ValueError("the files are renamed in a mounted folder")
+    os.makedirs(root)
+    for n, p in days.items():
+        for x in sorted(os.listdir(p.removeprefix("file://").removeprefix("file:"))):
+            if x.startswith("part-"):
+                os.link(os.path.join(p.removeprefix("file://").removeprefix("file:"), x), os.path.join(root, f"{n}.{x}"))
+    got = read_messages(spark, root, ["ts_ns"], date_format="%m%d%Y")
+    return got.groupBy("session_date", "message_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
+
+
+def _packed(spark: SparkSession, d: str, of: int) -> DataFrame:
+    """Downstream packets of ``of`` messages: ``seq``, ``n`` of messages and ``blocks``, hex."""
+    rows = _frames(spark, d).selectExpr(f"(seq - 1) div {of} AS packet", "seq", "hex(body) AS h", "octet_length(body) AS size")
+    # ``of`` blocks a group
+    return rows.groupBy("packet").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.expr("array_join(transform(array_sort(collect_list(struct(seq, size, h))), x -> concat(lpad(hex(x.size), 4, '0'), x.h)), '')").alias("blocks"))
+
+
+_MOLD = "concat(hex(encode('SESSION1  ', 'ISO-8859-1')), lpad(hex(seq), 16, '0'), lpad(hex(n), 4, '0'), blocks)"
+_IN_PACKETS = _F + """ SELECT 'SESSION1' AS session, (seq - 1) // {0} * {0} + 1 AS packet_first, message_type, stock_locate, ts_ns, order_reference_number FROM feed"""
+_PACKET_COLS = ["session", "packet_first", "message_type", "stock_locate", "ts_ns", "order_reference_number"]
+
+
+@query(_IN_PACKETS.format(7))
+def source_mold(spark, d):
+    """Through UDP session packets of 7 messages."""
+    from tidebook.sources.feed import read_frames
+
+    path = _written(spark, _packed(spark, d, 7).selectExpr("seq", f"unhex({_MOLD}) AS body"))
+    return ms.wide(read_frames(spark, path, framing="mold")).select(*_PACKET_COLS)
+
+
+@query(_IN_PACKETS.format(1))
+def source_soup(spark, d):
+    """Through a TCP session: a login, then a packet a message."""
+    from tidebook.sources.feed import read_frames
+
+    login = spark.range(1).selectExpr("CAST(0 AS BIGINT) AS seq", "encode(concat('A', 'SESSION1  ', lpad('1', 20, ' ')), 'ISO-8859-1') AS body")
+    rows = _frames(spark, d).selectExpr("seq", "concat(encode('S', 'ISO-8859-1'), body) AS body")
+    return ms.wide(read_frames(spark, _written(spark, login.unionByName(rows), parts=1), framing="soup")).select(*_PACKET_COLS)
+
+
+@query(_IN_PACKETS.format(5))
+def source_pcap(spark, d):
+    """Through a capture of Ethernet frames with IPv4 and UDP."""
+    from tidebook.sources.feed import read_frames
+
+    udp = "concat(lpad(hex(20000), 4, '0'), lpad(hex(26477), 4, '0'), lpad(hex(octet_length(unhex(m)) + 8), 4, '0'), '0000', m)"
+    ether = f"concat(repeat('00', 12), '0800', '45', repeat('00', 8), '11', repeat('00', 10), {udp})"
+    swap = "concat(substring(l, 7, 2), substring(l, 5, 2), substring(l, 3, 2), substring(l, 1, 2))"
+    rows = _packed(spark, d, 5).selectExpr("seq", f"{_MOLD} AS m").selectExpr("seq", f"{ether} AS e").selectExpr("seq", "e", "lpad(hex(length(e) div 2), 8, '0') AS l")
+    records = rows.selectExpr("seq", f"unhex(concat(repeat('00', 8), {swap}, {swap}, e)) AS body")
+    head = spark.range(1).selectExpr("CAST(0 AS BIGINT) AS seq", "unhex('D4C3B2A1020004000000000000000000FFFF000001000000') AS body")
+    path = _written(spark, head.unionByName(records), framed=False, parts=1)
+    return ms.wide(read_frames(spark, path, dst_port=26477)).select(*_PACKET_COLS)
+
+
+@query(_F + "SELECT message_type, count(*) AS n, true AS in_order FROM feed GROUP BY message_type")
+def stream_replay(spark, d):
+    """The file replayed at once as a stream."""
+    from tidebook.runtime import new_path
+    from tidebook.sources.feed import register
+
+    register(spark)
+    path, out, state = _written(spark, _frames(spark, d), parts=1), new_path(spark, "replayed"), new_path(spark, "state")
+    s = spark.readStream.format("tidereplay").option("path", path).option("speed", "0").load()
+    q = s.select("seq", "message_type", "body").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = ms.wide(spark.read.parquet(out))
+    return rows.groupBy("message_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("seq") >= 0).alias("in_order"))
+
+
+@query(_F + "SELECT message_type, count(*) AS n, CAST(sum(stock_locate) AS BIGINT) AS sum_locate FROM feed GROUP BY message_type")
+def stream_growing(spark, d):
+    """A file read as a stream, twice while it grows, in pieces."""
+    import os
+
+    from tidebook.runtime import new_path
+    from tidebook.sources.feed import register
+
+    register(spark)
+    path, out, state = _written(spark, _frames(spark, d), parts=1), new_path(spark, "grown"), new_path(spark, "state")
+    source = path.removeprefix("file://").removeprefix("file:") + "/part-000000.bin"
+    with open(source, "rb") as f:
+        data = f.read()
+    for size in (len(data) // 3 + 5, len(data)):
+        with open(source + ".next", "wb") as f:
+            f.write(data[:size])
+        os.replace(source + ".next", source)
+        s = spark.readStream.format("tidefeed").option("path", source).option("splitBytes", 60_000).option("columns", "seq,message_type,body").load()
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = ms.wide(spark.read.parquet(out))
+    return rows.groupBy("message_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stock_locate").cast("long")).alias("sum_locate"))
+
+
 @query(_BBO + "SELECT * FROM bbos")
 def stream_bbo_changes(spark, d):
     """``bbo_changes`` from a stream that takes the feed in three batches."""

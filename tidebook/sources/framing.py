@@ -6,9 +6,11 @@ A walker yields (message_type, body, error): error is null for a message, else `
 
 from __future__ import annotations
 
+import io
 import struct
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from typing import BinaryIO
 
 from tidebook.functions.layout import DEFAULT, Venue
 
@@ -60,6 +62,7 @@ class Packet:
     count: int
     kind: str
     frames: tuple[Frame, ...] = ()
+    at: int = 0  # where it begins in its file
 
 
 MOLD_HEADER = 20
@@ -133,81 +136,86 @@ def capture_kind(data: bytes) -> str | None:
     return "pcap" if magic in PCAP_MAGICS else "pcapng" if magic == PCAPNG else None
 
 
-def captured(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(link type, frame) of each record of a capture; a truncated last record is left out."""
-    kind = capture_kind(data)
-    if kind == "pcap" and len(data) >= 24:
-        order = PCAP_MAGICS[int.from_bytes(data[:4], "little")]
-        (link,) = struct.unpack_from(order + "I", data, 20)
+def captured(f: BinaryIO) -> Iterator[tuple[int, bytes, int]]:
+    """(link type, frame, its offset) of each record of a capture, read one after the other; a truncated
+    last record is left out."""
+    head = f.read(24)
+    kind = capture_kind(head)
+    if kind == "pcap" and len(head) == 24:
+        order = PCAP_MAGICS[int.from_bytes(head[:4], "little")]
+        (link,) = struct.unpack_from(order + "I", head, 20)
         at = 24
-        while at + 16 <= len(data):
-            (size,) = struct.unpack_from(order + "I", data, at + 8)
-            at += 16
-            if at + size > len(data):
+        while len(record := f.read(16)) == 16:
+            (size,) = struct.unpack_from(order + "I", record, 8)
+            frame = f.read(size)
+            if len(frame) < size:
                 return
-            yield link, data[at : at + size]
-            at += size
+            yield link, frame, at + 16
+            at += 16 + size
     elif kind == "pcapng":
-        yield from _captured_ng(data)
+        yield from _captured_ng(f, head)
 
 
-def _captured_ng(data: bytes) -> Iterator[tuple[int, bytes]]:
-    order, links, at = "<", [], 0
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\n\r\r\n":  # a section header tells its own byte order
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
+def _captured_ng(f: BinaryIO, head: bytes) -> Iterator[tuple[int, bytes, int]]:
+    order, links, at, ahead = "<", [], 0, head
+
+    def take(n: int) -> bytes:
+        nonlocal ahead
+        if len(ahead) < n:
+            ahead += f.read(n - len(ahead))
+        out, ahead = ahead[:n], ahead[n:]
+        return out
+
+    while len(start := take(12)) == 12:
+        if start[:4] == b"\n\r\r\n":  # a section header tells its own byte order
+            order = "<" if start[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
             links = []
-        block, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
+        block, size = struct.unpack_from(order + "II", start)
+        if size < 12:
+            return
+        data = start[8:] + take(size - 12)
+        if len(data) < size - 8:
             return
         if block == 1:
-            links.append(struct.unpack_from(order + "H", data, at + 8)[0])
+            links.append(struct.unpack_from(order + "H", data)[0])
         elif block == 6 and size >= 32:
-            face, _, _, length = struct.unpack_from(order + "IIII", data, at + 8)
+            face, _, _, length = struct.unpack_from(order + "IIII", data)
             if face < len(links) and 28 + length <= size:
-                yield links[face], data[at + 28 : at + 28 + length]
+                yield links[face], data[20 : 20 + length], at + 28
         elif block == 3 and size >= 16 and links:
-            length = min(struct.unpack_from(order + "I", data, at + 8)[0], size - 16)
-            yield links[0], data[at + 12 : at + 12 + length]
+            length = min(struct.unpack_from(order + "I", data)[0], size - 16)
+            yield links[0], data[4 : 4 + length], at + 12
         at += size
 
 
+# What stands before an internet packet in the link types read here, as (bytes, place of
+# the protocol number or None); and of each version of the packet where its protocol stands.
+LINKS = {ETHERNET: (14, 12), LINUX_SLL: (16, None), RAW_IP: (0, None)}
+PROTOCOL = {4: 9, 6: 6}
+
+
 def datagram(link: int, frame: bytes) -> tuple[int, bytes] | None:
     """(destination port, payload) of a UDP packet over IPv4 or IPv6 without extensions, else None."""
-    if link == ETHERNET:
-        at = 14
-        if len(frame) < at:
-            return None
-        kind = int.from_bytes(frame[12:14], "big")
-        while kind == VLAN and len(frame) >= at + 4:
-            kind = int.from_bytes(frame[at + 2 : at + 4], "big")
-            at += 4
-        if kind not in (IPV4, IPV6):
-            return None
-        ip = frame[at:]
-    elif link == LINUX_SLL and len(frame) >= 16:
-        ip = frame[16:]
-    elif link == RAW_IP:
-        ip = frame
-    else:
-        return None
-    if not ip:
+    if link not in LINKS:
         return None
-    if ip[0] >> 4 == 4:
-        head = (ip[0] & 15) * 4
-        if head < 20 or len(ip) < head or ip[9] != UDP:
-            return None
-    elif ip[0] >> 4 == 6:
-        head = 40
-        if len(ip) < head or ip[6] != UDP:
+    at, place = LINKS[link]
+    if place is not None:
+        while frame[place : place + 2] == VLAN.to_bytes(2, "big") and len(frame) >= at + 4:
+            at, place = at + 4, place + 4
+        if frame[place : place + 2] not in (IPV4.to_bytes(2, "big"), IPV6.to_bytes(2, "big")):
             return None
-    else:
+    packet = frame[at:]
+    version = packet[0] >> 4 if packet else 0
+    head = {4: (packet[0] & 15) * 4, 6: 40}.get(version, 0) if packet else 0
+    if head < 20 or len(packet) < head + 8 or packet[PROTOCOL[version]] != UDP:
         return None
-    udp = ip[head:]
-    if len(udp) < 8:
-        return None
-    port, size = struct.unpack_from(">HH", udp, 2)
-    return port, udp[8 : 8 + (min(len(udp), size) - 8 if size >= 8 else len(udp) - 8)]
+    port, size = struct.unpack_from(">HH", packet, head + 2)
+    # a length that does not even cover its own header says nothing
+    return port, packet[head + 8 : head + size if size >= 8 else None]
+
+
+#: Bytes of a stream taken at once.
+PIECE = 1 << 20
 
 
 @dataclass
@@ -218,24 +226,36 @@ class Walk:
     ports: frozenset[int] | None = None
     venue: Venue = field(default_factory=lambda: DEFAULT)
 
-    def packets(self, data: bytes) -> Iterable[Packet]:
-        fmt = self.fmt if self.fmt != "auto" else "pcap" if capture_kind(data) else "raw"
+    def packets(self, source: bytes | BinaryIO) -> Iterator[Packet]:
+        """The packets of bytes or of an open file, which is read in pieces; a raw file is one packet."""
+        f = io.BytesIO(source) if isinstance(source, bytes) else source
+        fmt = self.fmt
+        if fmt == "auto":
+            fmt = "pcap" if capture_kind(f.read(4)) else "raw"
+            f.seek(0)
         if fmt == "raw":
-            yield Packet(None, None, 0, "raw", tuple(frames(data, self.venue)))
+            yield Packet(None, None, 0, "raw", tuple(frames(f.read(), self.venue)))
         elif fmt == "soup":
-            yield from SoupStream(self.venue).feed(data)
-        elif fmt == "mold":  # one packet a file, or two-byte lengths before each
+            yield from self._soup(f)
+        elif fmt == "mold":  # two-byte lengths before each packet
             at = 0
-            while at + 2 <= len(data):
-                size = int.from_bytes(data[at : at + 2], "big")
-                p = mold_packet(data[at + 2 : at + 2 + size], self.venue)
-                at += 2 + size
+            while len(size := f.read(2)) == 2:
+                n = int.from_bytes(size, "big")
+                p = mold_packet(f.read(n), self.venue)
                 if p:
-                    yield p
+                    yield replace(p, at=at)
+                at += 2 + n
         else:
-            for link, frame in captured(data):
+            for link, frame, at in captured(f):
                 d = datagram(link, frame)
                 if d and (self.ports is None or d[0] in self.ports):
                     p = mold_packet(d[1], self.venue)
                     if p:
-                        yield p
+                        yield replace(p, at=at)
+
+    def _soup(self, f: BinaryIO) -> Iterator[Packet]:
+        soup, at = SoupStream(self.venue), 0
+        while piece := f.read(PIECE):
+            for p in soup.feed(piece):
+                yield replace(p, at=at)
+                at += 1  # a packet is three bytes at least: places grow, as offsets would
