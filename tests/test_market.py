@@ -245,3 +245,46 @@ def test_sequence(spark):
     g = an.sequence_gaps(df, block=2)
     assert [(r.expected, r.missing, r.fresh) for r in g.orderBy("packet").collect()] == [(None, 0, 2), (3, 2, 1), (6, 0, 0), (6, 0, 2), (None, 0, 0), (9, 0, 1), (8, 0, 1)]
     assert {r.session: (r.expected_next, r.messages_seen, r.gap_count) for r in an.sequence_summary(g).collect()} == {"S": (9, 6, 2), "T": (10, 1, 0)}
+
+
+def folded(rows, universe=None):
+    """(trades, deltas, live orders) by taking one message after the other."""
+    trades, deltas, live, folds = [], [], [], {}
+    for m in sorted(rows, key=lambda r: r[2]):
+        f = folds.setdefault(m[:2], bk.Fold(universe))
+        _, t, d = f.step(m)
+        trades += [(*m[:4], *x) for x in t]
+        deltas += [(*m[:4], "B" if bid else "S", price, ds, dn) for bid, price, ds, dn in d]
+    for key, f in folds.items():
+        if f.book:
+            live += [(*key, seq, ts, f.symbol(), ref, "B" if bid else "S", shares, price) for ref, (bid, shares, price, seq, ts) in f.book.orders.items()]
+    return trades, deltas, live
+
+
+@pytest.mark.parametrize("seed, hot_rows, universe", [(1, 10**9, {"AAA"}), (2, 20, None)])
+def test_lives_of_orders_against_the_fold(spark, monkeypatch, seed, hot_rows, universe):
+    """References used again, replaced in chains, onto live ones and onto themselves; several days, a null
+    locate, books that begin late."""
+    import datetime
+    import random
+
+    from tidebook.operators import orders as od
+
+    monkeypatch.setattr(od.lives, "__defaults__", (hot_rows, 32))
+    rnd = random.Random(seed)
+    days, rows = [datetime.date(2020, 1, 30), datetime.date(2020, 1, 31), None], []
+    for seq in range(600):
+        t = rnd.choice("AAFEECXDUUPQR")
+        few = 4 if seq % 5 else 60
+        adds = t in "AFUPQ"
+        rows.append((
+            rnd.choice(days), rnd.choice([1, 1, 1, 2, None]), seq, seq * 7, t, rnd.choice(["AAA", "BBB"]) if t in "AFPQR" else None, rnd.randrange(few) if t not in "PQR" else None, rnd.randrange(few) if t == "U" else None,
+            rnd.choice("BS") if t in "AFP" else None, rnd.choice([0, 1, 5, 9]) if t != "R" and t != "D" else None, rnd.randrange(100, 104) if adds or t == "C" else None, seq if t in "ECPQ" else None, rnd.choice("YN") if t == "C" else None, "O" if t == "Q" else None,
+        ))
+    schema = "session_date date, stock_locate int, seq long, ts_ns long, message_type string, stock string, ref long, new_ref long, side string, shares long, price long, match_number long, printable string, cross_type string"
+    monkeypatch.setattr(bk, "book_rows", lambda m: m)
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for kind, want in zip(("trades", "deltas", "orders"), folded(rows, universe)):
+        got = [tuple(r) for r in bk.rebuild(df, kind, universe).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr), kind
+    assert bk.rebuild(df.limit(0), "trades").count() == 0

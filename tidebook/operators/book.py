@@ -1,9 +1,9 @@
 """Order books, trades and top-of-book changes, rebuilt per instrument in feed order.
 
-Rows are shuffled once, by session date and locate, and sorted by ``seq`` inside a partition; Arrow
-batches then stream through a function that holds one instrument's book at a time, so memory follows
-the live orders, not the messages. A book is a fold over the messages of one instrument and can't be
-cut further; instruments and days run in parallel.
+Trades, level changes and live orders come from the lives of single orders (see ``orders``). The top of
+a book is a fold over all messages of one instrument: rows are shuffled once, by session date and
+locate, and sorted by ``seq`` inside a partition; Arrow batches then stream through a function that holds
+one instrument's book at a time, so memory follows the live orders, not the messages.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.text import trim_fixed
+from tidebook.operators import orders
 
 IN = ["session_date", "stock_locate", "seq", "ts_ns", "message_type", "stock", "ref", "new_ref", "side", "shares", "price", "match_number", "printable", "cross_type"]
 KEYS = "session_date date, stock_locate int, seq long, ts_ns long, "
@@ -160,56 +161,46 @@ class Fold:
         return tops, trades, moved
 
 
-def _runner(kind: str, universe: frozenset | None, schema: pa.Schema):
+_ARROW = {"date": pa.date32(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_BBO = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in BBO.split(", "))])
+
+
+def _tops(universe: frozenset | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, key, out = Fold(universe), None, []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            cols = list(zip(*out)) if out else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [[] for _ in _BBO]
             out.clear()
-
-        def close() -> None:
-            if kind == "orders" and fold.book and key is not None:
-                for ref, (bid, shares, price, seq, ts) in fold.book.orders.items():
-                    out.append((*key, seq, ts, fold.symbol(), ref, "B" if bid else "S", shares, price))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BBO)], schema=_BBO)
 
         for batch in batches:
             for m in zip(*(c.to_pylist() for c in batch.columns)):
                 if m[:2] != key:
-                    close()
                     fold.reset()
                     key = m[:2]
-                tops, trades, moved = fold.step(m)
-                if kind == "bbo":
-                    out.extend((*m[:4], *r) for r in tops)
-                elif kind == "trades":
-                    out.extend((*m[:4], *r) for r in trades)
-                elif kind == "deltas":
-                    out.extend((*m[:4], "B" if bid else "S", price, ds, dn) for bid, price, ds, dn in moved)
+                out.extend((*m[:4], *r) for r in fold.step(m)[0])
             if len(out) > 20_000:
-                yield from flush()
-        close()
-        yield from flush()
+                yield flush()
+        yield flush()
 
     return run
 
 
-_ARROW = {"date": pa.date32(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-
-
 def rebuild(messages: DataFrame, kind: str, universe: Collection[str] | None = None) -> DataFrame:
     """``kind`` bbo: every change of the top of a book; trades: the tape; orders: what is live at the
     end; deltas: every change of a level's shares and orders. Prices are raw.
 
     A book begins at its locate's first A or F of a symbol in ``universe`` (none: all); what comes
     before is ignored, as are references that are not live in that locate's book. P and Q make trades
-    whatever the universe. Messages with a null seq have no place and are left out; null locates form
-    one instrument. Repeated messages act twice, as they would in the feed."""
-    ddl = {"bbo": BBO, "trades": TRADES, "orders": ORDERS, "deltas": DELTAS}[kind]
-    schema = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in ddl.split(", "))])
-    rows = book_rows(messages).where("seq IS NOT NULL").repartition("session_date", "stock_locate").sortWithinPartitions("session_date", "stock_locate", "seq")
-    return rows.mapInArrow(_runner(kind, frozenset(universe) if universe else None, schema), ddl)
+    whatever the universe. Messages with a null seq have no place and are left out, changes of an order
+    that name none are ignored, and null locates form one instrument, as null dates do one session. A
+    sequence number is one message's within its session and instrument."""
+    rows = book_rows(messages).where("seq IS NOT NULL")
+    if kind == "bbo":
+        by_book = rows.repartition("session_date", "stock_locate").sortWithinPartitions("session_date", "stock_locate", "seq")
+        return by_book.mapInArrow(_tops(frozenset(universe) if universe else None), BBO)
+    return {"trades": orders.tape, "orders": orders.live_orders, "deltas": orders.deltas}[kind](rows, universe)
 
 
 def levels(orders: DataFrame, max_levels: int = 0) -> DataFrame:

@@ -21,6 +21,7 @@ the result is the only consistent one, the one that a message-by-message replay
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -201,6 +202,39 @@ def struck_out(replacements: DataFrame) -> DataFrame:
     return bad
 
 
+def settle(chained: DataFrame, evaluate: Callable[[DataFrame], DataFrame], alone: DataFrame | None = None) -> DataFrame:
+    """What ``evaluate`` says of ``chained`` once failed replacements open nothing: all are taken to work
+    first, and only keys that a failed one would have opened are worked out again. ``alone``: the
+    replacements of other keys, settled already, if any."""
+    spark = chained.sparkSession
+    result = evaluate(chained)
+    parents = result.where("kind = 1").selectExpr("period", "seq", "is_open AS ok", "CASE WHEN is_open AND since_kind = 3 THEN since END AS parent")
+    replacements = parents if alone is None else materialize(alone.unionByName(parents), "replacements")
+    struck = materialize(struck_out(replacements), "struck")
+    changed = struck
+    while True:
+        touched = materialize(chained.where("kind = 3").join(changed, ["period", "seq"], "left_semi").select(*KEYS).distinct(), "touched")
+        if touched.isEmpty():
+            return result
+        redo = chained.join(touched, KEYS, "left_semi")
+        births = redo.where("kind = 3").join(struck, ["period", "seq"], "left_anti")
+        fresh = evaluate(redo.where("kind <> 3").unionByName(births.select(*redo.columns)))
+        result = result.join(touched, KEYS, "left_anti").unionByName(fresh)
+        judged = spark.sql(
+            """
+            SELECT f.period, f.seq, f.is_open AS ok FROM {fresh} f LEFT JOIN {struck} s ON f.period = s.period AND f.seq = s.seq
+            WHERE f.kind = 1 AND f.is_open = (s.seq IS NOT NULL)
+            """,
+            fresh=fresh,
+            struck=struck,
+        )
+        judged = materialize(judged, "judged")
+        if judged.isEmpty():
+            return result
+        changed = judged.select("period", "seq")
+        struck = materialize(struck.join(changed, ["period", "seq"], "left_anti").unionByName(judged.where("NOT ok").select("period", "seq")), "struck")
+
+
 def open_entries(feed: DataFrame, hot_rows: int = HOT_ROWS, seq_block: int = SEQ_BLOCK) -> OpenEntries:
     """The entries open after the last change of each period.
 
@@ -219,36 +253,9 @@ def open_entries(feed: DataFrame, hot_rows: int = HOT_ROWS, seq_block: int = SEQ
     chained = first.where("chained").select("period", "part", "id", "seq", "kind", "qty")
     if hot is not None:
         changes, chained = cold.unionByName(squeezed), chained.unionByName(squeezed.select(*chained.columns))
-    result = evaluate(chained, block)
-    replacements = materialize(
-        first.where("NOT chained AND kind = 1").selectExpr("period", "seq", "is_open AS ok", "CAST(NULL AS BIGINT) AS parent")
-        .unionByName(result.where("kind = 1").selectExpr("period", "seq", "is_open AS ok", "CASE WHEN is_open AND since_kind = 3 THEN since END AS parent")),
-        "replacements",
-    )
-    struck = materialize(struck_out(replacements), "struck")
-    changed = struck
+    alone = first.where("NOT chained AND kind = 1").selectExpr("period", "seq", "is_open AS ok", "CAST(NULL AS BIGINT) AS parent")
+    result = settle(chained, lambda rows: evaluate(rows, block), alone)
     keys = KEYS
-    while True:
-        touched = materialize(chained.where("kind = 3").join(changed, ["period", "seq"], "left_semi").select(*keys).distinct(), "touched")
-        if touched.isEmpty():
-            break
-        redo = chained.join(touched, keys, "left_semi")
-        births = redo.where("kind = 3").join(struck, ["period", "seq"], "left_anti")
-        fresh = evaluate(redo.where("kind <> 3").unionByName(births.select(*redo.columns)), block)
-        result = result.join(touched, keys, "left_anti").unionByName(fresh)
-        judged = spark.sql(
-            """
-            SELECT f.period, f.seq, f.is_open AS ok FROM {fresh} f LEFT JOIN {struck} s ON f.period = s.period AND f.seq = s.seq
-            WHERE f.kind = 1 AND f.is_open = (s.seq IS NOT NULL)
-            """,
-            fresh=fresh,
-            struck=struck,
-        )
-        judged = materialize(judged, "judged")
-        if judged.isEmpty():
-            break
-        changed = judged.select("period", "seq")
-        struck = materialize(struck.join(changed, ["period", "seq"], "left_anti").unionByName(judged.where("NOT ok").select("period", "seq")), "struck")
     entries = first.where("NOT chained AND is_last AND is_open").select(*keys, "since", "left").unionByName(result.where("is_last AND is_open").select(*keys, "since", "left"))
     return OpenEntries(entries, changes)
 

@@ -44,8 +44,10 @@ feed AS (
     CASE WHEN message_type = 'I' THEN price_raw END AS current_reference_price, CASE WHEN message_type = 'I' THEN '1' END AS price_variation_indicator
   FROM aimed)
 """
-_WINDOW = "OVER (PARTITION BY stock_locate ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_ADD, _MATCH = ("CASE WHEN message_type IN ('A', 'F') THEN seq END", "CASE WHEN message_type IN ('E', 'C', 'P', 'Q') THEN seq END")
+_WINDOW = "OVER (PARTITION BY session_date, stock_locate ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+#: What a change aims at: mostly the last order added or named by a replacement, which may have failed, so
+#: that chains of replacements occur; now and then the one before it is not followed any more.
+_ADD, _MATCH = ("CASE WHEN message_type IN ('A', 'F', 'U') THEN seq END", "CASE WHEN message_type IN ('E', 'C', 'P', 'Q') THEN seq END")
 
 #: For ``WITH``: the feed as a table ``feed`` in DuckDB.
 SQL = _FEED.format(micros="epoch_us(ts)", text="VARCHAR", last_add=f"last_value({_ADD} IGNORE NULLS) {_WINDOW}", last_match=f"last_value({_MATCH} IGNORE NULLS) {_WINDOW}")
@@ -53,6 +55,5 @@ _SPARK = _FEED.format(micros="unix_micros(CAST(ts AS TIMESTAMP))", text="STRING"
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    """Wide messages; the columns are those of the types that occur. An instrument's books run over
-    all dates, so callers that key by session drop ``session_date``."""
+    """Wide messages; the columns are those of the types that occur."""
     return spark.sql("WITH " + _SPARK.replace("FROM events)", "FROM {events})") + " SELECT * FROM feed", events=load(spark, d, "events"))

@@ -17,7 +17,7 @@ from tidebook.sources import export
 MINUTE = 60_000_000_000
 #: Blocks of the ordered operators, small enough that the test feed has several.
 BLOCK = 4096
-BY = ["stock_locate"]
+BY = ["session_date", "stock_locate"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,58 +32,64 @@ def query(sql: str | None = None):
     return wrap
 
 
-def _undated(spark: SparkSession, d: str) -> DataFrame:
-    return feed.messages(spark, d).drop("session_date")
-
-
 def _tape(spark: SparkSession, d: str) -> DataFrame:
-    return bk.rebuild(_undated(spark, d), "trades").drop("session_date")
-
-
-# The life of every order without a state machine: replaced references are never targets in this
-# feed, so an order is live until its takings reach its size or it is deleted or replaced.
-_BOOK = "WITH " + feed.SQL + """,
-births AS (
-  SELECT stock_locate, order_reference_number AS ref, seq AS born, buy_sell_indicator AS side, shares AS q0, price FROM feed WHERE message_type IN ('A', 'F')),
-takes AS (
-  SELECT f.seq, f.ts_ns, f.stock_locate, f.message_type, b.ref, b.side, b.q0, b.price, f.new_order_reference_number AS new_ref, f.shares AS new_shares, f.price AS new_price,
-    CASE WHEN f.message_type IN ('D', 'U') THEN 1000000000 ELSE coalesce(f.executed_shares, f.cancelled_shares) END AS want
-  FROM feed f JOIN births b ON f.stock_locate = b.stock_locate AND b.ref = coalesce(f.original_order_reference_number, f.order_reference_number)
-  WHERE f.message_type IN ('E', 'C', 'X', 'D', 'U')),
-cum AS (SELECT *, coalesce(sum(want) OVER (PARTITION BY stock_locate, ref ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM takes),
-live AS (SELECT * FROM cum WHERE before < q0),
+    return bk.rebuild(feed.messages(spark, d), "trades")
+
+
+# Books by replay: a step a message of each session and instrument, their live orders as a map. ``o`` is
+# the order a message met, ``opens`` whether it opened one.
+_BOOK = "WITH RECURSIVE " + feed.SQL.lstrip() + """,
+begun AS (SELECT session_date, stock_locate, min(seq) AS start FROM feed WHERE message_type IN ('A', 'F') GROUP BY ALL),
+acts AS (
+  SELECT f.*, coalesce(original_order_reference_number, order_reference_number) AS ref, coalesce(executed_shares, cancelled_shares) AS want,
+    row_number() OVER (PARTITION BY f.session_date, f.stock_locate ORDER BY seq) AS n
+  FROM feed f JOIN begun b ON f.session_date = b.session_date AND f.stock_locate = b.stock_locate AND f.seq >= b.start WHERE message_type IN ('A', 'F', 'E', 'C', 'X', 'D', 'U')),
+steps AS (
+  SELECT session_date, stock_locate, CAST(0 AS BIGINT) AS n, CAST(MAP {} AS MAP(BIGINT, STRUCT(side VARCHAR, shares BIGINT, price BIGINT, born BIGINT))) AS book,
+    CAST(NULL AS STRUCT(side VARCHAR, shares BIGINT, price BIGINT, born BIGINT)) AS o, false AS opens FROM begun
+  UNION ALL
+  SELECT s.session_date, s.stock_locate, a.n, CASE
+      WHEN a.message_type IN ('A', 'F') THEN CASE WHEN map_contains(book, ref) THEN book ELSE map_concat(book, MAP {ref: {'side': buy_sell_indicator, 'shares': a.shares, 'price': a.price, 'born': seq}}) END
+      WHEN NOT map_contains(book, ref) THEN book
+      WHEN want < book[ref].shares THEN map_concat(book, MAP {ref: {'side': book[ref].side, 'shares': book[ref].shares - want, 'price': book[ref].price, 'born': book[ref].born}})
+      WHEN a.message_type = 'U' AND NOT map_contains(book, new_order_reference_number)
+        THEN map_concat(map_from_entries(list_filter(map_entries(book), lambda e: e.key <> ref)), MAP {new_order_reference_number: {'side': book[ref].side, 'shares': a.shares, 'price': a.price, 'born': seq}})
+      ELSE map_from_entries(list_filter(map_entries(book), lambda e: e.key <> ref)) END,
+    CASE WHEN map_contains(book, ref) THEN book[ref] END,
+    CASE WHEN a.message_type = 'U' THEN map_contains(book, ref) AND NOT map_contains(book, new_order_reference_number) ELSE a.message_type IN ('A', 'F') AND NOT map_contains(book, ref) END
+  FROM steps s JOIN acts a ON a.session_date = s.session_date AND a.stock_locate = s.stock_locate AND a.n = s.n + 1),
+met AS (SELECT a.*, s.o, s.opens FROM acts a JOIN steps s ON a.session_date = s.session_date AND a.stock_locate = s.stock_locate AND a.n = s.n),
+live AS (SELECT *, o.side AS side, o.price AS old_price, least(coalesce(want, o.shares), o.shares) AS took, coalesce(want, o.shares) >= o.shares AS ends FROM met WHERE o IS NOT NULL AND message_type NOT IN ('A', 'F')),
 deltas AS (
-  SELECT stock_locate, born AS seq, ref, side, price, q0 AS d_shares, 1 AS d_orders FROM births
-  UNION ALL SELECT stock_locate, seq, ref, side, price, -least(want, q0 - before), CASE WHEN before + want >= q0 THEN -1 ELSE 0 END FROM live
-  UNION ALL SELECT stock_locate, seq, new_ref, side, new_price, new_shares, 1 FROM live WHERE message_type = 'U'),
+  SELECT session_date, stock_locate, seq, coalesce(o.side, buy_sell_indicator) AS side, price, shares AS d_shares, 1 AS d_orders FROM met WHERE opens
+  UNION ALL SELECT session_date, stock_locate, seq, side, old_price, -took, CASE WHEN ends THEN -1 ELSE 0 END FROM live),
 orders AS (
-  SELECT stock_locate, ref, side, price, CAST(sum(d_shares) AS BIGINT) AS shares, min(seq) AS born FROM deltas GROUP BY ALL HAVING sum(d_orders) > 0),
+  SELECT session_date, stock_locate, e.key AS ref, e.value.side AS side, e.value.price AS price, e.value.shares AS shares, e.value.born AS born
+  FROM (SELECT session_date, stock_locate, unnest(map_entries(book)) AS e FROM steps QUALIFY row_number() OVER (PARTITION BY session_date, stock_locate ORDER BY n DESC) = 1)),
 depth AS (
-  SELECT stock_locate, side, price, CAST(sum(shares) AS BIGINT) AS shares, count(*) AS order_count,
-    row_number() OVER (PARTITION BY stock_locate, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS level
-  FROM orders GROUP BY stock_locate, side, price)
+  SELECT session_date, stock_locate, side, price, CAST(sum(shares) AS BIGINT) AS shares, count(*) AS order_count,
+    row_number() OVER (PARTITION BY session_date, stock_locate, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS level
+  FROM orders GROUP BY session_date, stock_locate, side, price)
 """
 _TAPE = _BOOK + """,
-tape AS (
-  SELECT f.seq, f.ts_ns, f.stock_locate, 'SYM' || f.stock_locate AS symbol, l.side AS side, coalesce(f.executed_shares, f.shares) AS shares,
-    CASE f.message_type WHEN 'E' THEN l.price WHEN 'C' THEN f.execution_price WHEN 'P' THEN f.price ELSE f.cross_price END AS price, f.match_number,
+trades AS (
+  SELECT f.session_date, f.seq, f.ts_ns, f.stock_locate, 'SYM' || f.stock_locate AS symbol, CASE WHEN f.message_type = 'P' THEN f.buy_sell_indicator ELSE l.side END AS side, coalesce(f.executed_shares, f.shares) AS shares,
+    CASE f.message_type WHEN 'E' THEN l.old_price WHEN 'C' THEN f.execution_price WHEN 'P' THEN f.price ELSE f.cross_price END AS price, f.match_number,
     coalesce(f.printable = 'Y', true) AS printable, f.message_type = 'Q' AS is_cross, CASE WHEN f.message_type = 'Q' THEN f.cross_type END AS cross_type
-  FROM feed f LEFT JOIN live l ON l.seq = f.seq
-  WHERE f.message_type IN ('P', 'Q') OR (f.message_type = 'E' AND l.seq IS NOT NULL)
-    OR (f.message_type = 'C' AND f.seq > (SELECT min(b.born) FROM births b WHERE b.stock_locate = f.stock_locate))),
-trades AS (SELECT * REPLACE (CASE WHEN match_number IN (SELECT seq FROM feed WHERE message_type = 'P') THEN (SELECT buy_sell_indicator FROM feed g WHERE g.seq = tape.seq) ELSE side END AS side) FROM tape)
+  FROM feed f LEFT JOIN live l ON l.seq = f.seq LEFT JOIN begun b ON b.session_date = f.session_date AND b.stock_locate = f.stock_locate
+  WHERE f.message_type IN ('P', 'Q') OR (f.message_type = 'E' AND l.seq IS NOT NULL) OR (f.message_type = 'C' AND f.seq > b.start))
 """
 
 
 def _bars_sql(bucket: str, pre: str = "trades") -> str:
     return _TAPE + f""",
     b AS (SELECT *, {bucket} AS bucket FROM {pre}),
-    n AS (SELECT *, CASE WHEN bucket IS DISTINCT FROM lag(bucket) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS fresh FROM b WINDOW w AS (PARTITION BY stock_locate ORDER BY seq)),
-    r AS (SELECT *, sum(fresh) OVER (PARTITION BY stock_locate ORDER BY seq) - 1 AS bar FROM n)
-    SELECT stock_locate, CAST(bar AS BIGINT) AS bar, CAST(bucket AS BIGINT) AS bucket, min(seq) AS first_order, max(seq) AS last_order,
+    n AS (SELECT *, CASE WHEN bucket IS DISTINCT FROM lag(bucket) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS fresh FROM b WINDOW w AS (PARTITION BY session_date, stock_locate ORDER BY seq)),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY session_date, stock_locate ORDER BY seq) - 1 AS bar FROM n)
+    SELECT session_date, stock_locate, CAST(bar AS BIGINT) AS bar, CAST(bucket AS BIGINT) AS bucket, min(seq) AS first_order, max(seq) AS last_order,
       arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, CAST(sum(shares) AS BIGINT) AS volume, count(*) AS n_trades,
       CAST(sum(CAST(price AS HUGEINT) * shares) AS DOUBLE) / (CAST(sum(shares) AS DOUBLE) * 10000.0) AS vwap
-    FROM r GROUP BY stock_locate, bar, bucket"""
+    FROM r GROUP BY session_date, stock_locate, bar, bucket"""
 
 
 # bars and averages -----------------------------------------------------------------------------
@@ -93,38 +99,38 @@ def bars_time(spark, d):
     return an.bars(an.with_time_bucket(_tape(spark, d), 60 * MINUTE), BY, BLOCK)
 
 
-@query(_bars_sql("(row_number() OVER (PARTITION BY stock_locate ORDER BY seq) - 1) // 20"))
+@query(_bars_sql("(row_number() OVER (PARTITION BY session_date, stock_locate ORDER BY seq) - 1) // 5"))
 def bars_tick(spark, d):
-    return an.bars(an.with_tick_bucket(_tape(spark, d), 20, BY, BLOCK), BY, BLOCK)
+    return an.bars(an.with_tick_bucket(_tape(spark, d), 5, BY, BLOCK), BY, BLOCK)
 
 
-@query(_bars_sql("CAST(sum(shares) OVER (PARTITION BY stock_locate ORDER BY seq) - shares AS BIGINT) // 1000"))
+@query(_bars_sql("CAST(sum(shares) OVER (PARTITION BY session_date, stock_locate ORDER BY seq) - shares AS BIGINT) // 500"))
 def bars_volume(spark, d):
-    return an.bars(an.with_volume_bucket(_tape(spark, d), 1000, BY, BLOCK), BY, BLOCK)
+    return an.bars(an.with_volume_bucket(_tape(spark, d), 500, BY, BLOCK), BY, BLOCK)
 
 
 _VWAP = "CAST(sum(CAST(price AS HUGEINT) * shares) {0} AS DOUBLE) / (CAST(sum(shares) {0} AS DOUBLE) * 10000.0)"
 
 
-@query(_TAPE + f"SELECT stock_locate, CASE WHEN sum(shares) <> 0 THEN {_VWAP.format('')} END AS vwap, CAST(sum(shares) AS BIGINT) AS volume FROM trades GROUP BY stock_locate")
+@query(_TAPE + f"SELECT session_date, stock_locate, CASE WHEN sum(shares) <> 0 THEN {_VWAP.format('')} END AS vwap, CAST(sum(shares) AS BIGINT) AS volume FROM trades GROUP BY session_date, stock_locate")
 def vwap_session(spark, d):
     return an.vwap(_tape(spark, d), BY)
 
 
-@query(_TAPE + f"SELECT stock_locate, seq, CAST(sum(shares) OVER w AS BIGINT) AS volume, {_VWAP.format('OVER w')} AS vwap FROM trades WINDOW w AS (PARTITION BY stock_locate ORDER BY seq)")
+@query(_TAPE + f"SELECT session_date, stock_locate, seq, CAST(sum(shares) OVER w AS BIGINT) AS volume, {_VWAP.format('OVER w')} AS vwap FROM trades WINDOW w AS (PARTITION BY session_date, stock_locate ORDER BY seq)")
 def vwap_running(spark, d):
-    return an.vwap_running(_tape(spark, d), BY, BLOCK).select("stock_locate", "seq", "volume", "vwap")
+    return an.vwap_running(_tape(spark, d), BY, BLOCK).select("session_date", "stock_locate", "seq", "volume", "vwap")
 
 
-@query(_TAPE + f"SELECT stock_locate, ts_ns // {60 * MINUTE} AS bucket, {_VWAP.format('')} AS vwap, CAST(sum(shares) AS BIGINT) AS volume FROM trades GROUP BY ALL")
+@query(_TAPE + f"SELECT session_date, stock_locate, ts_ns // {60 * MINUTE} AS bucket, {_VWAP.format('')} AS vwap, CAST(sum(shares) AS BIGINT) AS volume FROM trades GROUP BY ALL")
 def vwap_interval(spark, d):
     return an.vwap(an.with_time_bucket(_tape(spark, d), 60 * MINUTE), [*BY, "bucket"])
 
 
 @query(_TAPE + """,
-    l AS (SELECT *, lag(price) OVER w AS pp, greatest(ts_ns - lag(ts_ns) OVER w, 0) AS dt FROM trades WINDOW w AS (PARTITION BY stock_locate ORDER BY seq)),
-    g AS (SELECT stock_locate, coalesce(sum(CAST(pp AS HUGEINT) * dt), 0) AS w, CAST(coalesce(sum(dt), 0) AS BIGINT) AS elapsed_ns, arg_max(price, seq) AS last FROM l GROUP BY stock_locate)
-    SELECT stock_locate, CASE WHEN elapsed_ns > 0 THEN CAST(w AS DOUBLE) / (CAST(elapsed_ns AS DOUBLE) * 10000.0) ELSE CAST(last AS DOUBLE) / 10000.0 END AS twap, elapsed_ns FROM g""")
+    l AS (SELECT *, lag(price) OVER w AS pp, greatest(ts_ns - lag(ts_ns) OVER w, 0) AS dt FROM trades WINDOW w AS (PARTITION BY session_date, stock_locate ORDER BY seq)),
+    g AS (SELECT session_date, stock_locate, coalesce(sum(CAST(pp AS HUGEINT) * dt), 0) AS w, CAST(coalesce(sum(dt), 0) AS BIGINT) AS elapsed_ns, arg_max(price, seq) AS last FROM l GROUP BY session_date, stock_locate)
+    SELECT session_date, stock_locate, CASE WHEN elapsed_ns > 0 THEN CAST(CAST(w AS VARCHAR) AS DOUBLE) / (CAST(elapsed_ns AS DOUBLE) * 10000.0) ELSE CAST(last AS DOUBLE) / 10000.0 END AS twap, elapsed_ns FROM g""")
 def twap(spark, d):
     return an.twap(_tape(spark, d), BY, BLOCK)
 
@@ -253,7 +259,7 @@ def export_flat_parquet(spark, d):
 
 # books and tape --------------------------------------------------------------------------------
 
-_TRADE_COLS = "stock_locate, seq, ts_ns, symbol, side, shares, price, match_number, printable, is_cross, cross_type"
+_TRADE_COLS = "session_date, stock_locate, seq, ts_ns, symbol, side, shares, price, match_number, printable, is_cross, cross_type"
 
 
 @query(_TAPE + f"SELECT {_TRADE_COLS} FROM trades")
@@ -261,97 +267,97 @@ def trade_tape(spark, d):
     return _tape(spark, d)
 
 
-@query(_TAPE + f"SELECT {_TRADE_COLS} FROM trades WHERE match_number NOT IN (SELECT match_number FROM feed WHERE message_type = 'B')")
+@query(_TAPE + f"SELECT {_TRADE_COLS} FROM trades WHERE NOT EXISTS (SELECT 1 FROM feed b WHERE b.message_type = 'B' AND b.match_number = trades.match_number AND b.session_date = trades.session_date)")
 def trade_tape_unbroken(spark, d):
-    m = _undated(spark, d).withColumn("session_date", F.lit(None).cast("date"))
-    return bk.without_broken(bk.rebuild(m, "trades"), m).drop("session_date")
+    m = feed.messages(spark, d)
+    return bk.without_broken(bk.rebuild(m, "trades"), m)
 
 
-@query(_BOOK + "SELECT stock_locate, seq, side, price, CAST(d_shares AS BIGINT) AS d_shares, CAST(d_orders AS INT) AS d_orders FROM deltas")
+@query(_BOOK + "SELECT session_date, stock_locate, seq, side, price, CAST(d_shares AS BIGINT) AS d_shares, CAST(d_orders AS INT) AS d_orders FROM deltas")
 def book_level_deltas(spark, d):
-    return bk.rebuild(_undated(spark, d), "deltas").select("stock_locate", "seq", "side", "price", "d_shares", "d_orders")
+    return bk.rebuild(feed.messages(spark, d), "deltas").select("session_date", "stock_locate", "seq", "side", "price", "d_shares", "d_orders")
 
 
 def _orders(spark, d):
-    return bk.rebuild(_undated(spark, d), "orders")
+    return bk.rebuild(feed.messages(spark, d), "orders")
 
 
-@query(_BOOK + "SELECT stock_locate, born AS seq, ref AS order_reference_number, side, shares, price FROM orders")
+@query(_BOOK + "SELECT session_date, stock_locate, born AS seq, ref AS order_reference_number, side, shares, price FROM orders")
 def live_orders(spark, d):
-    return _orders(spark, d).select("stock_locate", "seq", "order_reference_number", "side", "shares", "price")
+    return _orders(spark, d).select("session_date", "stock_locate", "seq", "order_reference_number", "side", "shares", "price")
 
 
-@query(_BOOK + "SELECT stock_locate, side, price, shares, order_count, level FROM depth")
+@query(_BOOK + "SELECT session_date, stock_locate, side, price, shares, order_count, level FROM depth")
 def depth_final(spark, d):
-    return bk.levels(_orders(spark, d)).drop("session_date")
+    return bk.levels(_orders(spark, d))
 
 
-@query(_BOOK + "SELECT stock_locate, side, price, shares, order_count, level FROM depth WHERE level <= 5")
+@query(_BOOK + "SELECT session_date, stock_locate, side, price, shares, order_count, level FROM depth WHERE level <= 5")
 def depth_topk(spark, d):
-    return bk.levels(_orders(spark, d), 5).drop("session_date")
+    return bk.levels(_orders(spark, d), 5)
 
 
-@query(_BOOK + "SELECT stock_locate, side, CAST(sum(shares) AS BIGINT) AS shares FROM depth WHERE level <= 3 GROUP BY ALL")
+@query(_BOOK + "SELECT session_date, stock_locate, side, CAST(sum(shares) AS BIGINT) AS shares FROM depth WHERE level <= 3 GROUP BY ALL")
 def depth_at_level(spark, d):
-    return an.depth_at(bk.levels(_orders(spark, d)), 3).drop("session_date")
+    return an.depth_at(bk.levels(_orders(spark, d)), 3)
 
 
-@query(_BOOK + "SELECT stock_locate, ref AS order_reference_number, side, price, row_number() OVER (PARTITION BY stock_locate, side, price ORDER BY born, ref) AS position FROM orders")
+@query(_BOOK + "SELECT session_date, stock_locate, ref AS order_reference_number, side, price, row_number() OVER (PARTITION BY session_date, stock_locate, side, price ORDER BY born, ref) AS position FROM orders")
 def orders_queue(spark, d):
-    return bk.queue(_orders(spark, d)).select("stock_locate", "order_reference_number", "side", "price", "position")
+    return bk.queue(_orders(spark, d)).select("session_date", "stock_locate", "order_reference_number", "side", "price", "position")
 
 
-@query(_F + "SELECT stock_locate, arg_min(stock, seq) AS symbol, min(seq) AS first_seq FROM feed WHERE message_type IN ('A', 'F') GROUP BY stock_locate")
+@query(_F + "SELECT session_date, stock_locate, arg_min(stock, seq) AS symbol, min(seq) AS first_seq FROM feed WHERE message_type IN ('A', 'F') GROUP BY session_date, stock_locate")
 def book_index(spark, d):
-    return bk.book_index(_undated(spark, d)).drop("session_date")
+    return bk.book_index(feed.messages(spark, d))
 
 
-@query(_F + "SELECT DISTINCT stock_locate, 'SYM' || stock_locate AS symbol FROM feed WHERE message_type IN ('A', 'F')")
+@query(_F + "SELECT DISTINCT session_date, stock_locate, 'SYM' || stock_locate AS symbol FROM feed WHERE message_type IN ('A', 'F')")
 def symbol_by_locate(spark, d):
-    return bk.symbols(_undated(spark, d)).drop("session_date")
+    return bk.symbols(feed.messages(spark, d))
 
 
-_TOP = """SELECT stock_locate, bool_or(side = 'B') AS has_bid, coalesce(max(price) FILTER (WHERE side = 'B'), 0) AS bid_price, coalesce(max(shares) FILTER (WHERE side = 'B'), 0) AS bid_shares,
-    bool_or(side = 'S') AS has_ask, coalesce(max(price) FILTER (WHERE side = 'S'), 0) AS ask_price, coalesce(max(shares) FILTER (WHERE side = 'S'), 0) AS ask_shares FROM depth WHERE level = 1 GROUP BY stock_locate"""
+_TOP = """SELECT session_date, stock_locate, bool_or(side = 'B') AS has_bid, coalesce(max(price) FILTER (WHERE side = 'B'), 0) AS bid_price, coalesce(max(shares) FILTER (WHERE side = 'B'), 0) AS bid_shares,
+    bool_or(side = 'S') AS has_ask, coalesce(max(price) FILTER (WHERE side = 'S'), 0) AS ask_price, coalesce(max(shares) FILTER (WHERE side = 'S'), 0) AS ask_shares FROM depth WHERE level = 1 GROUP BY session_date, stock_locate"""
 
 
 @query(_BOOK + _TOP)
 def bbo_final(spark, d):
-    return bk.tops(_orders(spark, d)).drop("session_date")
+    return bk.tops(_orders(spark, d))
 
 
 # level counts after each change hold until the level's next one; the best of those that hold at
 # each of the instrument's changes is its top
 _BBO = _BOOK + """,
-steps AS (SELECT stock_locate, side, price, seq, sum(d_shares) AS ds, sum(d_orders) AS dn FROM deltas GROUP BY ALL),
+moves AS (SELECT session_date, stock_locate, side, price, seq, sum(d_shares) AS ds, sum(d_orders) AS dn FROM deltas GROUP BY ALL),
 held AS (
   SELECT *, sum(ds) OVER w AS shares, sum(dn) OVER w AS n, coalesce(lead(seq) OVER w, 9223372036854775807) AS until
-  FROM steps WINDOW w AS (PARTITION BY stock_locate, side, price ORDER BY seq)),
-moments AS (SELECT DISTINCT stock_locate, seq FROM steps),
+  FROM moves WINDOW w AS (PARTITION BY session_date, stock_locate, side, price ORDER BY seq)),
+moments AS (SELECT DISTINCT session_date, stock_locate, seq FROM moves),
 sides AS (
-  SELECT m.stock_locate, m.seq, max(h.price) FILTER (WHERE side = 'B') AS b, min(h.price) FILTER (WHERE side = 'S') AS a, arg_max(h.shares, h.price) FILTER (WHERE side = 'B') AS bs, arg_min(h.shares, h.price) FILTER (WHERE side = 'S') AS as_
-  FROM moments m LEFT JOIN held h ON h.stock_locate = m.stock_locate AND h.seq <= m.seq AND m.seq < h.until AND h.n > 0 GROUP BY ALL),
+  SELECT m.session_date, m.stock_locate, m.seq, max(h.price) FILTER (WHERE side = 'B') AS b, min(h.price) FILTER (WHERE side = 'S') AS a, arg_max(h.shares, h.price) FILTER (WHERE side = 'B') AS bs, arg_min(h.shares, h.price) FILTER (WHERE side = 'S') AS as_
+  FROM moments m LEFT JOIN held h ON h.session_date = m.session_date AND h.stock_locate = m.stock_locate AND h.seq <= m.seq AND m.seq < h.until AND h.n > 0 GROUP BY ALL),
 states AS (
-  SELECT stock_locate, seq, b IS NOT NULL AS has_bid, coalesce(b, 0) AS bid_price, CAST(coalesce(bs, 0) AS BIGINT) AS bid_shares, a IS NOT NULL AS has_ask, coalesce(a, 0) AS ask_price, CAST(coalesce(as_, 0) AS BIGINT) AS ask_shares FROM sides),
+  SELECT session_date, stock_locate, seq, b IS NOT NULL AS has_bid, coalesce(b, 0) AS bid_price, CAST(coalesce(bs, 0) AS BIGINT) AS bid_shares, a IS NOT NULL AS has_ask, coalesce(a, 0) AS ask_price, CAST(coalesce(as_, 0) AS BIGINT) AS ask_shares FROM sides),
 bbos AS (
   SELECT * FROM states QUALIFY row(has_bid, bid_price, bid_shares, has_ask, ask_price, ask_shares) IS DISTINCT FROM
-    coalesce(lag(row(has_bid, bid_price, bid_shares, has_ask, ask_price, ask_shares)) OVER (PARTITION BY stock_locate ORDER BY seq), row(false, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), CAST(0 AS BIGINT))))
+    coalesce(lag(row(has_bid, bid_price, bid_shares, has_ask, ask_price, ask_shares)) OVER (PARTITION BY session_date, stock_locate ORDER BY seq), row(false, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), CAST(0 AS BIGINT))))
 """
 
 
 def _bbo(spark, d):
-    return bk.rebuild(_undated(spark, d), "bbo")
+    return bk.rebuild(feed.messages(spark, d), "bbo")
 
 
 @query(_BBO + "SELECT * FROM bbos")
 def bbo_changes(spark, d):
-    return _bbo(spark, d).drop("session_date", "ts_ns")
+    return _bbo(spark, d).drop("ts_ns")
 
 
-@query(_BBO + """SELECT stock_locate, seq, CASE WHEN has_bid AND has_ask THEN CAST(ask_price - bid_price AS DOUBLE) / 10000.0 END AS spread, CASE WHEN has_bid AND has_ask THEN CAST(ask_price + bid_price AS DOUBLE) / 20000.0 END AS mid,
+@query(_BBO + """SELECT session_date, stock_locate, seq, CASE WHEN has_bid AND has_ask THEN CAST(ask_price - bid_price AS DOUBLE) / 10000.0 END AS spread, CASE WHEN has_bid AND has_ask THEN CAST(ask_price + bid_price AS DOUBLE) / 20000.0 END AS mid,
     CASE WHEN bid_shares + ask_shares <> 0 THEN CAST(bid_shares - ask_shares AS DOUBLE) / CAST(bid_shares + ask_shares AS DOUBLE) END AS queue_imbalance FROM bbos""")
 def spread_mid_qi(spark, d):
-    return _bbo(spark, d).select("stock_locate", "seq", an.spread().alias("spread"), an.mid_price().alias("mid"), an.queue_imbalance().alias("queue_imbalance"))
+    return _bbo(spark, d).select("session_date", "stock_locate", "seq", an.spread().alias("spread"), an.mid_price().alias("mid"), an.queue_imbalance().alias("queue_imbalance"))
 
 
 _OFI = """, p AS (SELECT *, lag(bid_price) OVER w AS pb, lag(bid_shares) OVER w AS pbs, lag(ask_price) OVER w AS pa, lag(ask_shares) OVER w AS pas FROM {0} WINDOW w AS (PARTITION BY {1} ORDER BY {2}))
@@ -359,9 +365,9 @@ _OFI = """, p AS (SELECT *, lag(bid_price) OVER w AS pb, lag(bid_shares) OVER w
       - CASE WHEN ask_price > pa THEN pas WHEN ask_price = pa THEN ask_shares - pas WHEN ask_price < pa THEN -ask_shares END AS BIGINT) AS ofi FROM p"""
 
 
-@query(_BBO + _OFI.format("bbos", "stock_locate", "seq"))
+@query(_BBO + _OFI.format("bbos", "session_date, stock_locate", "seq"))
 def ofi(spark, d):
-    return an.order_flow_imbalance(_bbo(spark, d).drop("session_date"), BY, BLOCK).select("stock_locate", "seq", "ofi")
+    return an.order_flow_imbalance(_bbo(spark, d), BY, BLOCK).select("session_date", "stock_locate", "seq", "ofi")
 
 
 @query("WITH q AS (SELECT DISTINCT * FROM bbo)" + _OFI.format("q", "session_date, stock_locate", "bbo_id"))
@@ -372,12 +378,12 @@ def ofi_quotes(spark, d):
     return out.select("session_date", "stock_locate", F.col("seq").alias("bbo_id"), "ofi")
 
 
-@query(_F + """, u AS (SELECT f.* FROM feed f, (SELECT stock_locate, min(seq) AS s FROM feed WHERE message_type IN ('A', 'F') AND stock IN ('SYM1', 'SYM3') GROUP BY stock_locate) b WHERE f.stock_locate = b.stock_locate AND f.message_type IN ('A', 'F') AND f.seq >= b.s)
-    SELECT stock_locate, count(*) AS n_adds FROM u GROUP BY stock_locate""")
+@query(_F + """, u AS (SELECT f.* FROM feed f, (SELECT session_date, stock_locate, min(seq) AS s FROM feed WHERE message_type IN ('A', 'F') AND stock IN ('SYM1', 'SYM3') GROUP BY session_date, stock_locate) b WHERE f.session_date = b.session_date AND f.stock_locate = b.stock_locate AND f.message_type IN ('A', 'F') AND f.seq >= b.s)
+    SELECT session_date, stock_locate, count(*) AS n_adds FROM u GROUP BY session_date, stock_locate""")
 def universe_filter(spark, d):
-    deltas = bk.rebuild(_undated(spark, d), "deltas", {"SYM1", "SYM3"})
-    adds = _undated(spark, d).where("message_type IN ('A', 'F')").select("seq", "stock_locate")
-    return deltas.select("seq").distinct().join(adds, "seq").groupBy("stock_locate").agg(F.count(F.lit(1)).alias("n_adds"))
+    deltas = bk.rebuild(feed.messages(spark, d), "deltas", {"SYM1", "SYM3"})
+    adds = feed.messages(spark, d).where("message_type IN ('A', 'F')").select("seq", "session_date", "stock_locate")
+    return deltas.select("seq").distinct().join(adds, "seq").groupBy("session_date", "stock_locate").agg(F.count(F.lit(1)).alias("n_adds"))
 
 
 # auctions, imbalance, transport ----------------------------------------------------------------
@@ -388,11 +394,11 @@ def imbalance_info(spark, d):
     return an.imbalance_info(feed.messages(spark, d))
 
 
-@query(_F + """, a AS (SELECT q.seq AS q, max(i.seq) AS i FROM feed q LEFT JOIN feed i ON i.message_type = 'I' AND i.stock_locate = q.stock_locate AND i.seq < q.seq WHERE q.message_type = 'Q' GROUP BY q.seq)
-    SELECT q.stock_locate, q.seq, q.ts_ns, q.stock, q.shares, q.cross_price, q.match_number, q.cross_type, i.seq IS NOT NULL AS has_imbalance, i.paired_shares, i.imbalance_shares, i.imbalance_direction, i.far_price, i.near_price, i.current_reference_price, i.price_variation_indicator
+@query(_F + """, a AS (SELECT q.seq AS q, max(i.seq) AS i FROM feed q LEFT JOIN feed i ON i.message_type = 'I' AND i.session_date = q.session_date AND i.stock_locate = q.stock_locate AND i.seq < q.seq WHERE q.message_type = 'Q' GROUP BY q.seq)
+    SELECT q.session_date, q.stock_locate, q.seq, q.ts_ns, q.stock, q.shares, q.cross_price, q.match_number, q.cross_type, i.seq IS NOT NULL AS has_imbalance, i.paired_shares, i.imbalance_shares, i.imbalance_direction, i.far_price, i.near_price, i.current_reference_price, i.price_variation_indicator
     FROM a JOIN feed q ON q.seq = a.q LEFT JOIN feed i ON i.seq = a.i""")
 def auctions(spark, d):
-    return an.auctions(_undated(spark, d), BY, BLOCK)
+    return an.auctions(feed.messages(spark, d), BY, BLOCK)
 
 
 # packets of 7 messages a session (user_id % 3); every fifth is lost, every eleventh comes twice
@@ -599,7 +605,7 @@ def stream_bbo_changes(spark, d):
     from tidebook.streaming.folds import stream_books
 
     parts, out, state = (new_path(spark, x) for x in ("parts", "tops", "state"))
-    feed_rows = _undated(spark, d).withColumn("session_date", F.lit(None).cast("date"))
+    feed_rows = feed.messages(spark, d)
     edges = feed_rows.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
     step = max(1, ((edges.b or 0) - (edges.a or 0)) // 3 + 1)
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -613,4 +619,4 @@ def stream_bbo_changes(spark, d):
             stream_books(stream, "bbo").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return spark.read.parquet(out).drop("session_date", "ts_ns")
+    return spark.read.parquet(out).drop("ts_ns")
