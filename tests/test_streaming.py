@@ -38,8 +38,8 @@ def test_books_and_bars(spark, tmp_path):
     assert rows(run(folds.stream_books(stream, "bbo"), spark, tmp_path, "bbo")) == rows(bk.rebuild(batch, "bbo"))
     assert rows(run(folds.stream_books(stream, "trades"), spark, tmp_path, "trades")) == rows(bk.rebuild(batch, "trades"))
     trades = bk.rebuild(batch, "trades").drop("session_date").cache()
-    plain = stream.where("message_type = 'P'").select("stock_locate", "seq", "ts_ns", "price", "shares")
-    p = batch.where("message_type = 'P'").select("stock_locate", "seq", "ts_ns", "price", "shares")
+    plain = stream.where("message_type = 'P'").select("session_date", "stock_locate", "seq", "ts_ns", "price", "shares")
+    p = batch.where("message_type = 'P'").select("session_date", "stock_locate", "seq", "ts_ns", "price", "shares")
     got = run(folds.stream_bars(plain, "tick", 3), spark, tmp_path, "bars").select("stock_locate", "bar", "open", "high", "low", "close", "volume")
     want = an.bars(an.with_tick_bucket(p, 3, ["stock_locate"], 64), ["stock_locate"], 64)
     last = want.groupBy("stock_locate").agg(F.max("bar").alias("bar"))

@@ -23,7 +23,7 @@ G=NASDAQ Global Market
 S=NASDAQ Capital Market
 Z=BATS
 V=Investors Exchange
-_=Not available
+ =Not available
 FINANCIAL_STATUS_INDICATOR
 D=Deficient
 E=Delinquent
@@ -35,7 +35,7 @@ J=Delinquent and Bankrupt
 K=Deficient, Delinquent and Bankrupt
 C=Creations and/or Redemptions Suspended for Exchange Traded Product
 N=Normal (Default): Issuer is NOT Deficient, Delinquent, or Bankrupt
-_=Not available. Firms should refer to SIAC feeds for code if needed
+ =Not available. Firms should refer to SIAC feeds for code if needed
 ISSUE_CLASSIFICATION_VALUES
 A=American Depositary Share
 B=Bond
@@ -146,7 +146,7 @@ C3=Issuer News Not Forthcoming; Quotations/Trading To Resume
 C4=Qualifications Halt Ended; Maintenance Requirements Met; Resume
 C9=Qualifications Halt Concluded; Filings Met; Quotes/Trades To Resume
 C11=Trade Halt Concluded By Other Regulatory Authority; Quotes/Trades Resume
-_=Reason Not Available
+ =Reason Not Available
 TRADING_STATES
 H=Halted across all U.S. equity markets / SROs
 P=Paused across all U.S. equity markets / SROs
@@ -181,7 +181,7 @@ L=Less than 1%
 A=10 to 19.99%
 B=20 to 29.99%
 C=30% or greater
-_=Cannot be calculated
+ =Cannot be calculated
 CROSS_TYPE
 O=Opening Cross
 C=Closing Cross
@@ -205,7 +205,7 @@ def _parse() -> dict[str, dict[str, str]]:
             name = line
             out[name] = {}
         else:
-            out[name][" " if code == "_" else code] = meaning
+            out[name][code] = meaning
     return out
 
 

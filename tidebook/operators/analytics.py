@@ -141,7 +141,7 @@ def sequence_gaps(packets: DataFrame, session: str = "session", order: str = "pa
     seen = carry_max(rows.withColumn("expected", F.col("__end")), [session], order, ["expected"], strict=True, block=order_block(order, block))
     e = F.col("expected")
     missing = F.when(e.isNull(), 0).otherwise(F.greatest(F.col(first) - e, F.lit(0)))
-    fresh = F.when(e.isNull(), F.col(count)).when(F.col("__end") > e, F.col(count) - F.least(F.col(count), F.greatest(e - F.col(first), F.lit(0)))).otherwise(0)
+    fresh = F.when(e.isNull(), F.col(count)).otherwise(F.greatest(F.lit(0), F.col("__end") - F.greatest(F.col(first), e)))
     return seen.select("*", missing.cast("long").alias("missing"), fresh.cast("long").alias("fresh")).drop("__end")
 
 

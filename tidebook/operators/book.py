@@ -257,11 +257,12 @@ _RULE = "-----------+--------------+--------------"
 
 def ladder_text(depth: DataFrame) -> DataFrame:
     """Levels as lines: asks from high to low, a rule, bids from high to low, in a frame. Columns
-    ``stock_locate``, ``line_no``, ``line``."""
+    ``session_date``, ``stock_locate``, ``line_no``, ``line``."""
     bid = F.col("side") == "B"
     line = F.format_string("%10d | %12.4f | %s", F.col("shares"), F.col("price") / F.lit(10000.0), F.when(bid, "Bid").otherwise("Ask"))
-    rows = depth.select("stock_locate", F.when(bid, 4).otherwise(2).alias("part"), (-F.col("price")).alias("k"), line.alias("line"))
+    book = ["session_date", "stock_locate"]
+    rows = depth.select(*book, F.when(bid, 4).otherwise(2).alias("part"), (-F.col("price")).alias("k"), line.alias("line"))
     frame = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(k).cast("long").alias("k"), F.lit(t).alias("line")) for p, k, t in [(1, 0, _BORDER), (1, 1, "   SHARES  |    PRICE     | SIDE "), (1, 2, _BORDER), (3, 0, _RULE), (5, 0, _BORDER)]])
-    fixed = rows.select("stock_locate").distinct().select("stock_locate", F.explode(frame).alias("f")).select("stock_locate", "f.*")
-    number = F.row_number().over(Window.partitionBy("stock_locate").orderBy("part", "k"))
-    return rows.unionByName(fixed).select("stock_locate", number.alias("line_no"), "line")
+    fixed = rows.select(*book).distinct().select(*book, F.explode(frame).alias("f")).select(*book, "f.*")
+    number = F.row_number().over(Window.partitionBy(*book).orderBy("part", "k"))
+    return rows.unionByName(fixed).select(*book, number.alias("line_no"), "line")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHT = "__weight"
-#: Buckets per power of two in the percentile step; a key has at most 2 * 64 * SUB_BUCKETS of them.
+#: Buckets per power of two in the percentile step; a key has at most 2 * 2100 * SUB_BUCKETS of them.
 SUB_BUCKETS = 512
 
 
@@ -46,10 +46,14 @@ def key_profile(freq: DataFrame, keys: Sequence[str], value: str = "value") -> D
 
 
 def value_bucket(c: Column) -> Column:
-    """A monotone map of numbers to at most 2 * 64 * SUB_BUCKETS ints: relative ranges of width
-    2 ** (1 / SUB_BUCKETS), mirrored for negatives."""
+    """A monotone map of numbers to at most 2 * 2100 * SUB_BUCKETS ints: relative ranges of width
+    2 ** (1 / SUB_BUCKETS), however small the numbers, mirrored for negatives. Zero has its own, as have
+    infinities; NaN is the greatest."""
     d = c.cast("double")
-    return F.floor(F.signum(d) * F.log2(F.abs(d) + F.lit(1.0)) * F.lit(float(SUB_BUCKETS))).cast("int")
+    # doubles go from 2 ** -1074 to 2 ** 1024
+    size = F.least(F.floor((F.log2(F.abs(d)) + F.lit(1075.0)) * F.lit(float(SUB_BUCKETS))), F.lit(2100 * SUB_BUCKETS)) + 1
+    bucket = F.when(d == 0, F.lit(0)).when(F.isnan(d), F.lit(2100 * SUB_BUCKETS + 2)).when(F.abs(d) == float("inf"), F.signum(d) * (2100 * SUB_BUCKETS + 1)).otherwise(F.signum(d) * size)
+    return bucket.cast("int")
 
 
 def weighted_percentiles(freq: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "value") -> DataFrame:

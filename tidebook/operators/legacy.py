@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators.book import book_rows
+from tidebook.runtime import materialize
 
 LEVELS = "session_date date, side string, price long, shares long, order_count int"
 _WRAP = 1 << 32
@@ -60,9 +61,22 @@ class Ladder:
 
 def ladder(messages: DataFrame, symbol: str) -> DataFrame:
     """Levels of ``symbol`` at the end of each session. The fold is over one symbol's adds and the
-    changes of its session, whose locates it must not trust; sessions run in parallel."""
+    changes of their references and of those that replaced these, found first, as it must not trust
+    locates; sessions run in parallel."""
     cols = ["session_date", "message_type", "stock", "ref", "new_ref", "side", "shares", "price"]
-    rows = book_rows(messages).where(F.col("message_type").isin(*"AFECXDU") & (~F.col("message_type").isin("A", "F") | (F.col("stock") == symbol)))
+    every = book_rows(messages).where(F.col("message_type").isin(*"AFECXDU"))
+    adds = every.where(F.col("message_type").isin("A", "F") & (F.col("stock") == symbol))
+    changes = every.where(~F.col("message_type").isin("A", "F"))
+    replaced = changes.where("message_type = 'U'").select(F.col("session_date").alias("d"), "ref", "new_ref")
+    known = materialize(adds.select(F.col("session_date").alias("d"), "ref").distinct(), "ladder")
+    edge = known
+    while True:  # as often as the longest chain of replacements
+        found = replaced.join(edge, replaced.d.eqNullSafe(edge.d) & (replaced.ref == edge.ref), "left_semi").select("d", F.col("new_ref").alias("ref")).distinct()
+        edge = materialize(found.join(known, found.d.eqNullSafe(known.d) & (found.ref == known.ref), "left_anti"), "ladder")
+        if edge.isEmpty():
+            break
+        known = known.unionByName(edge)
+    rows = adds.unionByName(changes.join(known, changes.session_date.eqNullSafe(known.d) & (changes.ref == known.ref), "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, out = LEVELS.split(", "), []

@@ -102,10 +102,12 @@ def with_timestamp_parts(rows: DataFrame) -> DataFrame:
 
 
 def histogram(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Messages per type, and in a row of type TOTAL of all: one partial aggregation."""
-    counts = frames.rollup(*by, "message_type") if not by else frames.groupBy(*by, "message_type")
-    out = counts.agg(F.count(F.lit(1)).alias("n"))
-    return out.select(*by, F.coalesce("message_type", F.lit("TOTAL")).alias("message_type"), "n") if not by else out
+    """Messages per type, what has none under null, and in a row of type TOTAL all: one partial
+    aggregation."""
+    if by:
+        return frames.groupBy(*by, "message_type").agg(F.count(F.lit(1)).alias("n"))
+    out = frames.rollup("message_type").agg(F.count(F.lit(1)).alias("n"), F.grouping("message_type").alias("__all"))
+    return out.select(F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col("message_type")).alias("message_type"), "n")
 
 
 def until_end(frames: DataFrame) -> DataFrame:

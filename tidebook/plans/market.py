@@ -239,6 +239,47 @@ def code_dimension(spark, d):
     return rows.select("msg_id", codes.describe("TRADING_STATES", F.col("trading_state")).alias("state"), codes.describe("TRADING_ACTION_REASON_CODES", F.rtrim("reason")).alias("why"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{t}' AS code_table, '{k}' AS code, '{v}' AS meaning" for t, codes_of in codes.TABLES.items() for k, v in codes_of.items()))
+def code_tables(spark, d):
+    """Every code table, looked up by its own codes."""
+    from functools import reduce
+
+    parts = [codes.dimension(spark, t).select(F.lit(t).alias("code_table"), "code", codes.describe(t, F.col("code")).alias("meaning")) for t in codes.TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _text_sql() -> str:
+    """What a person reads of a message, in SQL, from the same table of texts."""
+    whens = []
+    for line in ms._TEXTS.strip().splitlines():
+        code, title, *lines = line.split("|")
+        if code not in _WIRE:
+            continue
+        fields = {f.name: f for f in DEFAULT.types[code].body}
+        parts = [f"'{title}'", "'  Timestamp: ' || ts_ns"]
+        for x in lines:
+            label, _, name = x.partition("%")
+            value = f"printf('%g', CAST({name} AS DOUBLE) / {10 ** fields[name].decimals})" if fields[name].kind == "p" else f"CAST({name} AS VARCHAR)"
+            parts.append(f"'  {label}' || {value}")
+        whens.append(f"WHEN '{code}' THEN " + " || chr(10) || ".join(parts))
+    return "CASE message_type " + " ".join(whens) + " END"
+
+
+@query(_F + f"SELECT seq, {_text_sql()} AS text FROM feed")
+def message_text(spark, d):
+    rows = feed.messages(spark, d)
+    return rows.select("seq", ms.text_of(rows).alias("text"))
+
+
+_ONE = {"stock_locate": 7, "tracking_number": 3, "ts_ns": 34_200_000_000_001, "order_reference_number": 42, "buy_sell_indicator": "B", "shares": 500, "stock": "AAPL", "price": 1_500_000}
+
+
+@query("SELECT " + ", ".join(f"{v!r} AS {k}" if isinstance(v, str) else f"CAST({v} AS {'INT' if k in ('stock_locate', 'tracking_number') else 'BIGINT'}) AS {k}" for k, v in {"message_type": "A", **_ONE}.items()) + ", CAST(36 AS INT) AS wire_size")
+def message_created(spark, d):
+    made = ms.create_message(spark, "A", **_ONE)
+    return ms.decode(made.select("message_type", "body"), "A").join(made.select(F.octet_length("body").cast("int").alias("wire_size"), F.lit("A").alias("message_type")), "message_type")
+
+
 _FLAT = """
     SELECT message_type, ts_ns AS timestamp, stock_locate, tracking_number, CASE WHEN message_type IN ('A', 'F', 'P', 'Q') THEN stock ELSE '' END AS symbol,
       {n0}coalesce(order_reference_number, new_order_reference_number){n1} AS reference_number, CASE WHEN message_type IN ('A', 'F', 'P') THEN buy_sell_indicator ELSE '' END AS side,
@@ -257,6 +298,16 @@ def export_flat_parquet(spark, d):
     return export.flat(feed.messages(spark, d), False)
 
 
+@query(_F + _FLAT.format(n0="coalesce(CAST(", n1=" AS VARCHAR), '')", price="coalesce(printf('%d.%04d', px // 10000, px % 10000), '')").replace("SELECT message_type, ts_ns AS timestamp", "SELECT concat_ws(',', message_type, timestamp, stock_locate, tracking_number, symbol, reference_number, side, shares, price, match_number, printable, extra) AS line FROM (SELECT message_type, ts_ns AS timestamp", 1) + ")")
+def export_csv_bytes(spark, d):
+    """The lines of the CSV files as they are written."""
+    from tidebook.runtime import new_path
+
+    path = new_path(spark, "csv")
+    export.write_csv(feed.messages(spark, d), path)
+    return spark.read.text(path).where(F.col("value") != ",".join(export.COLUMNS)).withColumnRenamed("value", "line")
+
+
 # books and tape --------------------------------------------------------------------------------
 
 _TRADE_COLS = "session_date, stock_locate, seq, ts_ns, symbol, side, shares, price, match_number, printable, is_cross, cross_type"
@@ -386,6 +437,32 @@ def universe_filter(spark, d):
     return deltas.select("seq").distinct().join(adds, "seq").groupBy("session_date", "stock_locate").agg(F.count(F.lit(1)).alias("n_adds"))
 
 
+_LINES = """, lines AS (
+    SELECT session_date, stock_locate, CASE side WHEN 'B' THEN 4 ELSE 2 END AS part, -price AS k, printf('%10d | %12.4f | %s', shares, price / 10000.0, CASE side WHEN 'B' THEN 'Bid' ELSE 'Ask' END) AS line FROM depth
+    UNION ALL SELECT session_date, stock_locate, part, k, line FROM (SELECT DISTINCT session_date, stock_locate FROM depth) b,
+      (VALUES (1, 0, repeat('=', 42)), (1, 1, '   SHARES  |    PRICE     | SIDE '), (1, 2, repeat('=', 42)), (3, 0, '-----------+--------------+--------------'), (5, 0, repeat('=', 42))) f(part, k, line))
+    SELECT session_date, stock_locate, row_number() OVER (PARTITION BY session_date, stock_locate ORDER BY part, k) AS line_no, line FROM lines"""
+
+
+@query(_BOOK + _LINES)
+def ladder_print(spark, d):
+    return bk.ladder_text(bk.levels(_orders(spark, d)))
+
+
+def _whole_only(spark, d):
+    """The feed without what takes more off an order than a single-symbol ladder expects."""
+    return feed.messages(spark, d).where("message_type IN ('A', 'F', 'D', 'U')")
+
+
+@query("WITH RECURSIVE " + feed.SQL.lstrip().replace("FROM aimed)", "FROM aimed WHERE message_type IN ('A', 'F', 'D', 'U'))") + _BOOK.split(feed.SQL.lstrip(), 1)[1] + """
+    SELECT session_date, side, price, shares, CAST(order_count AS INT) AS order_count FROM depth WHERE stock_locate = 3""")
+def legacy_ladder(spark, d):
+    """The single-symbol ladder of one symbol, which reads all locates."""
+    from tidebook.operators.legacy import ladder
+
+    return ladder(_whole_only(spark, d), "SYM3")
+
+
 # auctions, imbalance, transport ----------------------------------------------------------------
 
 @query(_F + """SELECT seq, ts_ns, stock_locate, stock, CAST(far_price AS DOUBLE) / 10000.0 AS far_price, CAST(near_price AS DOUBLE) / 10000.0 AS near_price, CAST(current_reference_price AS DOUBLE) / 10000.0 AS current_reference_price,
@@ -511,6 +588,15 @@ def source_two_days(spark, d):
     return got.groupBy("session_date", "message_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
 
 
+@query(_F + "SELECT CASE WHEN seq % 10 = 1 THEN 'unknown_type' WHEN seq % 10 = 0 THEN 'size_mismatch' ELSE 'ok' END AS error, count(*) AS n FROM feed GROUP BY ALL")
+def source_diagnostics(spark, d):
+    """A file of which every tenth body is cut short and every tenth of no known type."""
+    from tidebook.sources.feed import diagnostics, read_frames
+
+    bad = _frames(spark, d).selectExpr("seq", "CASE WHEN seq % 10 = 1 THEN concat(encode('?', 'ISO-8859-1'), body) WHEN seq % 10 = 0 THEN substring(body, 1, 8) ELSE body END AS body")
+    return diagnostics(read_frames(spark, _written(spark, bad), framing="raw"))
+
+
 def _packed(spark: SparkSession, d: str, of: int) -> DataFrame:
     """Downstream packets of ``of`` messages: ``seq``, ``n`` of messages and ``blocks``, hex."""
     rows = _frames(spark, d).selectExpr(f"(seq - 1) div {of} AS packet", "seq", "hex(body) AS h", "octet_length(body) AS size")
@@ -598,6 +684,30 @@ def stream_growing(spark, d):
     return rows.groupBy("message_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stock_locate").cast("long")).alias("sum_locate"))
 
 
+@query(_bars_sql("(row_number() OVER (PARTITION BY session_date, stock_locate ORDER BY seq) - 1) // 5").replace("SELECT session_date, stock_locate, CAST(bar AS BIGINT)", "SELECT session_date, stock_locate, bar, open, high, low, close, volume, n_trades FROM (SELECT session_date, stock_locate, CAST(bar AS BIGINT)", 1)
+       + " QUALIFY bar < max(bar) OVER (PARTITION BY session_date, stock_locate))")
+def stream_bars(spark, d):
+    """Bars of five trades from a stream that takes the tape in two batches; the last bar of each
+    instrument is still open."""
+    from tidebook.runtime import materialize, new_path
+    from tidebook.streaming import folds
+
+    tape = materialize(_tape(spark, d), "tape")
+    parts, out, state = (new_path(spark, x) for x in ("parts", "bars", "state"))
+    edge = tape.agg(F.max("seq")).first()[0] or 0
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for late in (False, True):
+            tape.where((F.col("seq") * 2 > edge) == F.lit(late)).write.mode("append").parquet(parts)
+            stream = spark.readStream.schema(tape.schema).parquet(parts)
+            folds.stream_bars(stream, "tick", 5).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out).select("session_date", "stock_locate", "bar", "open", "high", "low", "close", "volume", "n_trades")
+
+
 @query(_BBO + "SELECT * FROM bbos")
 def stream_bbo_changes(spark, d):
     """``bbo_changes`` from a stream that takes the feed in three batches."""

@@ -106,7 +106,7 @@ def stream_books(messages: DataFrame, kind: str, universe: Collection[str] | Non
 
 # bars ------------------------------------------------------------------------------------------
 
-BARS = "stock_locate int, bar long, bucket long, open long, high long, low long, close long, volume long, n_trades long"
+BARS = "session_date date, stock_locate int, bar long, bucket long, open long, high long, low long, close long, volume long, n_trades long"
 
 
 def _bar_step(clock: str, size: int):
@@ -116,7 +116,7 @@ def _bar_step(clock: str, size: int):
             price, shares = int(r["price"]), int(r["shares"])
             bucket = int(r["ts_ns"]) // size if clock == "time" else state["n"] // size if clock == "tick" else state["v"] // size
             if state["bar"] is not None and state["bucket"] != bucket:
-                out.append((key[0], state["k"], state["bucket"], *state["bar"]))
+                out.append((*key, state["k"], state["bucket"], *state["bar"]))
                 state["bar"], state["k"] = None, state["k"] + 1
             b = state["bar"]
             state["bar"] = [price, price, price, price, shares, 1] if b is None else [b[0], max(b[1], price), min(b[2], price), price, b[4] + shares, b[5] + 1]
@@ -129,9 +129,9 @@ def _bar_step(clock: str, size: int):
 
 
 def stream_bars(trades: DataFrame, clock: str, size: int) -> DataFrame:
-    """Finished bars per locate; ``clock`` time (ns), tick (trades) or volume (shares)."""
-    rows = trades.select("stock_locate", "seq", "ts_ns", "price", "shares")
-    return _run(rows, ["stock_locate"], "seq", BARS, lambda: {"bar": None, "bucket": 0, "k": 0, "n": 0, "v": 0}, _bar_step(clock, size))
+    """Finished bars per session date and locate; ``clock`` time (ns), tick (trades) or volume (shares)."""
+    rows = trades.select("session_date", "stock_locate", "seq", "ts_ns", "price", "shares")
+    return _run(rows, ["session_date", "stock_locate"], "seq", BARS, lambda: {"bar": None, "bucket": 0, "k": 0, "n": 0, "v": 0}, _bar_step(clock, size))
 
 
 # transport -------------------------------------------------------------------------------------
@@ -144,7 +144,7 @@ def _gap_step(state: dict, key, rows: list[dict]) -> list[tuple]:
     for r in rows:
         first, count, e = int(r["first_seq"]), int(r["msg_count"]), state["expected"]
         end = first + count
-        fresh = count if e is None else count - min(count, max(e - first, 0)) if end > e else 0
+        fresh = count if e is None else max(0, end - max(first, e))
         out.append((key[0], int(r["packet"]), first, count, e, 0 if e is None else max(first - e, 0), fresh))
         state["expected"] = end if e is None else max(e, end)
     return out
