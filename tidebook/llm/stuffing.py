@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,8 +161,10 @@ def _before(cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two, one
 
 
-def _costs(cls: np.ndarray, at: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    return cost[(*_before(cls, at), cls)]
+def _costs(cls: np.ndarray, at: np.ndarray, *tables: np.ndarray) -> list[np.ndarray]:
+    """What each class costs after the two before it, by each of ``tables``."""
+    cells = _grams(cls, at, len(tables[0]))
+    return [t.ravel()[cells] for t in tables]
 
 
 def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,16 +176,29 @@ def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][owner] + inside * WINDOW, owner
 
 
+def _is_sentence(line: str) -> bool:
+    return _SENTENCE.match(line) is not None and "://" not in line
+
+
 def _sentences(texts: Iterable[str | None]) -> Iterator[list[str]]:
-    """The tokens of the sentence lines of each text that has any."""
+    """The tokens of the sentence lines of each text that has any, a line feed between lines."""
     for t in texts:
-        out: list[str] = []
-        for line in (t or "").split("\n"):
-            if _SENTENCE.match(line) and "://" not in line:
-                tok = _TOKEN.findall(line)
-                out += ["\n", *tok] if out else tok
-        if out:
-            yield out
+        lines = [x for x in (t or "").split("\n") if _is_sentence(x)]
+        if lines:
+            yield _TOKEN.findall("\n".join(lines))
+
+
+def _sentence_classes(texts: Sequence[str], cls: np.ndarray, at: np.ndarray, feed: int) -> Iterator[np.ndarray]:
+    """The same as classes, cut from those of the whole texts; no token spans a line feed."""
+    for t, a, b in zip(texts, at, at[1:]):
+        lines = [_is_sentence(x) for x in t.split("\n")]
+        if any(lines):
+            own = cls[a:b]
+            line = np.cumsum(own == feed)
+            # a line feed belongs to the line it ends; the last chosen line has none
+            line[own == feed] -= 1
+            chosen = own[np.array(lines)[line]]
+            yield chosen[:-1] if len(chosen) and chosen[-1] == feed else chosen
 
 
 def _prose_words(seen: Counter) -> dict[str, int]:
@@ -198,7 +214,7 @@ def _grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 def _page_grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """The cells of all texts, each once a text."""
     text = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
-    return np.unique(text * k**3 + _grams(cls, at, k)) % k**3
+    return pd.unique(text * k**3 + _grams(cls, at, k)) % k**3
 
 
 def _cost_table(grams: np.ndarray, k: int, weight: float) -> np.ndarray:
@@ -217,7 +233,7 @@ def _bins(cls: np.ndarray, at: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """The bin of each window's cost a token; those of short windows are a second BINS."""
     starts, _ = _windows(at)
     width = np.diff(np.r_[starts, len(cls)])
-    mean = np.add.reduceat(_costs(cls, at, cost), starts) / width
+    mean = np.add.reduceat(_costs(cls, at, cost)[0], starts) / width
     return np.minimum(mean * PER_UNIT, BINS - 1).astype(np.int64) + np.where(width == WINDOW, 0, BINS)
 
 
@@ -347,8 +363,7 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     starts, owner = _windows(at)
     width = np.diff(np.r_[starts, len(ids)])
     add = lambda x: np.add.reduceat(x.astype(np.float64), starts)
-    prose = add(_costs(cls, at, model.prose)) / width
-    pages = add(_costs(cls, at, model.pages)) / width
+    prose, pages = (add(c) / width for c in _costs(cls, at, model.prose, model.pages))
     abnormal = (prose > model.high) & (pages > model.page_high) | (prose < model.low)
     of_window = np.repeat(np.arange(len(starts)), width)
     of_text = owner[of_window]
@@ -427,18 +442,16 @@ def _classify(words: Sequence[str]):
             for i in range(0, len(texts), 500):
                 if len(tokens) > CACHE:
                     tokens = Tokens(words)
-                some = texts[i : i + 500]
-                ids, at = _numbers(_sentences(some), tokens)
-                whole, ends = _numbers((_TOKEN.findall(t or "") for t in some), tokens)
-                every = np.array(tokens.cls)
-                if len(whole):
-                    np.add.at(pages, _page_grams(every[whole], ends, k), 1)
-                    seen += int((np.diff(ends) > 0).sum())
-                if len(ids):
-                    cls = every[ids].astype(np.uint8)
-                    lines = pa.array([cls[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())
-                    none = pa.nulls(len(lines), pa.int64())
-                    yield pa.RecordBatch.from_arrays([lines, none, none], schema=schema)
+                some = [t or "" for t in texts[i : i + 500]]
+                ids, at = _numbers(map(_TOKEN.findall, some), tokens)
+                if not len(ids):
+                    continue
+                cls = np.array(tokens.cls)[ids]
+                pages += np.bincount(_page_grams(cls, at, k), minlength=k**3)
+                seen += int((np.diff(at) > 0).sum())
+                lines = pa.array([x.astype(np.uint8).tobytes() for x in _sentence_classes(some, cls, at, tokens.fixed["\n"])], pa.binary())
+                none = pa.nulls(len(lines), pa.int64())
+                yield pa.RecordBatch.from_arrays([lines, none, none], schema=schema)
         where = np.flatnonzero(pages)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(where) + 1, pa.binary()), pa.array(np.r_[where, -1]), pa.array(np.r_[pages[where], seen])], schema=schema)
 
