@@ -25,7 +25,6 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +63,8 @@ CACHE = 1_000_000
 #: What stands for which letter in disguised words.
 DISGUISE = str.maketrans("013457@$", "oieastas")
 
-_TOKEN = re.compile(r"(?:https?://|www\.)[^\s\]|<>]+|(?<![\w&])#(?=\w*[^\W\d])\w+|</?\w[^<>\n]{0,200}>|\[\[|\]\]|\{\{|\}\}|[^\W_]+(?:['’][^\W_]+)?|\n|[^\w\s]|_")
+# words first, as most tokens are
+_TOKEN = re.compile(r"(?!(?:https?://|www\.)[^\s\]|<>])[^\W_]+(?:['’][^\W_]+)?|\n|(?:https?://|www\.)[^\s\]|<>]+|(?<![\w&])#(?=\w*[^\W\d])\w+|</?\w[^<>\n]{0,200}>|\[\[|\]\]|\{\{|\}\}|[^\w\s]|_")
 _SENTENCE = re.compile(r"^(?:''')?\w[^|{}<>\n]{38,}[.。!?]['\"»」]?\s*$")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _MARKS = list(".,;:!?'\"()=*#|-–—/«»「」·。、&%+") + ["[[", "]]", "{{", "}}", "\n"]
@@ -110,7 +110,7 @@ class Tokens(dict):
         elif head in "#<" and len(tok) > 1:
             c, kind = TAG, TAGGED if head == "#" or "tags" in low else OUTSIDE if "://" in low and "href" in low else 0
         elif alnum:
-            digits = sum(x.isdigit() for x in tok)
+            digits = 0 if tok.isalpha() else sum(map(str.isdigit, tok))
             if 0 < digits < len(tok):
                 word = low.translate(DISGUISE)
             kind = WORD
@@ -120,7 +120,7 @@ class Tokens(dict):
                 c, kind = _SHAPES.index("number"), 0
             elif digits:
                 c = _SHAPES.index("mixed")
-            elif _UNSPACED.search(tok):
+            elif not tok.isascii() and _UNSPACED.search(tok):
                 c = _SHAPES.index("long run" if len(tok) > 6 else "short run")
             elif tok.isupper() and len(tok) > 1:
                 c = _SHAPES.index("upper")
@@ -150,6 +150,11 @@ def _numbers(texts: Iterable[list[str]], tokens: Tokens) -> tuple[np.ndarray, np
     return np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(at)
 
 
+def _of(values: array, ids: np.ndarray) -> np.ndarray:
+    """An attribute of tokens, without a copy of that of all."""
+    return np.frombuffer(values, values.typecode)[ids] if len(values) else np.empty(0, np.int64)
+
+
 def _before(cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The classes two and one places before each, 0 beyond the start of its text."""
     one = np.r_[0, cls[:-1]] if len(cls) else cls
@@ -214,7 +219,7 @@ def _grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 def _page_grams(cls: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """The cells of all texts, each once a text."""
     text = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
-    return pd.unique(text * k**3 + _grams(cls, at, k)) % k**3
+    return pa.array(text * k**3 + _grams(cls, at, k)).unique().to_numpy() % k**3
 
 
 def _cost_table(grams: np.ndarray, k: int, weight: float) -> np.ndarray:
@@ -270,10 +275,10 @@ def fit(texts: Sequence[str | None]) -> Model | None:
     words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FUNCTION_WORDS + COMMON_WORDS]]
     tokens = Tokens(words)
     ids, at = _numbers(lines, tokens)
-    cls, k = np.array(tokens.cls)[ids], tokens.classes
+    cls, k = _of(tokens.cls, ids), tokens.classes
     prose = _cost_table(np.bincount(_grams(cls, at, k), minlength=k**3), k, 2.0)
     whole, ends = _numbers((_TOKEN.findall(t or "") for t in texts), tokens)
-    pages = _page_table(np.bincount(_page_grams(np.array(tokens.cls)[whole], ends, k), minlength=k**3), k, int((np.diff(ends) > 0).sum()))
+    pages = _page_table(np.bincount(_page_grams(_of(tokens.cls, whole), ends, k), minlength=k**3), k, int((np.diff(ends) > 0).sum()))
     return _model(words, prose, pages, np.bincount(_both_bins(cls, at, prose, pages), minlength=4 * BINS))
 
 
@@ -290,11 +295,20 @@ def _linked(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray
 
     The anchor runs to the bracket that closes the link, in the markup that has it, else to the end
     of the line or table cell; in ``[anchor](link)`` it runs back."""
+    link = _of(tokens.kind, ids) == OUTSIDE
+    out = tuple(np.zeros(len(ids), bool) for _ in range(3))
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    has = np.bincount(text, weights=link, minlength=len(at) - 1) > 0
+    if has.any():  # texts without links need no look
+        where = has[text]
+        for x, y in zip(out, _linked_texts(ids[where], np.r_[0, np.cumsum(np.diff(at)[has])], tokens)):
+            x[where] = y
+    return out
+
+
+def _linked_texts(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
-    link = np.array(tokens.kind)[ids] == OUTSIDE
-    none = np.zeros(n, bool)
-    if not link.any():
-        return none, none, none
+    link = _of(tokens.kind, ids) == OUTSIDE
     is_ = lambda t: ids == tokens.get(t, -9)
     first = np.zeros(n + 1, bool)
     first[at[:-1]] = True
@@ -307,7 +321,7 @@ def _linked(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.ndarray
     has = lambda x: np.bincount(line, weights=x)[line] > 0
     italics = is_("'") & np.r_[is_("'")[1:], False]
     # the reference mark before a token opens, the one after it closes, and both are of its text
-    marks = np.array(tokens.ref)[ids]
+    marks = _of(tokens.ref, ids)
     here = np.flatnonzero(marks)
     after = np.searchsorted(here, np.arange(n))
     sign, of = np.r_[0, marks[here], 0], np.r_[-1, text[here], -1]
@@ -359,7 +373,7 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     out = np.zeros(len(texts))
     if not len(ids):
         return out
-    cls, size, kind, norm, rank, small = (np.array(x)[ids] for x in (tokens.cls, tokens.size, tokens.kind, tokens.norm, tokens.rank, tokens.small))
+    cls, size, kind, norm, rank, small = (_of(x, ids) for x in (tokens.cls, tokens.size, tokens.kind, tokens.norm, tokens.rank, tokens.small))
     starts, owner = _windows(at)
     width = np.diff(np.r_[starts, len(ids)])
     add = lambda x: np.add.reduceat(x.astype(np.float64), starts)
@@ -446,7 +460,7 @@ def _classify(words: Sequence[str]):
                 ids, at = _numbers(map(_TOKEN.findall, some), tokens)
                 if not len(ids):
                     continue
-                cls = np.array(tokens.cls)[ids]
+                cls = _of(tokens.cls, ids)
                 pages += np.bincount(_page_grams(cls, at, k), minlength=k**3)
                 seen += int((np.diff(at) > 0).sum())
                 lines = pa.array([x.astype(np.uint8).tobytes() for x in _sentence_classes(some, cls, at, tokens.fixed["\n"])], pa.binary())
