@@ -171,3 +171,8 @@ def test_recall_on_unseen_spam(model, kind):
     assert (got > 0.5).mean() >= 0.9
     assert (s.stuffed_shares([prose(rnd, 40) + "\n" + unseen(rnd, kind)[:600] for _ in range(20)], model, s.Tokens(model.words)) < 0.5).all()
 
+
+
+@pytest.mark.parametrize("text", ["#cheapsofa #sofasale #buysofa #topsofa #sofadeals #sofaonline #bestsofa #sofastore #newsofa", "zorgol plim, cheap zorgol, zorgol quaff, plim sale, quaff plim, cheap quaff, zorgol sale, plim cheap, sale quaff"])
+def test_short_pages(model, text):
+    assert share(model, text) > 0.5

@@ -51,10 +51,9 @@ PROMOTING = 0.2
 REPEATED, PARTNERS, NEXT = 4, 3, 2
 #: Windows with a greater share of function words hold no keywords.
 SPARSE = 0.35
-#: A case has so many keywords, tags and links at least, a link counting as LINKED; stray links in a
-#: short page are fewer.
-LEAST = 15
-LINKED = 4
+#: A case has FEWEST keywords and tags at least, or LEAST of these and links, a link counting as LINKED;
+#: stray links in a short page are fewer.
+FEWEST, LEAST, LINKED = 8, 15, 4
 #: Bins of the histogram of window costs, and bins a unit of cost.
 BINS, PER_UNIT = 1 << 16, 1024
 #: Entries of a worker's token cache.
@@ -403,7 +402,9 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     promoting = (hits >= PROMOTING * np.maximum(words, 1)) & (near(hits) >= PROMOTING * np.maximum(near(words), 1)) & (hits > 0)
     chars = add(size)
     bad = abnormal & promoting
-    enough = np.bincount(owner, weights=np.where(bad, add(own & ~anchor) + LINKED * add(linked), 0), minlength=len(texts)) >= LEAST
+    total = lambda x: np.bincount(owner, weights=np.where(bad, add(x), 0), minlength=len(texts))
+    said = total(own & ~anchor)
+    enough = (said >= FEWEST) | (said + LINKED * total(linked) >= LEAST)
     # of a window that promotes by its links only these and their anchors count, not what they strayed into
     keyed = add(own & ~anchor) >= PROMOTING * np.maximum(words, 1)
     part = np.where(keyed, chars, add(np.where(anchor | own, size, 0)))
