@@ -8,9 +8,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tidebook.operators.messages import filter_types, histogram, inspect, parse_types, wide
+from tidebook.operators.messages import filter_types, histogram, inspect, parse_types
 from tidebook.sources.export import write_csv, write_parquet
-from tidebook.sources.feed import read_frames
+from tidebook.sources.feed import read_frames, read_messages
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -27,7 +27,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"{a.file}: missing or empty", file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("tidebook").getOrCreate()
-    frames = read_frames(spark, a.file, mode="dropmalformed")
+    read = read_frames if a.command == "inspect" else read_messages
+    columns = {"inspect": {"columns": "seq,message_type,body"}, "stats": {"fields": [], "columns": ["seq"]}}.get(a.command, {"columns": ["seq"]})
+    frames = read(spark, a.file, mode="dropmalformed", **columns)
     if a.types:
         frames = filter_types(frames, parse_types(a.types))
     if a.command == "stats":
@@ -37,7 +39,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in inspect(frames, a.limit).orderBy("seq").collect():
             print(r.text)
     else:
-        (write_csv if a.to == "csv" else write_parquet)(wide(frames), a.out, mode="overwrite")
+        (write_csv if a.to == "csv" else write_parquet)(frames, a.out, mode="overwrite")
     return 0
 
 

@@ -76,7 +76,7 @@ class SeenBitmaps:
         try:
             if self._fs.getUri().getScheme() == "file":  # a link is made only where no file is
                 plain = lambda p: self._Path(p).toUri().getPath()
-                os.link(plain(aside), plain(final))
+                self._link(plain(aside), plain(final))
                 self._fs.delete(self._Path(aside), False)
             else:
                 Rename = self._jvm.org.apache.hadoop.fs.Options.Rename
@@ -89,6 +89,16 @@ class SeenBitmaps:
                 raise Conflict(f"version {version} of {self.path} was committed by another increment") from e
             raise
 
+    @staticmethod
+    def _link(aside: str, final: str) -> None:
+        try:
+            os.link(aside, final)
+        except FileExistsError:
+            raise
+        except OSError:  # a folder that knows no links: the name is still made only once
+            with open(aside, "rb") as f, open(final, "xb") as out:
+                out.write(f.read())
+
     # what a version holds ----------------------------------------------------------------------
 
     def _read(self, folders: Sequence[str], table: str) -> DataFrame | None:

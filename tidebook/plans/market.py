@@ -570,6 +570,7 @@ def source_decoded(spark, d):
 def source_two_days(spark, d):
     """Files of two days in one read, their dates from their names."""
     import os
+    import shutil
 
     from tidebook.sources.feed import read_messages
 
@@ -578,12 +579,12 @@ def source_two_days(spark, d):
     days = {n: _written(spark, rows.where((F.col("seq") * 2 > edge) == F.lit(n == "01312020")), parts=2) for n in ("01302020", "01312020")}
     root = days["01302020"].removeprefix("file://").removeprefix("file:") + "-both"
     if "://" in root:
-        raise ValueError("the files are renamed in a mounted folder")
+        raise ValueError("the files are copied in a mounted folder")
     os.makedirs(root)
     for n, p in days.items():
         for x in sorted(os.listdir(p.removeprefix("file://").removeprefix("file:"))):
             if x.startswith("part-"):
-                os.link(os.path.join(p.removeprefix("file://").removeprefix("file:"), x), os.path.join(root, f"{n}.{x}"))
+                shutil.copyfile(os.path.join(p.removeprefix("file://").removeprefix("file:"), x), os.path.join(root, f"{n}.{x}"))
     got = read_messages(spark, root, ["ts_ns"], date_format="%m%d%Y")
     return got.groupBy("session_date", "message_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
 
