@@ -68,7 +68,7 @@ _SENTENCE = re.compile(r"^(?:''')?\w[^|{}<>\n]{38,}[.。!?]['\"»」]?\s*$")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _MARKS = list(".,;:!?'\"()=*#|-–—/«»「」·。、&%+") + ["[[", "]]", "{{", "}}", "\n"]
 _SHAPES = ["<start>", "lower", "capital", "upper", "mixed", "number", "link", "tag", "long run", "short run", "mark", "common"]
-LINK, TAG, OTHER, COMMON = (_SHAPES.index(x) for x in ("link", "tag", "mark", "common"))
+_, LOWER, CAPITAL, UPPER, MIXED, NUMBER, LINK, TAG, LONG_RUN, SHORT_RUN, OTHER, COMMON = range(len(_SHAPES))
 WORD, OUTSIDE, TAGGED = 1, 2, 3
 NO_RANK = 1 << 30
 
@@ -86,14 +86,46 @@ class Model:
     page_high: float
 
 
-class Tokens(dict):
-    """Token to its number; attributes by number in the arrays."""
+class Classes(dict):
+    """Token to its class."""
 
     def __init__(self, words: Sequence[str]):
         super().__init__()
         own = len(_SHAPES) + len(_MARKS)
         self.fixed = {w: own + i if i < FUNCTION_WORDS else COMMON for i, w in enumerate(words)} | {m: len(_SHAPES) + i for i, m in enumerate(_MARKS)}
-        self.classes = own + min(FUNCTION_WORDS, len(words))
+        self.size = own + min(FUNCTION_WORDS, len(words))
+
+    def __missing__(self, tok: str) -> int:
+        self[tok] = c = self._of(tok)
+        return c
+
+    def _of(self, tok: str) -> int:
+        head = tok[0]
+        if head.isalnum():
+            known = self.fixed.get(tok.lower())
+            if known is not None:
+                return known
+            if tok.isalpha():
+                if not tok.isascii() and _UNSPACED.search(tok):
+                    return LONG_RUN if len(tok) > 6 else SHORT_RUN
+                return UPPER if len(tok) > 1 and tok.isupper() else CAPITAL if head.isupper() else LOWER
+            if len(tok) > 4 and tok.startswith(("http", "www.")):
+                return LINK
+            digits = sum(map(str.isdigit, tok))
+            if digits:
+                return NUMBER if digits == len(tok) else MIXED
+            if not tok.isascii() and _UNSPACED.search(tok):
+                return LONG_RUN if len(tok) > 6 else SHORT_RUN
+            return UPPER if tok.isupper() else CAPITAL if head.isupper() else LOWER
+        return TAG if head in "#<" and len(tok) > 1 else self.fixed.get(tok, OTHER)
+
+
+class Tokens(dict):
+    """Token to its number; attributes by number in the arrays."""
+
+    def __init__(self, words: Sequence[str]):
+        super().__init__()
+        self.class_of = Classes(words)._of
         self.ranks = {w: i for i, w in enumerate(words)}
         self.cls, self.norm, self.size, self.rank = array("i"), array("i"), array("i"), array("i")
         self.kind, self.small = array("b"), array("b")
@@ -101,46 +133,29 @@ class Tokens(dict):
         self.norms: dict[str, int] = {}
 
     def __missing__(self, tok: str) -> int:
-        low = tok.lower()
-        head, alnum, word = tok[0], tok[0].isalnum(), low
-        kind = 0  # a mark, number or plain tag
-        if len(tok) > 4 and (low.startswith(("http", "www."))):
-            c, kind = LINK, OUTSIDE
-        elif head in "#<" and len(tok) > 1:
-            c, kind = TAG, TAGGED if head == "#" or "tags" in low else OUTSIDE if "://" in low and "href" in low else 0
-        elif alnum:
-            digits = 0 if tok.isalpha() else sum(map(str.isdigit, tok))
-            if 0 < digits < len(tok):
-                word = low.translate(DISGUISE)
-            kind = WORD
-            if low in self.fixed:
-                c = self.fixed[low]
-            elif digits == len(tok):
-                c, kind = _SHAPES.index("number"), 0
-            elif digits:
-                c = _SHAPES.index("mixed")
-            elif not tok.isascii() and _UNSPACED.search(tok):
-                c = _SHAPES.index("long run" if len(tok) > 6 else "short run")
-            elif tok.isupper() and len(tok) > 1:
-                c = _SHAPES.index("upper")
-            else:
-                c = _SHAPES.index("capital" if tok[0].isupper() else "lower")
-        else:
-            c = self.fixed.get(tok, OTHER)
-        n = len(self.cls)
+        n, head, low = len(self.cls), tok[0], tok.lower()
+        c, kind, norm, ref = self.class_of(tok), 0, -1, 0
+        if head.isalnum():
+            kind = OUTSIDE if c == LINK else 0 if c == NUMBER else WORD
+            if kind != OUTSIDE:
+                word = low.translate(DISGUISE) if c == MIXED else low
+                norm = self.norms.setdefault(word, len(self.norms))
+        elif c == TAG:
+            kind = TAGGED if head == "#" or "tags" in low else OUTSIDE if "://" in low and "href" in low else 0
+            ref = -1 if low == "</ref>" else int(low == "<ref>" or low.startswith("<ref ") and not low.endswith("/>"))
         self.cls.append(c)
-        self.norm.append(self.norms.setdefault(word, len(self.norms)) if alnum and kind != OUTSIDE else -1)
+        self.norm.append(norm)
         self.size.append(len(tok))
         self.rank.append(self.ranks.get(low, NO_RANK))
         self.kind.append(kind)
         self.small.append(head.islower())
-        self.ref.append(-1 if low == "</ref>" else int(low == "<ref>" or low.startswith("<ref ") and not low.endswith("/>")))
+        self.ref.append(ref)
         self[tok] = n
         return n
 
 
-def _numbers(texts: Iterable[list[str]], tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the tokens of all texts end to end and where each text starts."""
+def _numbers(texts: Iterable[list[str]], tokens: Tokens | Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (or classes) of the tokens of all texts end to end and where each text starts."""
     parts, at = [], [0]
     for t in texts:
         p = np.fromiter(map(tokens.__getitem__, t), np.int32)
@@ -272,12 +287,11 @@ def fit(texts: Sequence[str | None]) -> Model | None:
         return None
     seen = _prose_words(Counter(w for p in lines for w in set(p)))
     words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FUNCTION_WORDS + COMMON_WORDS]]
-    tokens = Tokens(words)
-    ids, at = _numbers(lines, tokens)
-    cls, k = _of(tokens.cls, ids), tokens.classes
+    classes = Classes(words)
+    (cls, at), k = _numbers(lines, classes), classes.size
     prose = _cost_table(np.bincount(_grams(cls, at, k), minlength=k**3), k, 2.0)
-    whole, ends = _numbers((_TOKEN.findall(t or "") for t in texts), tokens)
-    pages = _page_table(np.bincount(_page_grams(_of(tokens.cls, whole), ends, k), minlength=k**3), k, int((np.diff(ends) > 0).sum()))
+    whole, ends = _numbers((_TOKEN.findall(t or "") for t in texts), classes)
+    pages = _page_table(np.bincount(_page_grams(whole, ends, k), minlength=k**3), k, int((np.diff(ends) > 0).sum()))
     return _model(words, prose, pages, np.bincount(_both_bins(cls, at, prose, pages), minlength=4 * BINS))
 
 
@@ -449,22 +463,21 @@ def _classify(words: Sequence[str]):
     done, in how many texts it met each cell of the page model; of cell -1, how many had any token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(words)
-        k, pages, seen = tokens.classes, np.zeros(tokens.classes**3, np.int64), 0
+        classes = Classes(words)
+        k, pages, seen = classes.size, np.zeros(classes.size**3, np.int64), 0
         schema = pa.schema([("classes", pa.binary()), ("cell", pa.int64()), ("n", pa.int64())])
         for b in batches:
             texts = b.column(0).to_pylist()
             for i in range(0, len(texts), 500):
-                if len(tokens) > CACHE:
-                    tokens = Tokens(words)
+                if len(classes) > CACHE:
+                    classes = Classes(words)
                 some = [t or "" for t in texts[i : i + 500]]
-                ids, at = _numbers(map(_TOKEN.findall, some), tokens)
-                if not len(ids):
+                cls, at = _numbers(map(_TOKEN.findall, some), classes)
+                if not len(cls):
                     continue
-                cls = _of(tokens.cls, ids)
                 pages += np.bincount(_page_grams(cls, at, k), minlength=k**3)
                 seen += int((np.diff(at) > 0).sum())
-                lines = pa.array([x.astype(np.uint8).tobytes() for x in _sentence_classes(some, cls, at, tokens.fixed["\n"])], pa.binary())
+                lines = pa.array([x.astype(np.uint8).tobytes() for x in _sentence_classes(some, cls, at, classes.fixed["\n"])], pa.binary())
                 none = pa.nulls(len(lines), pa.int64())
                 yield pa.RecordBatch.from_arrays([lines, none, none], schema=schema)
         where = np.flatnonzero(pages)
@@ -509,7 +522,7 @@ def train(df: DataFrame, key: str, text: str = "text") -> Model | None:
     got = materialize(texts.mapInArrow(_classify(words), "classes binary, cell long, n long"), "classes")
     lines = got.where("classes IS NOT NULL").select("classes")
     count = lambda cells, size: _added(lines.mapInArrow(_count_cells(cells, size), "cell long, n long"), size)
-    k = Tokens(words).classes
+    k = Classes(words).size
     prose = _cost_table(count(lambda cls, at: _grams(cls, at, k), k**3), k, 2.0)
     counts = _added(got.where("cell IS NOT NULL").select((F.col("cell") + 1).alias("cell"), "n"), k**3 + 1)
     pages = _page_table(counts[1:], k, int(counts[0]))
