@@ -292,6 +292,15 @@ def test_decoded_in_the_source(spark, day):
         read_messages(spark, path, ["nothing"]).count()
 
 
+def test_unpacked_from_a_table(spark, day):
+    path, bodies = day
+    rows = [(i, b[:1].decode(), b, "x") for i, b in enumerate(bodies)] + [(-1, "A", None, "x"), (-2, None, S(), "x"), (-3, "A", b"", "x"), (-4, "Ax", S(), "x"), (-5, "A", bodies[1][:13], "x")]
+    df = spark.createDataFrame(rows, "seq long, message_type string, body binary, stock string").drop("stock")
+    want, got = ms.wide(df).orderBy("seq").collect(), ms.unpack(df).orderBy("seq").collect()
+    assert [r.asDict() for r in got] == [r.asDict() for r in want]
+    assert ms.unpack(df.repartition(3), ["price"]).columns == ["seq", "message_type", "price"] and ms.unpack(df.limit(0)).count() == 0
+
+
 def bodies_of(path):
     with open(path, "rb") as f:
         return [b for _, b, _ in fr.frames(f.read())]

@@ -6,9 +6,10 @@ only order that counts. Decoding is a projection, so fields that nobody asks for
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tidebook.functions import wire
 from tidebook.functions.layout import DEFAULT, Field, MessageType, Venue
 from tidebook.functions.scalars import price, split_timestamp, time_text
 from tidebook.functions.text import trim_fixed
+from tidebook.sources.decode import Chunk, field_places, field_type
 
 
 def parse_types(spec: str) -> list[str]:
@@ -62,6 +64,23 @@ def wide(frames: DataFrame, venue: Venue = DEFAULT) -> DataFrame:
     return frames.select(*_others(frames), "message_type", *[F.expr(f"{wire.read_sql(f)} AS `{f.name}`") for f in head], *cols)
 
 
+def unpack(frames: DataFrame, fields: Sequence[str] | None = None, venue: Venue = DEFAULT) -> DataFrame:
+    """``wide`` for the named fields (all without names), by NumPy over Arrow batches: many times as fast
+    where many fields are wanted. Only what is named is decoded, as Catalyst cannot prune it."""
+    every = field_places(venue)
+    chosen = {n: every[n] for n in (every if fields is None else fields)}
+    others = _others(frames)
+    types = dict(frames.dtypes)
+    schema = [*(f"`{c}` {types[c]}" for c in [*others, "message_type"]), *(f"{n} {field_type(p)}" for n, p in chosen.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunk = Chunk.of_bodies(b.column("body"), b.column("message_type"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*others, "message_type"]), *(chunk.field(p) for p in chosen.values())], names=[*others, "message_type", *chosen])
+
+    return frames.select(*others, "message_type", "body").mapInArrow(run, ", ".join(schema))
+
+
 def encode(rows: DataFrame, codes: Sequence[str] | None = None, venue: Venue = DEFAULT) -> DataFrame:
     """Typed rows to ``body``: the inverse of ``decode`` and ``wide``. Rows of other types, or with
     a null in a field of their type, get a null body. Timestamps are masked to 48 bits."""

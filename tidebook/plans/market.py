@@ -173,11 +173,9 @@ _WIRE = list("AFECXDUPQBI")
 @query(_F + "SELECT *, CASE message_type " + " ".join(f"WHEN '{c}' THEN {DEFAULT.size_of(c)}" for c in _WIRE) + " END AS wire_size FROM feed")
 def wire_roundtrip(spark, d):
     rows = feed.messages(spark, d)
-    frames = ms.encode(rows, _WIRE).select("session_date", "seq", "message_type", "body")
-    back = ms.wide(frames)
-    keep = [c for c in rows.columns if c not in ("session_date", "seq")]
-    sized = back.join(frames.select("seq", F.octet_length("body").cast("int").alias("wire_size")), "seq")
-    return sized.select("session_date", "seq", "message_type", *[F.col(c) for c in keep if c != "message_type"], "wire_size")
+    frames = ms.encode(rows, _WIRE).select("session_date", "seq", "message_type", "body", F.octet_length("body").cast("int").alias("wire_size"))
+    keep = [c for c in rows.columns if c not in ("session_date", "seq", "message_type")]
+    return ms.unpack(frames, keep).select("session_date", "seq", "message_type", *keep, "wire_size")
 
 
 def _decoder(code: str):

@@ -10,6 +10,20 @@ from tidebook.functions.layout import Field, Venue
 ERRORS = ("unknown_type", "size_mismatch")
 
 
+def field_places(venue: Venue) -> dict[str, list[tuple[str, Field]]]:
+    """Every field by name with the types that have it; "" stands for all types, in the header."""
+    out: dict[str, list[tuple[str, Field]]] = {f.name: [("", f)] for f in next(iter(venue.types.values())).fields[1:4]}
+    for t in venue.types.values():
+        for f in t.body:
+            out.setdefault(f.name, []).append((t.code, f))
+    return out
+
+
+def field_type(places: list[tuple[str, Field]]) -> str:
+    f = places[0][1]
+    return "string" if f.kind == "a" else "int" if f.size == 2 else "bigint"
+
+
 def walk(data: bytes, at: int = 0) -> tuple[list[int], int]:
     """Where the whole frames of ``data`` start, empty ones left out, and where what is left begins."""
     starts, end = [], len(data)
@@ -91,6 +105,20 @@ class Chunk:
             return pa.array([None, *ERRORS], pa.string()).take(pa.array(self.error)) if self.error.any() else pa.nulls(n, pa.string())
         raise KeyError(name)
 
+    @classmethod
+    def of_bodies(cls, bodies: pa.Array, types: pa.Array) -> Chunk:
+        """The same over a column of bodies; a null one is empty and has no field."""
+        self = cls.__new__(cls)
+        bodies = bodies.cast(pa.binary()) if bodies.type != pa.binary() else bodies
+        offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1] if len(bodies) else np.zeros(1, np.int32)
+        values = bodies.buffers()[2] if len(bodies) else None
+        self.data = np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)
+        self.starts, self.sizes = offsets[:-1].astype(np.int64) - 2, np.diff(offsets).astype(np.int64)
+        known = types.dictionary_encode(null_encoding="encode")
+        code = np.array([ord(t) if t is not None and len(t) == 1 and ord(t) < 256 else 0 for t in known.dictionary.to_pylist()], np.int64)
+        self.codes = code[known.indices.to_numpy(zero_copy_only=False)] if len(types) else np.empty(0, np.int64)
+        return self
+
     def field(self, places: list[tuple[str, Field]]) -> pa.Array:
         """A field by the types that have it; null for other types and where a body is too short."""
         n, size, kind = len(self), places[0][1].size, places[0][1].kind

@@ -43,7 +43,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from tidebook.functions.layout import DEFAULT, Field, Venue
-from tidebook.sources.decode import Chunk, needs, walk
+from tidebook.sources.decode import Chunk, field_places, field_type, needs, walk
 from tidebook.sources.framing import Walk, capture_kind, frames
 
 FRAMES = "file string, session_date date, seq bigint, message_type string, body binary, error string, packet bigint, session string, packet_first bigint"
@@ -390,15 +390,6 @@ def _signed(x: int | None) -> int | None:
     return None if x is None else x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _named_fields(venue: Venue) -> dict[str, list[tuple[str, Field]]]:
-    out: dict[str, list[tuple[str, Field]]] = {}
-    for t in venue.types.values():
-        for f in t.body:
-            out.setdefault(f.name, []).append((t.code, f))
-    head = {f.name: [("", f)] for f in next(iter(venue.types.values())).fields[1:4]}
-    return head | out
-
-
 def _columns(options: dict, venue: Venue) -> tuple[list[str], dict[str, list[tuple[str, Field]]]]:
     """Columns of a frame that are wanted, and the fields to decode."""
     known = [x.split()[0] for x in FRAMES.split(", ")]
@@ -408,7 +399,7 @@ def _columns(options: dict, venue: Venue) -> tuple[list[str], dict[str, list[tup
         raise ValueError(f"unknown columns {sorted(set(chosen) - set(known))}")
     if emit != "messages":
         return chosen, {}
-    every = _named_fields(venue)
+    every = field_places(venue)
     wanted = [x.strip() for x in options["fields"].split(",") if x.strip()] if options.get("fields") is not None else list(every)
     if set(wanted) - set(every):
         raise ValueError(f"unknown fields {sorted(set(wanted) - set(every))}")
@@ -421,7 +412,7 @@ def _ddl(options: dict) -> str:
         return PACKETS if emit == "packets" else RANGES
     columns, fields = _columns(options, _venue(options))
     types = dict(x.split() for x in FRAMES.split(", "))
-    decoded = [f"{n} {'string' if p[0][1].kind == 'a' else 'int' if p[0][1].size == 2 else 'bigint'}" for n, p in fields.items()]
+    decoded = [f"{n} {field_type(p)}" for n, p in fields.items()]
     return ", ".join([*(f"{c} {types[c]}" for c in columns), *decoded])
 
 
