@@ -43,7 +43,7 @@ def moment_text(date: Column, ns: Column) -> Column:
 
 def moment(date: Column, ns: Column) -> Column:
     """TIMESTAMP_NTZ for display: cut to microseconds."""
-    return F.timestamp_seconds(F.unix_date(date).cast("long") * 86400).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.floor(ns / 1000) / 1_000_000).cast("decimal(18,6)"))
+    return date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.floor(ns / 1000) / 1_000_000).cast("decimal(18,6)"))
 
 
 def split_timestamp(ns: Column) -> tuple[Column, Column]:

@@ -221,6 +221,28 @@ def time_format(spark, d):
     return rows.select("seq", scalars.time_text(F.col("ts_ns")).alias("time_text"), scalars.moment_text(F.col("session_date"), F.col("ts_ns")).alias("moment_text"), "ts_high", "ts_low")
 
 
+@query(_F + "SELECT seq, CAST(session_date AS TIMESTAMP) + to_microseconds(ts_ns // 1000) AS moment FROM feed")
+def time_point(spark, d):
+    return feed.messages(spark, d).select("seq", scalars.moment(F.col("session_date"), F.col("ts_ns")).alias("moment"))
+
+
+@query(_F + "SELECT seq, ts_ns // 4294967296 AS ts_high, ts_ns % 4294967296 AS ts_low, ts_ns AS joined FROM feed")
+def timestamp_parts(spark, d):
+    rows = ms.with_timestamp_parts(feed.messages(spark, d))
+    return rows.select("seq", "ts_high", "ts_low", scalars.join_timestamp(F.col("ts_high"), F.col("ts_low")).alias("joined"))
+
+
+@query(_F + "SELECT seq, CAST(price AS DOUBLE) / 10000.0 AS price, CAST(execution_price AS DOUBLE) / 10000.0 AS execution_price, CAST(far_price AS DOUBLE) / 10000.0 AS far_price FROM feed")
+def prices_scaled(spark, d):
+    return ms.scaled(feed.messages(spark, d)).select("seq", "price", "execution_price", "far_price")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t.code}' AS code, '{t.name}' AS name, CAST({sum(f.size for f in t.fields)} AS INT) AS wire_size, CAST({8 if t.code == 'V' else 4} AS INT) AS price_precision, CAST({len(t.fields)} AS INT) AS n_fields" for t in DEFAULT.types.values()))
+def message_types(spark, d):
+    """The registry: what each type is called, how long it is and how its prices are scaled."""
+    return spark.createDataFrame([(c, t.name, t.wire_size, t.price_precision, len(t.fields)) for c, t in DEFAULT.types.items()], "code string, name string, wire_size int, price_precision int, n_fields int")
+
+
 def _case(table: str, col: str, fallback: str) -> str:
     return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.TABLES[table].items()) + f" ELSE {fallback} END"
 
@@ -366,6 +388,14 @@ def symbol_by_locate(spark, d):
     return bk.symbols(feed.messages(spark, d))
 
 
+@query(_BOOK + """SELECT session_date, stock_locate, count(*) FILTER (WHERE side = 'B') AS bid_levels, count(*) FILTER (WHERE side = 'S') AS ask_levels, CAST(sum(order_count) AS BIGINT) AS n_orders,
+    CAST(sum(shares) AS BIGINT) AS shares FROM depth GROUP BY ALL""")
+def book_counts(spark, d):
+    """Levels, orders and shares of each book at the end."""
+    bid = F.col("side") == "B"
+    return bk.levels(_orders(spark, d)).groupBy("session_date", "stock_locate").agg(F.count_if(bid).alias("bid_levels"), F.count_if(~bid).alias("ask_levels"), F.sum("order_count").alias("n_orders"), F.sum("shares").alias("shares"))
+
+
 _TOP = """SELECT session_date, stock_locate, bool_or(side = 'B') AS has_bid, coalesce(max(price) FILTER (WHERE side = 'B'), 0) AS bid_price, coalesce(max(shares) FILTER (WHERE side = 'B'), 0) AS bid_shares,
     bool_or(side = 'S') AS has_ask, coalesce(max(price) FILTER (WHERE side = 'S'), 0) AS ask_price, coalesce(max(shares) FILTER (WHERE side = 'S'), 0) AS ask_shares FROM depth WHERE level = 1 GROUP BY session_date, stock_locate"""
 
@@ -596,6 +626,74 @@ def source_diagnostics(spark, d):
     return diagnostics(read_frames(spark, _written(spark, bad), framing="raw"))
 
 
+@query(_F + "SELECT message_type, count(*) AS n FROM feed WHERE seq % 10 > 1 GROUP BY message_type")
+def source_dropmalformed(spark, d):
+    """The same, bad bodies left out."""
+    from tidebook.sources.feed import read_frames
+
+    bad = _frames(spark, d).selectExpr("seq", "CASE WHEN seq % 10 = 1 THEN concat(encode('?', 'ISO-8859-1'), body) WHEN seq % 10 = 0 THEN substring(body, 1, 8) ELSE body END AS body")
+    return read_frames(spark, _written(spark, bad), framing="raw", mode="dropmalformed").groupBy("message_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_F + "SELECT count(*) + 1 AS n FROM feed WHERE seq <= 2000")
+def source_stop_at_end(spark, d):
+    """A system event that ends the session stands after 2000 messages; nothing behind it is read."""
+    from tidebook.sources.feed import read_frames
+
+    end = ms.create_message(spark, "S", event_code="C").select(F.lit(2000.5).alias("seq"), "body")
+    rows = _frames(spark, d).select(F.col("seq").cast("double").alias("seq"), "body").unionByName(end.select(F.col("seq").cast("double"), "body"))
+    return read_frames(spark, _written(spark, rows, parts=1), stop_at_end=True).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_F + "SELECT CASE WHEN message_type IN ('A', 'E') THEN 'ok' ELSE 'unknown_type' END AS error, count(*) AS n FROM feed GROUP BY ALL")
+def source_venue(spark, d):
+    """Read by a registry that knows two of the types."""
+    from tidebook.functions.layout import ORDER_FEED, Venue
+    from tidebook.sources.feed import diagnostics, read_frames
+
+    venue = Venue("two", "\n".join(x for x in ORDER_FEED.strip().splitlines() if x[0] in "AE"))
+    return diagnostics(read_frames(spark, _written(spark, _frames(spark, d), parts=1), venue=venue, framing="raw"))
+
+
+@query(_F + """SELECT printf('%5s %d', message_type, count(*)) AS line FROM feed GROUP BY message_type UNION ALL SELECT printf('%5s %d', 'TOTAL', count(*)) FROM feed""")
+def cli_stats(spark, d):
+    """What the command line prints of a file."""
+    import contextlib
+    import io
+
+    from tidebook import cli
+
+    out, path = io.StringIO(), _written(spark, _frames(spark, d), parts=1).removeprefix("file://").removeprefix("file:")
+    with contextlib.redirect_stdout(out):
+        cli.main(["stats", f"{path}/part-000000.bin"], spark)
+    return spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "line string")
+
+
+@query(_F + "SELECT seq, message_type FROM feed")
+def stream_once(spark, d):
+    """Every message delivered twice to a stream comes out once."""
+    from tidebook.runtime import new_path
+    from tidebook.streaming.folds import once_within
+
+    rows = feed.messages(spark, d).select("seq", "message_type", F.lit("S").alias("session"), F.lit(1).cast("long").alias("packet_first"), F.timestamp_seconds(F.col("seq") / 1000).alias("at"))
+    parts, out, state = (new_path(spark, x) for x in ("twice", "once", "state"))
+    rows.unionByName(rows).write.parquet(parts)
+    s = once_within(spark.readStream.schema(rows.schema).parquet(parts), "at", "1 hour")
+    s.select("seq", "message_type").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq long, message_type string").parquet(out)
+
+
+@query(_F + "SELECT CAST(ceil(count(*) / 7.0) AS BIGINT) AS packets, count(*) AS messages, CAST(count(*) AS BIGINT) AS frames, true AS in_sequence FROM feed")
+def source_packets(spark, d):
+    """Counters of a transport: packets, the messages they announce and the frames they hold."""
+    from tidebook.sources.feed import read_frames
+
+    path = _written(spark, _packed(spark, d, 7).selectExpr("seq", f"unhex({_MOLD}) AS body"), parts=1)
+    p = read_frames(spark, path, framing="mold", emit="packets")
+    gaps = an.sequence_gaps(p, block=64)
+    return gaps.agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("msg_count").cast("long")).alias("messages"), F.sum(F.col("n_frames").cast("long")).alias("frames"), (F.sum("missing") == 0).alias("in_sequence"))
+
+
 def _packed(spark: SparkSession, d: str, of: int) -> DataFrame:
     """Downstream packets of ``of`` messages: ``seq``, ``n`` of messages and ``blocks``, hex."""
     rows = _frames(spark, d).selectExpr(f"(seq - 1) div {of} AS packet", "seq", "hex(body) AS h", "octet_length(body) AS size")
