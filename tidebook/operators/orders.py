@@ -53,7 +53,7 @@ def order_changes(rows: DataFrame) -> DataFrame:
 
 _LIVES = """
     WITH w AS (
-      SELECT *, count(CASE WHEN kind IN (2, 3) THEN 1 END) OVER run AS births, first(CASE WHEN kind IN (2, 3) THEN struct(qty, kind, seq, m) END, true) OVER run AS b
+      SELECT *, count(CASE WHEN kind IN (2, 3) THEN 1 END) OVER run AS births, first(CASE WHEN kind IN (2, 3) THEN struct(qty, kind, seq, m.side AS side, m.price AS price, m.ts_ns AS ts_ns) END, true) OVER run AS b
       FROM {rows} WINDOW run AS (PARTITION BY period, part, id, seg, life ORDER BY seq, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     u AS (
       SELECT *, coalesce(sum(CASE WHEN kind = 4 AND births > 0 THEN qty END) OVER run, 0) AS used, max(CASE WHEN kind = 4 AND births > 0 THEN 1 ELSE 0 END) OVER run AS reduced
@@ -98,7 +98,7 @@ def _evaluate(rows: DataFrame, block: int | None) -> DataFrame:
 def sides(lived: DataFrame) -> DataFrame:
     """``period``, ``opened_at`` and ``side`` of the orders that replacements opened."""
     spark = lived.sparkSession
-    ends = lived.where("kind = 1 AND was_live").selectExpr("period", "seq AS opened_at", "b.kind = 2 AS is_root", "b.seq AS parent", "b.m.side AS side")
+    ends = lived.where("kind = 1 AND was_live").selectExpr("period", "seq AS opened_at", "b.kind = 2 AS is_root", "b.seq AS parent", "b.side AS side")
     hops = materialize(ends, "replaced")
     done, active = hops.where("is_root").select("period", "opened_at", "side"), hops.where("NOT is_root").select("period", "opened_at", "parent")
     while not active.isEmpty():
@@ -121,7 +121,7 @@ def sides(lived: DataFrame) -> DataFrame:
 
 def with_sides(rows: DataFrame, lived: DataFrame) -> DataFrame:
     """``rows`` of ``lived`` with the ``side`` of the order each met."""
-    own = rows.where("b.kind = 2").withColumn("side", F.col("b.m.side"))
+    own = rows.where("b.kind = 2").withColumn("side", F.col("b.side"))
     known = sides(lived).withColumnRenamed("period", "__p")
     other = rows.where("b.kind = 3").join(known, (F.col("period") == F.col("__p")) & (F.col("b.seq") == F.col("opened_at")))
     return own.unionByName(other.select(*own.columns))
@@ -152,7 +152,7 @@ def tape(rows: DataFrame, universe: Collection[str] | None = None) -> DataFrame:
     """Executions of live orders, C of any once its book began, and P and Q of all."""
     k, first, lived = _lived(rows, universe)
     met = with_sides(lived.where("kind = 4 AND was_live AND m.message_type IN ('E', 'C')"), lived).selectExpr(
-        "period", "part", "seq", "m.ts_ns AS ts_ns", "m.message_type AS message_type", "side", "m.shares AS shares", "CASE WHEN m.message_type = 'E' THEN b.m.price ELSE m.said_price END AS price",
+        "period", "part", "seq", "m.ts_ns AS ts_ns", "m.message_type AS message_type", "side", "m.shares AS shares", "CASE WHEN m.message_type = 'E' THEN b.price ELSE m.said_price END AS price",
         "m.match_number AS match_number", "m.printable AS printable",
     )
     # C trades whatever it names; without a live order it has no side
@@ -170,7 +170,7 @@ def deltas(rows: DataFrame, universe: Collection[str] | None = None) -> DataFram
     """Every change of a level's shares and orders; taking nothing off an order changes nothing."""
     _, _, lived = _lived(rows, universe)
     moved = with_sides(lived.where("opened OR was_live"), lived).selectExpr(
-        *_WHERE, "seq", "m.ts_ns AS ts_ns", "side", "b.m.price AS price",
+        *_WHERE, "seq", "m.ts_ns AS ts_ns", "side", "b.price AS price",
         "CASE WHEN opened THEN qty WHEN kind = 4 THEN -least(qty, had) ELSE -had END AS d_shares", "CAST(CASE WHEN opened THEN 1 WHEN kind < 4 OR qty >= had THEN -1 ELSE 0 END AS INT) AS d_orders",
     )
     return moved.where("d_shares <> 0 OR d_orders <> 0")
@@ -180,4 +180,4 @@ def live_orders(rows: DataFrame, universe: Collection[str] | None = None) -> Dat
     """What is live at the end, with the place and time of the message that opened it."""
     k, first, lived = _lived(rows, universe)
     open_ = with_sides(lived.where("is_last AND is_live"), lived).join(_names(k, first), ["period", "part"])
-    return open_.selectExpr(*_WHERE, "b.seq AS seq", "b.m.ts_ns AS ts_ns", "symbol", "id AS order_reference_number", "side", "left AS shares", "b.m.price AS price")
+    return open_.selectExpr(*_WHERE, "b.seq AS seq", "b.ts_ns AS ts_ns", "symbol", "id AS order_reference_number", "side", "left AS shares", "b.price AS price")
