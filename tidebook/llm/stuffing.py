@@ -37,6 +37,9 @@ FUNCTION_WORDS = 100
 PROSE_WORDS = 300
 #: So many after the first share a class, mostly function words of the rarer languages.
 COMMON_WORDS = 600
+#: All of these are in such a share of the texts with sentence lines at least; spam that looks like
+#: sentences has words in fewer.
+WORD_SHARE = 0.0004
 #: Tokens a window.
 WINDOW = 16
 #: Windows outside these quantiles of the perplexity of prose windows count as abnormal.
@@ -47,7 +50,7 @@ PAGE_SHARE, PAGES = 0.02, 20
 #: Share of a window's words (with its neighbours) that must promote.
 PROMOTING = 0.2
 #: A keyword comes so often in the abnormal windows of a text, with so many different words at most
-#: NEXT tokens away. What is sung or said over and over in the same words has fewer.
+#: NEXT tokens away in its line. What is sung or said over and over in the same words has fewer.
 REPEATED, PARTNERS, NEXT = 4, 3, 2
 #: Windows with a greater share of function words hold no keywords.
 SPARSE = 0.35
@@ -220,6 +223,11 @@ def _sentence_classes(texts: Sequence[str], cls: np.ndarray, at: np.ndarray, fee
             yield chosen[:-1] if len(chosen) and chosen[-1] == feed else chosen
 
 
+def _commonest(counts: Iterable[tuple[str, int]], n_texts: int) -> list[str]:
+    """The prose words of a model, from the texts that have each, which come in order."""
+    return [w for w, n in counts if n >= WORD_SHARE * n_texts]
+
+
 def _prose_words(seen: Counter) -> dict[str, int]:
     return {w: n for w, n in seen.items() if w.isalpha() and w.islower() and not _UNSPACED.search(w)}
 
@@ -286,7 +294,7 @@ def fit(texts: Sequence[str | None]) -> Model | None:
     if not lines:
         return None
     seen = _prose_words(Counter(w for p in lines for w in set(p)))
-    words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FUNCTION_WORDS + COMMON_WORDS]]
+    words = _commonest(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FUNCTION_WORDS + COMMON_WORDS], len(lines))
     classes = Classes(words)
     (cls, at), k = _numbers(lines, classes), classes.size
     prose = _cost_table(np.bincount(_grams(cls, at, k), minlength=k**3), k, 2.0)
@@ -359,7 +367,7 @@ def _linked_texts(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.n
     return link & ~cited, np.cumsum(edge)[:n] > 0, cited
 
 
-def _keywords(norm: np.ndarray, rank: np.ndarray, usable: np.ndarray, of_text: np.ndarray, base: int) -> np.ndarray:
+def _keywords(norm: np.ndarray, rank: np.ndarray, usable: np.ndarray, of_text: np.ndarray, of_line: np.ndarray, base: int) -> np.ndarray:
     """Which of the ``usable`` tokens are keywords of their text: rare in prose, repeated, beside
     several different words."""
     out = np.zeros(len(norm), bool)
@@ -370,7 +378,7 @@ def _keywords(norm: np.ndarray, rank: np.ndarray, usable: np.ndarray, of_text: n
     words, inverse, count = np.unique(key[where], return_inverse=True, return_counts=True)
     place = np.flatnonzero(usable & (rank >= FUNCTION_WORDS))
     a, b = place[:-1], place[1:]
-    beside = (b - a <= NEXT) & (of_text[a] == of_text[b]) & (norm[a] != norm[b])
+    beside = (b - a <= NEXT) & (of_text[a] == of_text[b]) & (of_line[a] == of_line[b]) & (norm[a] != norm[b])
     a, b = np.r_[a[beside], b[beside]], np.r_[b[beside], a[beside]]
     at = np.searchsorted(words, key[a]).clip(max=len(words) - 1)
     known = words[at] == key[a]
@@ -401,7 +409,7 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     depth = np.cumsum((ids == tokens.get("[[", -9)).astype(np.int32) - (ids == tokens.get("]]", -9)))
     outside = depth - depth[at[:-1].clip(max=len(ids) - 1)][of_text] <= 0
     sparse = add(word & (rank < FUNCTION_WORDS)) <= SPARSE * np.maximum(words, 1)
-    own = _keywords(norm, rank, word & abnormal[of_window] & (outside | (small > 0)), of_text, len(tokens.norms) + 1) & sparse[of_window] | (kind == TAGGED)
+    own = _keywords(norm, rank, word & abnormal[of_window] & (outside | (small > 0)), of_text, np.cumsum(ids == tokens.get("\n", -9)), len(tokens.norms) + 1) & sparse[of_window] | (kind == TAGGED)
     promo = own | (kind == OUTSIDE) & ~cited | anchor & word
     hits = add(promo)
 
@@ -442,8 +450,10 @@ def _scorer(model: Model):
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each prose word the texts that have it; a word may come out several times."""
+    """Of each prose word the texts that have it, and of "" all texts with sentence lines; a word may come
+    out several times."""
     seen: Counter = Counter()
+    n_texts = 0
 
     def out() -> pa.RecordBatch:
         words = _prose_words(seen)
@@ -453,9 +463,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for p in _sentences(b.column(0).to_pylist()):
             seen.update(set(p))
+            n_texts += 1
             if len(seen) > CACHE:
                 yield out()
     yield out()
+    yield pa.RecordBatch.from_pydict({"word": pa.array([""], pa.string()), "n": pa.array([n_texts], pa.int64())})
 
 
 def _classify(words: Sequence[str]):
@@ -516,9 +528,10 @@ def train(df: DataFrame, key: str, text: str = "text") -> Model | None:
     order nor the partitions matter, nor does ``key``."""
     texts = df.select(F.col(text).alias("__text"))
     seen = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word for r in seen.orderBy(F.desc("n"), "word").limit(FUNCTION_WORDS + COMMON_WORDS).collect()]
-    if not words:
+    top = seen.orderBy(F.desc("n"), "word").limit(1 + FUNCTION_WORDS + COMMON_WORDS).collect()
+    if not top or not top[0].n:
         return None
+    words = _commonest([(r.word, r.n) for r in top[1:]], top[0].n)
     got = materialize(texts.mapInArrow(_classify(words), "classes binary, cell long, n long"), "classes")
     lines = got.where("classes IS NOT NULL").select("classes")
     count = lambda cells, size: _added(lines.mapInArrow(_count_cells(cells, size), "cell long, n long"), size)
