@@ -367,19 +367,19 @@ def _linked_texts(ids: np.ndarray, at: np.ndarray, tokens: Tokens) -> tuple[np.n
     return link & ~cited, np.cumsum(edge)[:n] > 0, cited
 
 
-def _keywords(norm: np.ndarray, rank: np.ndarray, usable: np.ndarray, of_text: np.ndarray, of_line: np.ndarray, base: int) -> np.ndarray:
-    """Which of the ``usable`` tokens are keywords of their text: rare in prose, repeated, beside
-    several different words."""
+def _keywords(norm: np.ndarray, rank: np.ndarray, usable: np.ndarray, beside: np.ndarray, of_text: np.ndarray, of_line: np.ndarray, base: int) -> np.ndarray:
+    """Which of the ``usable`` tokens are keywords of their text: rare in prose, repeated, next to
+    several different words among ``beside``."""
     out = np.zeros(len(norm), bool)
     where = np.flatnonzero(usable & (rank >= PROSE_WORDS))
     if not len(where):
         return out
     key = of_text.astype(np.int64) * base + norm
     words, inverse, count = np.unique(key[where], return_inverse=True, return_counts=True)
-    place = np.flatnonzero(usable & (rank >= FUNCTION_WORDS))
+    place = np.flatnonzero(beside & (rank >= FUNCTION_WORDS))
     a, b = place[:-1], place[1:]
-    beside = (b - a <= NEXT) & (of_text[a] == of_text[b]) & (of_line[a] == of_line[b]) & (norm[a] != norm[b])
-    a, b = np.r_[a[beside], b[beside]], np.r_[b[beside], a[beside]]
+    near = (b - a <= NEXT) & (of_text[a] == of_text[b]) & (of_line[a] == of_line[b]) & (norm[a] != norm[b])
+    a, b = np.r_[a[near], b[near]], np.r_[b[near], a[near]]
     at = np.searchsorted(words, key[a]).clip(max=len(words) - 1)
     known = words[at] == key[a]
     pairs = np.unique(at[known].astype(np.int64) * base + norm[b[known]])
@@ -409,7 +409,8 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     depth = np.cumsum((ids == tokens.get("[[", -9)).astype(np.int32) - (ids == tokens.get("]]", -9)))
     outside = depth - depth[at[:-1].clip(max=len(ids) - 1)][of_text] <= 0
     sparse = add(word & (rank < FUNCTION_WORDS)) <= SPARSE * np.maximum(words, 1)
-    own = _keywords(norm, rank, word & abnormal[of_window] & (outside | (small > 0)), of_text, np.cumsum(ids == tokens.get("\n", -9)), len(tokens.norms) + 1) & sparse[of_window] | (kind == TAGGED)
+    said = word & abnormal[of_window]
+    own = _keywords(norm, rank, said & (outside | (small > 0)), said, of_text, np.cumsum(ids == tokens.get("\n", -9)), len(tokens.norms) + 1) & sparse[of_window] | (kind == TAGGED)
     promo = own | (kind == OUTSIDE) & ~cited | anchor & word
     hits = add(promo)
 
@@ -425,8 +426,8 @@ def stuffed_shares(texts: list[str], model: Model, tokens: Tokens) -> np.ndarray
     chars = add(size)
     bad = abnormal & promoting
     total = lambda x: np.bincount(owner, weights=np.where(bad, add(x), 0), minlength=len(texts))
-    said = total(own & ~anchor)
-    enough = (said >= FEWEST) | (said + LINKED * total(linked) >= LEAST)
+    n_own = total(own & ~anchor)
+    enough = (n_own >= FEWEST) | (n_own + LINKED * total(linked) >= LEAST)
     # of a window that promotes by its links only these and their anchors count, not what they strayed into
     keyed = add(own & ~anchor) >= PROMOTING * np.maximum(words, 1)
     part = np.where(keyed, chars, add(np.where(anchor | own, size, 0)))
